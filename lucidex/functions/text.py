@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -21,6 +22,15 @@ EDGE_START = "(?<![A-Za-z0-9_])"
 EDGE_END = "(?![A-Za-z0-9_])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it.
+
+    Without this every mention repeats the whole expression: nested text rules grow
+    exponentially, past what generated code may hold.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(TRIM_SET))
 
@@ -63,13 +73,13 @@ def cut_bytes(text: Column, size: int) -> Column:
 
 def cap_bytes(text: Column, limit: int, tail: str, keep: int) -> Column:
     """Longer than *limit* bytes: the first *keep* bytes, right-trimmed, plus *tail*."""
-    short = F.concat(rtrim(cut_bytes(text, keep)), F.lit(tail))
-    return F.when(F.octet_length(text) > limit, short).otherwise(text)
+    return let(text, lambda t: F.when(
+        F.octet_length(t) > limit, F.concat(rtrim(cut_bytes(t, keep)), F.lit(tail))).otherwise(t))
 
 
 def cap_chars(text: Column, limit: int, tail: str, keep: int) -> Column:
-    short = F.concat(rtrim(F.substring(text, 1, keep)), F.lit(tail))
-    return F.when(F.length(text) > limit, short).otherwise(text)
+    return let(text, lambda t: F.when(
+        F.length(t) > limit, F.concat(rtrim(F.substring(t, 1, keep)), F.lit(tail))).otherwise(t))
 
 
 def normalise_description(text: Column) -> Column:
@@ -108,8 +118,7 @@ def normalise_generated(text: Column) -> Column:
     body = trim(text)
     for _ in range(5):
         body = F.regexp_replace(body, opening, "")
-    line = collapse(strip_tags(body))
-    kept = F.when((line != "") & (F.lower(line) != "empty"), line)
+    kept = let(collapse(strip_tags(body)), lambda line: F.when(~F.lower(line).isin("", "empty"), line))
     return cap_bytes(kept, 160, "...", 157)
 
 
@@ -139,8 +148,8 @@ def decode_entities(text: Column) -> Column:
         reference = F.when(piece.startswith("&#"), char).otherwise(F.try_element_at(names, piece))
         return F.when(piece.startswith("&"), F.coalesce(reference, piece)).otherwise(piece)
 
-    decoded = F.array_join(F.transform(F.split(text, r"(?=&)|(?<=;)"), decode), "")
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    return let(text, lambda t: F.when(
+        F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, r"(?=&)|(?<=;)"), decode), "")).otherwise(t))
 
 
 def escape_inline(text: Column) -> Column:
@@ -192,8 +201,6 @@ def unwrap_shortcodes(text: Column) -> Column:
     the passes exactly; once a pass changes nothing the rest are skipped.
     """
     paired = r"(?s)\[([a-z][a-z0-9_-]*)(?:\s[^\]]*)?\](.*?)\[/\1\]"
-    closings = F.regexp_count(text, F.lit(r"\[/[a-z][a-z0-9_-]*\]"))
-    start = F.struct(text.alias("text"), F.lit(False).alias("done"))
 
     def one_pass(state: Column, _: Column) -> Column:
         replaced = F.array(F.regexp_replace(state["text"], paired, "$2"))
@@ -201,8 +208,13 @@ def unwrap_shortcodes(text: Column) -> Column:
             new.alias("text"), (new == state["text"]).alias("done")))
         return F.when(state["done"], state).otherwise(step[0])
 
-    looped = F.aggregate(F.sequence(F.lit(1), closings), start, one_pass, lambda s: s["text"])
-    unwrapped = F.when(closings > 0, looped).otherwise(text)
+    def until_stable(body: Column) -> Column:
+        closings = F.regexp_count(body, F.lit(r"\[/[a-z][a-z0-9_-]*\]"))
+        start = F.struct(body.alias("text"), F.lit(False).alias("done"))
+        return let(closings, lambda n: F.when(n > 0, F.aggregate(
+            F.sequence(F.lit(1), n), start, one_pass, lambda s: s["text"])).otherwise(body))
+
+    unwrapped = let(text, until_stable)
     no_self_closing = F.regexp_replace(unwrapped, r"\[[a-z][a-z0-9_-]*(?:\s[^\]]*?)?/\]", "")
     return F.regexp_replace(no_self_closing, r"\[[a-z][a-z0-9_-]*\s[^\]]*?=[^\]]*?\]", "")
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from lucidex.functions.text import let
+
 _PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -34,15 +36,19 @@ def registered_site(url: Column) -> Column:
 
 def markdown_url(url: Column) -> Column:
     """Address of the Markdown twin of a page."""
-    path, query = url_path(url), url_query(url)
-    bare = F.rtrim(url, F.lit("/"))
-    return (
-        F.when((query != "") & F.contains(F.lower(query), F.lit("format=md")), url)
-        .when(query != "", F.concat(url, F.lit("&format=md")))
-        .when(path.endswith(".md"), url)
-        .when(F.rtrim(path, F.lit("/")) == "", F.concat(bare, F.lit("/?format=md")))
-        .otherwise(F.concat(bare, F.lit(".md")))
-    )
+    parts = F.struct(url.alias("url"), url_path(url).alias("path"), url_query(url).alias("query"))
+
+    def mapped(p: Column) -> Column:
+        bare = F.rtrim(p["url"], F.lit("/"))
+        return (
+            F.when(F.contains(F.lower(p["query"]), F.lit("format=md")), p["url"])
+            .when(p["query"] != "", F.concat(p["url"], F.lit("&format=md")))
+            .when(p["path"].endswith(".md"), p["url"])
+            .when(F.rtrim(p["path"], F.lit("/")) == "", F.concat(bare, F.lit("/?format=md")))
+            .otherwise(F.concat(bare, F.lit(".md")))
+        )
+
+    return let(parts, mapped)
 
 
 def clean_file_name(segment: Column) -> Column:
@@ -63,10 +69,10 @@ def mirror_path(permalink: Column, home_path: Column, content_id: Column) -> Col
     path = url_path(permalink)
     inside = (home != "/") & path.startswith(home)
     rest = F.btrim(F.when(inside, F.substr(path, F.length(home) + 1)).otherwise(path), F.lit("/"))
-    segments = F.filter(F.transform(F.split(rest, "/"), clean_file_name), lambda s: s != "")
-    return (
-        F.when(~url_query(permalink).isin("", "0"), by_id)
-        .when(rest == "", F.lit("index.md"))
-        .when(F.size(segments) == 0, by_id)
-        .otherwise(F.concat(F.array_join(segments, "/"), F.lit(".md")))
-    )
+
+    def joined(below: Column) -> Column:
+        segments = F.filter(F.transform(F.split(below, "/"), clean_file_name), lambda s: s != "")
+        return F.when(below == "", F.lit("index.md")).otherwise(let(segments, lambda s: F.when(
+            F.size(s) == 0, by_id).otherwise(F.concat(F.array_join(s, "/"), F.lit(".md")))))
+
+    return F.when(~url_query(permalink).isin("", "0"), by_id).otherwise(let(rest, joined))

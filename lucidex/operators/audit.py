@@ -396,16 +396,20 @@ ALL_SUB_SCORES = (discoverability, content_readability, schema_coverage, exposur
                   md_conversion_quality, multi_channel_discovery)
 
 
-def sub_scores(signals: DataFrame, only: Iterable[str] | None = None) -> DataFrame:
-    """Long table: one row per site and sub-score, from one pass over the signals."""
+def sub_scores(signals: DataFrame, only: Iterable[str] | None = None, details: bool = True) -> DataFrame:
+    """Long table: one row per site and sub-score, from one pass over the signals.
+
+    Without *details* the reasons and facts are left out, which is all the overall
+    score and the leverage need.
+    """
     chosen = [build() for build in ALL_SUB_SCORES]
     if only is not None:
         wanted = set(only)
         chosen = [one for one in chosen if one.name in wanted]
     rows = [F.struct(
         F.lit(one.name).alias("name"), one.value.cast("int").alias("value"), F.lit(one.weight).alias("weight"),
-        F.array_compact(F.array(*one.reasons)).alias("reasons"),
-        F.array(*one.facts).alias("facts"),
+        *([F.array_compact(F.array(*one.reasons)).alias("reasons"), F.array(*one.facts).alias("facts")]
+          if details else []),
     ) for one in chosen]
     return signals.select("site_id", F.inline(F.array(*rows)))
 

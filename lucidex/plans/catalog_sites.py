@@ -447,7 +447,7 @@ def audit_reasons(spark, folder):
 @query("overall_score", st.statement(
     "SELECT site_id, CAST(floor(sum(value * weight) / 100) AS INTEGER) AS overall FROM sub GROUP BY site_id", "sub"))
 def overall_score(spark, folder):
-    return audit.overall(audit.sub_scores(Inputs(spark, folder).signals))
+    return audit.overall(audit.sub_scores(Inputs(spark, folder).signals, details=False))
 
 
 _LABELS = " ".join(f"WHEN '{name}' THEN '{label}'" for name, label in audit.LABELS.items())
@@ -458,7 +458,7 @@ _BEST = """SELECT site_id, coalesce((list(name ORDER BY (100 - value) * weight D
 @query("leverage", st.statement(
     f"SELECT site_id, best_name, CASE best_name {_LABELS} ELSE '' END AS best_label, below_target FROM ({_BEST})", "sub"))
 def leverage(spark, folder):
-    return audit.leverage(audit.sub_scores(Inputs(spark, folder).signals))
+    return audit.leverage(audit.sub_scores(Inputs(spark, folder).signals, details=False))
 
 
 @query("health_band", st.statement(f"""
@@ -471,7 +471,7 @@ SELECT site_id, CASE WHEN audited THEN overall END AS overall,
 FROM (SELECT *, site_id <> 'src5' AS audited FROM ({_BEST}))""", "sub"))
 def health_band(spark, folder):
     signals = Inputs(spark, folder).signals
-    scores = audit.sub_scores(signals)
+    scores = audit.sub_scores(signals, details=False)
     audited = audit.overall(scores).filter(F.col("site_id") != "src5")
     return audit.health(signals, audited, audit.leverage(scores)).drop("best_name")
 
@@ -662,7 +662,7 @@ _TWIN = st.trim("coalesce(markdown, '')") + " <> ''"
 SELECT site_id, content_id, CASE WHEN {st.trim('g.title')} = '' THEN '(no title)' ELSE g.title END AS title,
  CAST(strlen(body_html) AS BIGINT) AS html_bytes, strlen(body_html) > 20000 AS html_truncated,
  CAST(CASE WHEN strlen(body_html) <= 20000 THEN strlen(body_html)
-  ELSE list_max(list_filter(list_transform(range(19990, 20001), lambda n: strlen(decode(array_to_string(list_transform([body_html], lambda b: b), '')::BLOB)[1:0])), lambda n: n >= 0)) END AS BIGINT) AS html_shown_bytes,
+  ELSE strlen(left(body_html, list_max(list_filter(range(greatest(0, 20000 - (strlen(body_html) - length(body_html)))::BIGINT, 20001), lambda i: strlen(left(body_html, i)) <= 20000))::BIGINT)) END AS BIGINT) AS html_shown_bytes,
  CASE WHEN markdown_enabled AND reason IS NULL AND {_TWIN} THEN markdown ELSE '' END AS markdown,
  CASE WHEN NOT markdown_enabled THEN 'module_disabled' WHEN reason IS NOT NULL THEN 'not_exposable' WHEN {_TWIN} THEN 'exposable' ELSE 'error' END AS verdict,
  CASE WHEN NOT markdown_enabled THEN 'markdown_views' WHEN reason IS NOT NULL THEN reason WHEN {_TWIN} THEN NULL ELSE 'empty_content' END AS verdict_reason,

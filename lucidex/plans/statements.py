@@ -268,7 +268,7 @@ FROM heads h LEFT JOIN (
   SELECT site_id, section_kind, section_pos, label, count(*) AS lines,
    chr(10) || '## ' || {escape_inline('label')} || chr(10) || chr(10)
     || string_agg(line || chr(10), '' ORDER BY entry_kind, group_pos, entry_pos) AS text
-  FROM lined GROUP BY ALL) GROUP BY site_id) b USING (site_id)""")
+  FROM lined GROUP BY site_id, section_kind, section_pos, label) GROUP BY site_id) b USING (site_id)""")
 
 _define("docs_full", ("entries", "stored"), f"""
 SELECT e.site_id, 1 AS section_kind, CAST(type_order AS BIGINT) AS section_pos, label, CAST(type_rank AS BIGINT) AS entry_pos,
