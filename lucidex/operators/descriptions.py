@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lucidex.functions import text as tx
-from lucidex.operators.skew import attach, top_per_group
+from lucidex.operators.exposure import weakly_exposed
+from lucidex.operators.skew import top_per_group
 
 GENERATOR_VERSION = "1"
 
@@ -60,12 +61,9 @@ def is_eligible() -> Column:
             & tx.is_blank(F.col("manual")) & due)
 
 
-def eligible_rows(exposed: DataFrame, descriptions: DataFrame, profile: DataFrame) -> DataFrame:
+def eligible_rows(exposed: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Exposure rows with their description state, ``eligible`` and ``stale``."""
-    rows = exposed.join(descriptions, KEY, "left")
-    flags = profile.select("site_id", "descriptions_enabled", "client_configured")
-    rows = attach(rows, flags, ["site_id"], ["content_id"], "inner")
-    return rows.withColumns({
+    return exposed.join(descriptions, KEY, "left").withColumns({
         "eligible": is_eligible(),
         "stale": is_stale(F.col("auto"), F.col("generated_for"), F.col("modified_at"), F.col("generator_version")),
     })
@@ -75,14 +73,14 @@ def run_limit(requested: int) -> int:
     return min(MAX_RUN_LIMIT, requested if requested > 0 else DEFAULT_RUN_LIMIT)
 
 
-def considered_rows(content: DataFrame, profile: DataFrame, cap: int = 1000) -> DataFrame:
-    """Documents of exposed type and status, the newest *cap* of each site."""
-    types = profile.select("site_id", "exposed_types", "exposed_statuses")
-    rows = attach(content, types, ["site_id"], ["content_id"], "inner").filter(
-        F.array_contains("exposed_types", F.col("post_type"))
-        & F.array_contains("exposed_statuses", F.col("status")))
-    return top_per_group(rows, ["site_id"], [F.desc("published_at"), F.desc("content_id")], cap, ["content_id"],
-                         rank="considered_rank").drop("exposed_types", "exposed_statuses")
+def considered_rows(rows: DataFrame, cap: int = 1000) -> DataFrame:
+    """Documents of exposed type and status, the newest *cap* of each site.
+
+    *rows* is content with its site's profile.
+    """
+    return top_per_group(rows.filter(weakly_exposed()), ["site_id"],
+                         [F.desc("published_at"), F.desc("content_id")], cap, ["content_id"],
+                         rank="considered_rank")
 
 
 def take_budget(rows: DataFrame, limit: int) -> DataFrame:

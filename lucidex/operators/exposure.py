@@ -16,9 +16,14 @@ EXCLUDING_TAXONOMIES = ("category", "post_tag")
 EXCLUDE_KEY = "excluded"
 YOAST_KEY = "yoast_noindex"
 
-PROFILE_COLUMNS = ("site_id", "exposed_types", "exposed_statuses", "excluded_ids", "excluded_slugs",
-                   "excluded_term_ids", "excluded_term_slugs", "exclude_samples", "utility_ids",
-                   "seo_posture")
+
+def with_profile(content: DataFrame, profile: DataFrame) -> DataFrame:
+    """Content with the settings of its site; documents of unknown sites go.
+
+    Done once per query: later steps read the settings from the row, and unused ones
+    are pruned from the plan.
+    """
+    return attach(content, profile, ["site_id"], ["content_id"], "inner")
 
 
 def pivot_meta(meta: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,18 +64,15 @@ def explicitly_excluded(meta_flag: Column, content_id: Column, slug: Column, ter
     return flagged | listed | named | utility | term_excluded(terms, term_ids, term_slugs)
 
 
-def gate_inputs(content: DataFrame, profile: DataFrame, meta: DataFrame, robots: DataFrame,
+def gate_inputs(rows: DataFrame, meta: DataFrame, robots: DataFrame,
                 extra_noindex: Column | None = None) -> DataFrame:
-    """Content with every flag the gate needs.
+    """Rows of :func:`with_profile` with every flag the gate needs.
 
-    Metadata and robots rows join on the document key, which no site can skew; the
-    profile joins on the site and is therefore spread.
+    Metadata and robots rows join on the document key, which no site can skew.
     """
     flags = pivot_meta(meta, [EXCLUDE_KEY, YOAST_KEY])
-    settings = profile.select(*PROFILE_COLUMNS)
-    rows = (content.join(flags, ["site_id", "content_id"], "left")
+    rows = (rows.join(flags, ["site_id", "content_id"], "left")
             .join(robots, ["site_id", "content_id"], "left"))
-    rows = attach(rows, settings, ["site_id"], ["content_id"], "inner")
     noindex = noindex_flag(F.col("seo_posture"), F.col(YOAST_KEY), F.col("robots"),
                            F.col("robots_default"), F.col("robots_noindex"))
     if extra_noindex is not None:
@@ -97,9 +99,9 @@ def exposure_reason() -> Column:
     )
 
 
-def with_exposure(content: DataFrame, profile: DataFrame, meta: DataFrame, robots: DataFrame,
+def with_exposure(rows: DataFrame, meta: DataFrame, robots: DataFrame,
                   extra_noindex: Column | None = None) -> DataFrame:
-    gated = gate_inputs(content, profile, meta, robots, extra_noindex)
+    gated = gate_inputs(rows, meta, robots, extra_noindex)
     return gated.withColumn("reason", exposure_reason())
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lucidex.functions import text as tx
 from lucidex.functions.urls import markdown_url
 from lucidex.operators.descriptions import resolved_description
+from lucidex.operators.exposure import weakly_exposed
 from lucidex.operators.skew import attach, top_per_group
 from lucidex.operators.store import is_empty_markdown
 
@@ -15,7 +16,7 @@ PER_TYPE_CAP = 1000
 NO_TITLE = "(no title)"
 DEFAULT_EDITORIAL_LABEL = "Editorial"
 
-#: Lines of one piece of a body, and the size up to which a site's pieces are joined.
+#: Positions of one piece of a body, and the size up to which a site's text is one row.
 LINES_PER_PIECE = 2000
 MAX_BODY_BYTES = 64 * 1024 * 1024
 
@@ -25,19 +26,16 @@ KEY = ["site_id", "content_id"]
 EDITORIAL_KIND, TYPE_KIND = 0, 1
 
 
-def newest_per_type(content: DataFrame, profile: DataFrame, cap: int = PER_TYPE_CAP) -> DataFrame:
+def newest_per_type(rows: DataFrame, cap: int = PER_TYPE_CAP) -> DataFrame:
     """The newest *cap* documents of each exposed type and status.
 
-    The cap comes before the exposure gate: refused documents use up places.
+    *rows* is content with its site's profile.  The cap comes before the exposure gate:
+    refused documents use up places.
     """
-    settings = profile.select("site_id", F.col("exposed_types").alias("_types"),
-                              F.col("exposed_statuses").alias("_statuses"))
-    listed = attach(content, settings, ["site_id"], ["content_id"], "inner").filter(
-        F.array_contains("_types", F.col("post_type")) & F.array_contains("_statuses", F.col("status")))
+    listed = rows.filter(weakly_exposed())
     ranked = top_per_group(listed, ["site_id", "post_type"], [F.desc("published_at"), F.desc("content_id")],
                            cap, ["content_id"], rank="type_rank")
-    return ranked.withColumn("type_order", F.array_position("_types", F.col("post_type")).cast("int")).drop(
-        "_types", "_statuses")
+    return ranked.withColumn("type_order", F.array_position("exposed_types", F.col("post_type")).cast("int"))
 
 
 def shown_title(title: Column) -> Column:
@@ -45,7 +43,7 @@ def shown_title(title: Column) -> Column:
     return F.coalesce(tx.present(title), F.lit(NO_TITLE))
 
 
-def index_entries(gated: DataFrame, descriptions: DataFrame, store: DataFrame, profile: DataFrame,
+def index_entries(gated: DataFrame, descriptions: DataFrame, store: DataFrame,
                   labels: dict[str, str] | None = None, plugged: Column | None = None) -> DataFrame:
     """Entries of capped, gated content.
 
@@ -53,11 +51,9 @@ def index_entries(gated: DataFrame, descriptions: DataFrame, store: DataFrame, p
     is the capped content with ``reason``; *labels* names the section of a type.
     """
     texts = store.select(*KEY, is_empty_markdown(F.coalesce("markdown", F.lit(""))).alias("_empty"))
-    settings = profile.select("site_id", "markdown_enabled")
     rows = (gated.filter(F.col("reason").isNull())
             .join(descriptions.select(*KEY, "manual", "auto"), KEY, "left")
             .join(texts, KEY, "left"))
-    rows = attach(rows, settings, ["site_id"], ["content_id"], "inner")
     rows = rows.filter(~(F.col("markdown_enabled") & F.coalesce("_empty", F.lit(False))))
     url = F.when(F.col("markdown_enabled"), markdown_url(F.col("permalink"))).otherwise(F.col("permalink"))
     label = F.col("post_type")
@@ -75,36 +71,65 @@ def index_entries(gated: DataFrame, descriptions: DataFrame, store: DataFrame, p
     return entries.filter((F.col("title") != "") & (F.col("url") != "") & (F.col("label") != ""))
 
 
+ROW_COLUMNS = ("site_id", "section_kind", "section_pos", "label", "opens_section", "entry_kind", "group_pos",
+               "entry_pos", "content_id", "title", "url", "description")
+
+
+def _curated(editorial: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Curated rows, and the first position of each of their labels."""
+    label = F.when(F.col("rendered_label") != "", F.col("rendered_label")).otherwise(F.lit(DEFAULT_EDITORIAL_LABEL))
+    rows = editorial.filter((F.col("title") != "") & (F.col("url") != "")).select(
+        "site_id", label.alias("label"), F.col("position").cast("bigint").alias("entry_pos"),
+        "title", "url", "description")
+    return rows, rows.groupBy("site_id", "label").agg(F.min("entry_pos").alias("curated_pos"))
+
+
+def curated_rows(editorial: DataFrame) -> DataFrame:
+    """Curated entries in their sections; a label may be hot and is spread."""
+    rows, places = _curated(editorial)
+    placed = attach(rows, places, ["site_id", "label"], ["url", "entry_pos"], "inner")
+    return placed.withColumns({
+        "section_kind": F.lit(EDITORIAL_KIND), "section_pos": F.col("curated_pos"),
+        "opens_section": F.col("entry_pos") == F.col("curated_pos"),
+        "entry_kind": F.lit(EDITORIAL_KIND), "group_pos": F.col("entry_pos"),
+        "content_id": F.lit(None).cast("bigint"),
+    }).select(*ROW_COLUMNS)
+
+
+def automatic_rows(entries: DataFrame) -> DataFrame:
+    """Automatic entries in their sections, in profile order.
+
+    The windows see capped entries only: at most the cap for each exposed type.
+    """
+    by_label = Window.partitionBy("site_id", "label")
+    by_type = Window.partitionBy("site_id", "label", "type_order")
+    section = F.min("type_order").over(by_label).cast("bigint")
+    first = F.min("type_rank").over(by_type)
+    return entries.withColumns({
+        "section_kind": F.lit(TYPE_KIND), "section_pos": section,
+        "opens_section": (F.col("type_order") == section) & (F.col("type_rank") == first),
+        "entry_kind": F.lit(TYPE_KIND), "group_pos": F.col("type_order").cast("bigint"),
+        "entry_pos": F.col("type_rank").cast("bigint"),
+    }).select(*ROW_COLUMNS)
+
+
 def index_rows(editorial: DataFrame, entries: DataFrame) -> DataFrame:
     """Curated and automatic entries with the place of their section.
 
     ``section_kind, section_pos`` orders the sections of a site and ``entry_kind,
-    entry_pos`` the entries in one.  A label met twice keeps its first place, with
-    curated entries ahead.  The place is an aggregate over (site, label), so no site
-    is ever sorted as a whole.
+    group_pos, entry_pos`` the entries in one.  A label met twice keeps its first place,
+    with curated entries ahead.  Places come from the curated table and the capped
+    entries, so no site is sorted as a whole and the entries are computed once.
     """
-    curated = editorial.filter((F.col("title") != "") & (F.col("url") != "")).select(
-        "site_id",
-        F.when(F.col("rendered_label") != "", F.col("rendered_label"))
-        .otherwise(F.lit(DEFAULT_EDITORIAL_LABEL)).alias("label"),
-        F.lit(EDITORIAL_KIND).alias("entry_kind"),
-        F.col("position").cast("bigint").alias("group_pos"),
-        F.col("position").cast("bigint").alias("entry_pos"),
-        F.lit(None).cast("bigint").alias("content_id"),
-        "title", "url", "description")
-    automatic = entries.select(
-        "site_id", "label",
-        F.lit(TYPE_KIND).alias("entry_kind"),
-        F.col("type_order").cast("bigint").alias("group_pos"),
-        F.col("type_rank").cast("bigint").alias("entry_pos"),
-        "content_id", "title", "url", "description")
-    rows = curated.unionByName(automatic)
-    places = rows.groupBy("site_id", "label").agg(
-        F.min(F.struct(F.col("entry_kind").alias("kind"), F.col("group_pos").alias("pos"))).alias("_place"))
-    placed = attach(rows, places, ["site_id", "label"], ["url", "entry_pos"], "inner")
-    return placed.select(
-        "site_id", F.col("_place.kind").alias("section_kind"), F.col("_place.pos").alias("section_pos"), "label",
-        "entry_kind", F.col("group_pos"), "entry_pos", "content_id", "title", "url", "description")
+    _, places = _curated(editorial)
+    automatic = automatic_rows(entries).join(places, ["site_id", "label"], "left")
+    shared = F.col("curated_pos").isNotNull()
+    merged = automatic.withColumns({
+        "section_kind": F.when(shared, F.lit(EDITORIAL_KIND)).otherwise(F.col("section_kind")),
+        "section_pos": F.coalesce("curated_pos", "section_pos"),
+        "opens_section": F.col("opens_section") & ~shared,
+    }).select(*ROW_COLUMNS)
+    return curated_rows(editorial).unionByName(merged)
 
 
 def entry_line(title: Column, url: Column, description: Column) -> Column:
@@ -131,107 +156,97 @@ def _pieces(lines: DataFrame, lines_per_piece: int) -> DataFrame:
     positions of one source and no section is gathered whole.
     """
     slot = F.floor(F.col("entry_pos") / F.lit(lines_per_piece)).cast("bigint")
-    order = F.struct("entry_pos", "content_id", "url", "line")
-    ordered = F.array_sort(F.collect_list(order))
+    ordered = F.array_sort(F.collect_list(F.struct("entry_pos", "content_id", "url", "line")))
     text = F.concat(F.array_join(F.transform(ordered, lambda o: o["line"]), "\n"), F.lit("\n"))
-    return (lines.withColumn("slot", slot)
+    place = F.struct("section_kind", "section_pos", "label", "entry_kind", "group_pos", "slot")
+    by_source = F.when(F.col("entry_kind") == TYPE_KIND, F.col("group_pos")).otherwise(F.lit(0))
+    heading = F.concat(F.lit("\n## "), tx.escape_inline(F.col("label")), F.lit("\n\n"))
+    return (lines.withColumns({"slot": slot, "group_pos": by_source})
             .groupBy("site_id", "section_kind", "section_pos", "label", "entry_kind", "group_pos", "slot")
-            .agg(text.alias("text"), F.count(F.lit(1)).alias("lines")))
+            .agg(text.alias("text"), F.count(F.lit(1)).alias("lines"), F.bool_or("opens_section").alias("opens"))
+            .select("site_id", place.alias("place"), "lines",
+                    F.when(F.col("opens"), F.concat(heading, F.col("text"))).otherwise(F.col("text")).alias("text")))
 
 
-def index_body(lines: DataFrame, profile: DataFrame, lines_per_piece: int = LINES_PER_PIECE,
-               max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
-    """The index text of each site: ``site_id, part, body, lines``.
+def _text_bound(editorial: DataFrame) -> DataFrame:
+    """An upper bound of the bytes of each site's curated lines."""
+    raw = sum((F.octet_length(F.coalesce(F.col(c), F.lit(""))) for c in ("url", "description")),
+              F.octet_length("title"))
+    return editorial.groupBy("site_id").agg(F.sum((raw * 3 + 16).cast("bigint")).alias("_bound"))
 
-    A site up to *max_body_bytes* is one row with part 0.  A bigger one stays in
-    ordered parts whose concatenation is the text.  A site without a name and
-    without sections has an empty body.
-    """
-    pieces = _pieces(lines, lines_per_piece)
-    heads = pieces.groupBy("site_id", "section_kind", "section_pos", "label").agg(
-        F.min(F.struct("entry_kind", "group_pos", "slot")).alias("_first"))
-    pieces = attach(pieces, heads, ["site_id", "section_kind", "section_pos", "label"], ["group_pos", "slot"], "inner")
-    is_first = F.struct("entry_kind", "group_pos", "slot") == F.col("_first")
-    heading = F.concat(F.lit("\n## "), tx.escape_inline(F.col("label")), F.lit("\n\n"))
-    texts = pieces.select(
-        "site_id",
-        F.struct("section_kind", "section_pos", "label", "entry_kind", "group_pos", "slot").alias("place"),
-        F.when(is_first, F.concat(heading, F.col("text"))).otherwise(F.col("text")).alias("text"), "lines")
-    return _assemble(texts, profile, max_body_bytes)
 
+def index_body(lines: DataFrame, editorial: DataFrame, profile: DataFrame,
+               lines_per_piece: int = LINES_PER_PIECE, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
+    """The index text of each site: ``site_id, part, body, lines``.
 
-def _assemble(texts: DataFrame, profile: DataFrame, max_body_bytes: int) -> DataFrame:
-    sizes = texts.groupBy("site_id").agg(
-        F.sum(F.octet_length("text").cast("bigint")).alias("_bytes"), F.count(F.lit(1)).alias("_texts"))
-    headers = profile.select("site_id", F.coalesce("site_name", F.lit("")).alias("_name"),
-                             identity_header(F.col("site_name"), F.col("tagline")).alias("_header"))
-    sized = attach(texts, sizes, ["site_id"], ["place"], "inner")
-    small = sized.filter(F.col("_bytes") <= max_body_bytes).groupBy("site_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda o: o["text"]),
-                     "").alias("_text"), F.sum("lines").alias("lines"))
-    joined = headers.join(small, "site_id", "left").join(
-        sizes.filter(F.col("_bytes") > max_body_bytes).select("site_id", F.lit(True).alias("_big")), "site_id", "left")
-    empty = (F.col("_name") == "") & F.col("_text").isNull() & F.col("_big").isNull()
-    first = joined.select(
-        "site_id", F.lit(0).cast("bigint").alias("part"),
-        F.when(empty, F.lit("")).otherwise(F.concat("_header", F.coalesce("_text", F.lit("")))).alias("body"),
-        F.coalesce("lines", F.lit(0)).alias("lines"))
-    return first.unionByName(_big_parts(sized.filter(F.col("_bytes") > max_body_bytes)))
-
-
-def _big_parts(sized: DataFrame) -> DataFrame:
-    """Parts 1, 2, ... of the sites too big for one text."""
-    part = F.row_number().over(Window.partitionBy("site_id").orderBy("place"))
-    # One row per thousands of lines: the numbering sees pieces, not documents.
-    numbered = sized.select("site_id", "place", part.cast("bigint").alias("part"))
-    return (sized.join(numbered, ["site_id", "place"])
-            .select("site_id", "part", F.col("text").alias("body"), "lines"))
+    A site's text is one row with an empty part.  Automatic lines are capped; only a very
+    long curated list makes a text too big for one row.  Such a site keeps ordered parts:
+    sorted by ``part`` and joined they are its text.  A site without a name and without
+    sections has an empty body.
+    """
+    headers = (profile.select("site_id", F.coalesce("site_name", F.lit("")).alias("name"),
+                              identity_header(F.col("site_name"), F.col("tagline")).alias("text"))
+               .join(_text_bound(editorial), "site_id", "left")
+               .withColumn("big", F.coalesce(F.col("_bound") > max_body_bytes, F.lit(False))))
+    pieces = attach(_pieces(lines, lines_per_piece), headers.select("site_id", "big"), ["site_id"], ["place"], "inner")
+    key = F.format_string("%d %019d %d %019d %019d", *[F.col(f"place.{c}") for c in (
+        "section_kind", "section_pos", "entry_kind", "group_pos", "slot")])
+    texts = pieces.select("site_id", F.when(F.col("big"), key).otherwise(F.lit("")).alias("part"),
+                          "place", "text", "lines", F.lit(False).alias("_alone"))
+    no_place = F.lit(None).cast(texts.schema["place"].dataType)
+    tops = headers.select("site_id", F.lit("").alias("part"), no_place.alias("place"), "text",
+                          F.lit(0).cast("bigint").alias("lines"),
+                          ((F.col("name") == "") & ~F.col("big")).alias("_alone"))
+    ordered = F.array_sort(F.collect_list(F.struct(
+        F.coalesce(F.col("place").isNotNull(), F.lit(False)).alias("below"), "place", "text")))
+    body = F.array_join(F.transform(ordered, lambda o: o["text"]), "")
+    whole = texts.unionByName(tops).groupBy("site_id", "part").agg(
+        body.alias("_body"), F.sum("lines").alias("lines"), F.bool_or("_alone").alias("_alone"))
+    empty = F.col("_alone") & (F.col("lines") == 0)
+    return whole.select("site_id", "part", F.when(empty, F.lit("")).otherwise(F.col("_body")).alias("body"), "lines")
 
 
 def index_artifact(bodies: DataFrame) -> DataFrame:
     """Stored form of an index: bytes and the textual entry count, per site."""
     body = tx.strip_bom(F.col("body"))
     # A part that follows another one starts right after a newline.
-    joint = F.when((F.col("part") > 0) & F.col("body").startswith("- "), F.lit(1)).otherwise(F.lit(0))
+    joint = F.when((F.col("part") != "") & F.col("body").startswith("- "), F.lit(1)).otherwise(F.lit(0))
     return bodies.groupBy("site_id").agg(
         F.count(F.lit(1)).alias("parts"),
         F.sum(F.octet_length("body").cast("bigint")).alias("body_bytes"),
         F.sum((F.regexp_count("body", F.lit(r"\n- ")) + joint).cast("bigint")).alias("entry_count"),
-        F.max(F.when(F.col("part") == 0, F.sha1(body))).alias("head_sha1"))
+        F.max(F.when(F.col("part") == "", F.sha1(body))).alias("head_sha1"))
 
 
 # --- full index ---------------------------------------------------------------------
 
 
-def full_index(editorial_lines: DataFrame, doc_rows: DataFrame, store: DataFrame) -> DataFrame:
+def full_index(editorial: DataFrame, entries: DataFrame, store: DataFrame) -> DataFrame:
     """The full-text index as ordered rows, one per document or curated line.
 
     Bodies run to megabytes, so a site's text is never gathered: reading the rows of a
-    site in order of ``place`` and joining ``text`` gives it.  *doc_rows* holds only the
-    automatic entries; curated sections keep their own headings and come first.
+    site in order of ``section_kind, section_pos, entry_pos`` and joining ``text`` gives
+    it.  Curated sections come first and do not merge with those of documents.
     """
     texts = store.select(*KEY, tx.trim(F.coalesce("markdown", F.lit(""))).alias("_body"))
-    first = doc_rows.groupBy("site_id", "label", "group_pos").agg(F.min("entry_pos").alias("_first"))
-    docs = attach(doc_rows, first, ["site_id", "label", "group_pos"], ["content_id"], "inner")
-    docs = docs.join(texts, KEY, "left")
-    is_first = F.col("entry_pos") == F.col("_first")
-    lead = F.when(is_first, F.concat(F.lit("\n## "), tx.escape_inline(F.col("label")), F.lit("\n"))).otherwise(
+    by_type = Window.partitionBy("site_id", "label", "type_order")
+    opens = F.col("type_rank") == F.min("type_rank").over(by_type)
+    docs = entries.withColumn("_opens", opens).join(texts, KEY, "left")
+    lead = F.when(F.col("_opens"), F.concat(F.lit("\n## "), tx.escape_inline(F.col("label")), F.lit("\n"))).otherwise(
         F.lit("\n---\n"))
     body = F.when(F.coalesce("_body", F.lit("")) != "", F.concat(F.lit("\n"), F.col("_body"), F.lit("\n"))).otherwise(
         F.lit(""))
     doc_text = F.concat(
         lead, F.lit("\n### "), tx.escape_inline(F.col("title")), F.lit("\n\nURL: "),
         tx.escape_link_url(F.col("url")), F.lit("\n"), body)
-    doc_out = docs.select("site_id", F.lit(TYPE_KIND).alias("section_kind"), F.col("group_pos").alias("section_pos"),
-                          "label", "entry_pos", "content_id", doc_text.alias("text"))
-    heads = editorial_lines.groupBy("site_id", "label").agg(F.min("entry_pos").alias("_first"))
-    curated = attach(editorial_lines, heads, ["site_id", "label"], ["entry_pos", "url"], "inner")
+    doc_out = docs.select("site_id", F.lit(TYPE_KIND).alias("section_kind"),
+                          F.col("type_order").cast("bigint").alias("section_pos"), "label",
+                          F.col("type_rank").cast("bigint").alias("entry_pos"), "content_id", doc_text.alias("text"))
+    curated = index_lines(curated_rows(editorial))
     heading = F.concat(F.lit("\n## "), tx.escape_inline(F.col("label")), F.lit("\n\n"))
-    curated_text = F.concat(F.when(F.col("entry_pos") == F.col("_first"), heading).otherwise(F.lit("")),
-                            F.col("line"), F.lit("\n"))
-    curated_out = curated.select(
-        "site_id", F.lit(EDITORIAL_KIND).alias("section_kind"), F.col("_first").alias("section_pos"), "label",
-        "entry_pos", F.lit(None).cast("bigint").alias("content_id"), curated_text.alias("text"))
+    curated_text = F.concat(F.when(F.col("opens_section"), heading).otherwise(F.lit("")), F.col("line"), F.lit("\n"))
+    curated_out = curated.select("site_id", "section_kind", "section_pos", "label", "entry_pos", "content_id",
+                                 curated_text.alias("text"))
     return curated_out.unionByName(doc_out)
 
 

@@ -92,7 +92,7 @@ FROM (SELECT site_id, {_STATE} AS state FROM {_CONSIDERED} g) GROUP BY site_id""
 def description_status(spark, folder):
     inputs = Inputs(spark, folder)
     ids = inputs.light.select("site_id", "content_id", "post_type", "status", "published_at")
-    rows = ds.considered_rows(ids, inputs.profile).join(inputs.descriptions, KEY, "left")
+    rows = ds.considered_rows(inputs.sited(ids)).join(inputs.descriptions, KEY, "left")
     return ds.status_tally(rows)
 
 
@@ -607,12 +607,10 @@ def channel_docs(spark, folder):
 
 
 def _with_twin_state(inputs: Inputs):
-    gated = inputs.gated()
-    state = store.known_empty(gated, inputs.store)
+    state = store.known_empty(inputs.gated(), inputs.store)
     mirrored = inputs.light.filter(F.col("content_id") % 4 == 0).select(
         *KEY, F.concat(F.col("content_id").cast("string"), F.lit(".md")).alias("mirrored_path"))
-    rows = state.join(mirrored, KEY, "left")
-    return publish.with_site(rows, inputs.profile, "home_url", "advertise_enabled", "markdown_enabled")
+    return state.join(mirrored, KEY, "left")
 
 
 @query("alternate_links", st.statement(f"""
@@ -639,8 +637,7 @@ FROM (SELECT *, list_filter([
 WHERE len(nodes) > 0""", "flags"))
 def structured_data(spark, folder):
     inputs = Inputs(spark, folder)
-    rows = publish.with_site(inputs.light.drop("language"), inputs.profile, "exposed_types", "exposed_statuses",
-                             "structured_data_enabled", "home_url", "site_name", "language")
+    rows = inputs.sited()
     posture = F.when(F.col("site_id").endswith(".com"), F.lit("none")).otherwise(F.lit("rank_math"))
     gap = cf.coverage_gap(posture, matrix=_PARTIAL)
     return publish.structured_data(rows.withColumns({"gap": gap, "weakly_exposed": exposure.weakly_exposed()}))
@@ -677,9 +674,9 @@ def document_preview(spark, folder):
                                     F.col("description").alias("entry_description"))
     cached = inputs.descriptions.select(*KEY, F.coalesce(
         tx.present(F.col("manual")), tx.present(F.col("auto")), F.lit("")).alias("cached"))
-    rows = (inputs.gated(inputs.content).join(inputs.store.select(*KEY, "markdown"), KEY, "left")
+    rows = (inputs.gated(inputs.sited(inputs.content)).join(inputs.store.select(*KEY, "markdown"), KEY, "left")
             .join(entries, KEY, "left").join(cached, KEY, "left"))
-    return publish.document_preview(publish.with_site(rows, inputs.profile, "markdown_enabled"))
+    return publish.document_preview(rows)
 
 
 def _mirror(inputs: Inputs, newest):

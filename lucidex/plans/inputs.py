@@ -46,14 +46,17 @@ class Inputs:
     def bodies(self) -> DataFrame:
         return self.sample("source_store")
 
-    def gated(self, content: DataFrame | None = None) -> DataFrame:
-        rows = self.light if content is None else content
-        return exposure.with_exposure(rows, self.profile, self.sample("content_meta"), self.sample("robots"))
+    def sited(self, content: DataFrame | None = None) -> DataFrame:
+        return exposure.with_profile(self.light if content is None else content, self.profile)
+
+    def gated(self, rows: DataFrame | None = None) -> DataFrame:
+        rows = self.sited() if rows is None else rows
+        return exposure.with_exposure(rows, self.sample("content_meta"), self.sample("robots"))
 
     @cached_property
     def entries(self) -> DataFrame:
-        capped = site_index.newest_per_type(self.light, self.profile)
-        return site_index.index_entries(self.gated(capped), self.descriptions, self.store, self.profile)
+        capped = site_index.newest_per_type(self.sited())
+        return site_index.index_entries(self.gated(capped), self.descriptions, self.store)
 
     @cached_property
     def editorial(self) -> DataFrame:
@@ -69,21 +72,15 @@ class Inputs:
 
     @cached_property
     def bodies_of_sites(self) -> DataFrame:
-        return site_index.index_body(self.lines, self.profile)
+        return site_index.index_body(self.lines, self.editorial, self.profile)
 
     @cached_property
     def full_rows(self) -> DataFrame:
-        automatic = self.entries.select(
-            "site_id", "label", F.col("type_order").cast("bigint").alias("group_pos"),
-            F.col("type_rank").cast("bigint").alias("entry_pos"), "content_id", "title", "url", "description")
-        curated = site_index.index_lines(
-            site_index.index_rows(self.editorial, self.entries).filter(F.col("entry_kind") == 0))
-        return site_index.full_index(curated, automatic, self.store)
+        return site_index.full_index(self.editorial, self.entries, self.store)
 
     @cached_property
     def eligible(self) -> DataFrame:
-        considered = ds.considered_rows(self.light, self.profile)
-        return ds.eligible_rows(self.gated(considered), self.descriptions, self.profile)
+        return ds.eligible_rows(self.gated(ds.considered_rows(self.sited())), self.descriptions)
 
     @cached_property
     def conflicts(self) -> DataFrame:

@@ -72,7 +72,7 @@ def content(spark: SparkSession, folder: str) -> DataFrame:
                 term("color", F.lit(3), F.lit("fr"))).alias("terms"),
         F.when(cid % 11 == 0, F.array(F.lit("noindex"), F.lit("follow"))).otherwise(F.array(F.lit("index")))
         .alias("robots"),
-        fields.alias("fields_json"), language.alias("language"),
+        fields.alias("fields_json"),
     )
 
 
