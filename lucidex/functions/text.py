@@ -158,8 +158,12 @@ def escape_inline(text: Column) -> Column:
     return F.regexp_replace(line, r"([\\*_])", r"\\$1")
 
 
+def escape_brackets(escaped: Column) -> Column:
+    return F.regexp_replace(escaped, r"([\[\]])", r"\\$1")
+
+
 def escape_link_text(text: Column) -> Column:
-    return F.regexp_replace(escape_inline(text), r"([\[\]])", r"\\$1")
+    return escape_brackets(escape_inline(text))
 
 
 def escape_link_url(url: Column) -> Column:
@@ -178,12 +182,6 @@ def clean_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9_\-]", "")
 
 
-def clean_slug(text: Column) -> Column:
-    """Lower case, other characters become single hyphens, none at the ends."""
-    hyphens = F.regexp_replace(F.lower(trim(text)), r"[^a-z0-9]+", "-")
-    return F.btrim(hyphens, F.lit("-"))
-
-
 def clean_field(text: Column) -> Column:
     """A one-line settings value: no tags, single spaces."""
     return collapse(F.regexp_replace(text, r"<(?:[^\s>][^>]*)?(?:>|\z)", ""))

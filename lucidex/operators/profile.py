@@ -29,32 +29,46 @@ LIST_COLUMNS = ("exposed_types", "exposed_statuses", "excluded_ids", "excluded_s
                 "excluded_term_ids", "excluded_term_slugs")
 
 
-def _list(column: Column) -> Column:
-    return F.coalesce(column, F.array().cast("array<string>"))
+_NO_WORDS = "cast(array() AS array<string>)"
 
 
-def clean_types(types: Column, public_types: tuple[str, ...]) -> Column:
-    keys = F.transform(_list(types), tx.clean_key)
-    public = F.array(*[F.lit(t) for t in public_types])
-    return F.array_distinct(F.filter(keys, lambda k: F.array_contains(public, k)))
+def _words(column: str) -> str:
+    return f"coalesce({column}, {_NO_WORDS})"
 
 
-def clean_statuses(statuses: Column) -> Column:
-    allowed = F.array(*[F.lit(s) for s in ALLOWED_STATUSES])
-    keys = F.transform(_list(statuses), tx.clean_key)
-    kept = F.array_distinct(F.filter(keys, lambda k: F.array_contains(allowed, k)))
-    return F.when(F.size(kept) == 0, F.array(F.lit("publish"))).otherwise(kept)
+def _key(item: str) -> str:
+    return f"regexp_replace(lower({item}), r'[^a-z0-9_\\-]', '')"
 
 
-def clean_ids(ids: Column) -> Column:
-    numbers = F.transform(_list(ids), lambda v: F.abs(F.regexp_extract(
-        v, r"^\s*([+-]?[0-9]{1,18})", 1).try_cast("bigint")))
-    return F.array_distinct(F.filter(numbers, lambda n: n > 0))
+def _quoted(values: tuple[str, ...]) -> str:
+    return ", ".join("'" + value.replace("'", "\\'") + "'" for value in values)
 
 
-def clean_slugs(slugs: Column) -> Column:
-    cleaned = F.transform(_list(slugs), tx.clean_slug)
-    return F.array_distinct(F.filter(cleaned, lambda s: s != ""))
+def clean_types(column: str, public_types: tuple[str, ...]) -> Column:
+    """Keys of public types, once each."""
+    return F.expr(f"array_distinct(filter(transform({_words(column)}, v -> {_key('v')}), "
+                  f"k -> k IN ({_quoted(public_types)})))")
+
+
+def clean_statuses(column: str) -> Column:
+    """Allowed statuses, once each; none left means published only."""
+    kept = (f"array_distinct(filter(transform({_words(column)}, v -> {_key('v')}), "
+            f"k -> k IN ({_quoted(ALLOWED_STATUSES)})))")
+    return F.expr(f"transform(array({kept}), s -> CASE WHEN size(s) = 0 THEN array({_quoted(DEFAULT_STATUSES)}) "
+                  f"ELSE s END)[0]")
+
+
+def clean_ids(column: str) -> Column:
+    """Absolute integers above zero, once each."""
+    number = "abs(try_cast(regexp_extract(v, r'^\\s*([+-]?[0-9]{1,18})', 1) AS bigint))"
+    return F.expr(f"array_distinct(filter(transform({_words(column)}, v -> {number}), n -> n > 0))")
+
+
+def clean_slugs(column: str) -> Column:
+    """Lower-case hyphenated slugs, once each."""
+    blanks = "' \\n\\r\\t\\u000B\\u0000'"
+    slug = f"trim(BOTH '-' FROM regexp_replace(lower(trim(BOTH {blanks} FROM v)), r'[^a-z0-9]+', '-'))"
+    return F.expr(f"array_distinct(filter(transform({_words(column)}, v -> {slug}), s -> s <> ''))")
 
 
 def normalise_profile(stored: DataFrame, public_types: tuple[str, ...] = ("post", "page", "product")) -> DataFrame:
@@ -67,12 +81,12 @@ def normalise_profile(stored: DataFrame, public_types: tuple[str, ...] = ("post"
     mode = F.col("static_mode")
     return stored.withColumns({
         **flags,
-        "exposed_types": clean_types(F.col("exposed_types"), public_types),
-        "exposed_statuses": clean_statuses(F.col("exposed_statuses")),
-        "excluded_ids": clean_ids(F.col("excluded_ids")),
-        "excluded_slugs": clean_slugs(F.col("excluded_slugs")),
-        "excluded_term_ids": clean_ids(F.col("excluded_term_ids")),
-        "excluded_term_slugs": clean_slugs(F.col("excluded_term_slugs")),
+        "exposed_types": clean_types("exposed_types", public_types),
+        "exposed_statuses": clean_statuses("exposed_statuses"),
+        "excluded_ids": clean_ids("excluded_ids"),
+        "excluded_slugs": clean_slugs("excluded_slugs"),
+        "excluded_term_ids": clean_ids("excluded_term_ids"),
+        "excluded_term_slugs": clean_slugs("excluded_term_slugs"),
         "static_mode": F.when(mode.isin(*MIRROR_MODES), mode).otherwise(F.lit("auto")),
     })
 
@@ -89,8 +103,8 @@ def update_exposure(stored: DataFrame, requests: DataFrame,
     before = normalise_profile(stored, public_types)
     joined = before.join(asked, "site_id", "left")
     is_asked = F.col("new_types").isNotNull()
-    types = F.when(is_asked, clean_types(F.col("new_types"), public_types)).otherwise(F.col("exposed_types"))
-    statuses = F.when(is_asked, clean_statuses(F.col("new_statuses"))).otherwise(F.col("exposed_statuses"))
+    types = F.when(is_asked, clean_types("new_types", public_types)).otherwise(F.col("exposed_types"))
+    statuses = F.when(is_asked, clean_statuses("new_statuses")).otherwise(F.col("exposed_statuses"))
     changed = (types != F.col("exposed_types")) | (statuses != F.col("exposed_statuses"))
     return joined.withColumns({
         "changed": changed, "exposed_types": types, "exposed_statuses": statuses,

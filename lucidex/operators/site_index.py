@@ -133,10 +133,14 @@ def index_rows(editorial: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def entry_line(title: Column, url: Column, description: Column) -> Column:
-    link = F.concat(F.lit("- ["), tx.escape_link_text(title), F.lit("]("), tx.escape_link_url(url), F.lit(")"))
-    tail = F.when(F.coalesce(description, F.lit("")) != "",
-                  F.concat(F.lit(": "), tx.escape_inline(description))).otherwise(F.lit(""))
-    return F.concat(link, tail)
+    """One Markdown list line; both texts are escaped in one pass."""
+    words = F.transform(F.array(title, F.coalesce(description, F.lit(""))), tx.escape_inline)
+
+    def line(text: Column) -> Column:
+        link = F.concat(F.lit("- ["), tx.escape_brackets(text[0]), F.lit("]("), tx.escape_link_url(url), F.lit(")"))
+        return F.when(description != "", F.concat(link, F.lit(": "), text[1])).otherwise(link)
+
+    return tx.let(words, line)
 
 
 def index_lines(rows: DataFrame) -> DataFrame:
@@ -144,9 +148,13 @@ def index_lines(rows: DataFrame) -> DataFrame:
 
 
 def identity_header(site_name: Column, tagline: Column) -> Column:
-    name, words = F.coalesce(site_name, F.lit("")), F.coalesce(tagline, F.lit(""))
-    second = F.when(words != "", F.concat(F.lit("> "), tx.escape_inline(words), F.lit("\n"))).otherwise(F.lit(""))
-    return F.concat(F.lit("# "), tx.escape_inline(name), F.lit("\n"), second)
+    words = F.transform(F.array(F.coalesce(site_name, F.lit("")), F.coalesce(tagline, F.lit(""))), tx.escape_inline)
+
+    def lines(text: Column) -> Column:
+        first = F.concat(F.lit("# "), text[0], F.lit("\n"))
+        return F.when(tagline != "", F.concat(first, F.lit("> "), text[1], F.lit("\n"))).otherwise(first)
+
+    return tx.let(words, lines)
 
 
 def _pieces(lines: DataFrame, lines_per_piece: int) -> DataFrame:

@@ -58,7 +58,7 @@ SELECT site_id, CASE right(site_id, 4) WHEN '.com' THEN 'page' WHEN '.net' THEN
  right(site_id, 4) = '.com' AS changed
 FROM (SELECT DISTINCT site_id FROM content)""", "content"))
 def profile_update(spark, folder):
-    stored = samples.stored_profiles(spark, folder)
+    stored = Inputs(spark, folder).sample("stored_profiles")
     com = F.col("site_id").endswith(".com")
     requests = stored.filter(~F.col("site_id").endswith(".net")).select(
         "site_id",
@@ -119,7 +119,7 @@ LEFT JOIN (SELECT CASE content_id % 5 WHEN 0 THEN 'cleanup_status' WHEN 1 THEN '
 UNION ALL SELECT 'kept', count(*) + count(CASE WHEN content_id % 13 IN (0, 1) THEN 1 END) * 1 + count(CASE WHEN content_id % 19 = 0 THEN 1 END)
   - count(CASE WHEN content_id % 5 < 3 THEN 1 END) FROM content""", "content"))
 def meta_sweep(spark, folder):
-    meta = samples.content_meta(spark, folder)
+    meta = Inputs(spark, folder).sample("content_meta")
     kept = store.without_retired_meta(meta, samples.RETIRED_META_KEYS).agg(F.count(F.lit(1)).alias("rows"))
     return store.retired_meta_counts(meta, samples.RETIRED_META_KEYS).unionByName(
         kept.select(F.lit("kept").alias("key"), "rows"))
@@ -394,7 +394,7 @@ SELECT s.site_id, s.content_id FROM stored s WHERE content_id NOT IN (
  SELECT user_id + 1 FROM events WHERE event_type IN ('signup', 'click', 'error') AND value > 5)""", "stored"))
 def markdown_invalidate(spark, folder):
     inputs = Inputs(spark, folder)
-    fed = samples.changes(spark, folder).join(
+    fed = Inputs(spark, folder).sample("changes").join(
         samples.table(spark, folder, "events").select("event_id", "value"), "event_id").filter(F.col("value") > 5)
     dropping = fed.filter(F.col("kind").isin("insert", "save", "trash")).select("content_id")
     keyed = inputs.content.select("site_id", "content_id").join(dropping, "content_id", "left_semi")

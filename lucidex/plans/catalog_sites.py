@@ -154,7 +154,7 @@ def description_apply(spark, folder):
         F.when(kind == 1, F.lit("network")).alias("error_code"), (cid % 2 == 0).alias("needs_retry"),
         F.when(kind == 2, F.lit("EMPTY"))
         .otherwise(F.concat(F.lit("Summary: Reply "), cid.cast("string"), F.lit(" "), F.coalesce("auto", F.lit(""))))
-        .alias("reply"), samples.modified_at(cid).alias("modified_at"))
+        .alias("reply"), F.expr(samples.MODIFIED).alias("modified_at"))
     requests = rows.filter(kind < 4).select(
         *KEY, samples.case_of(kind, {0: "set", 1: "clear", 2: "regenerate"}, "reset").alias("request"),
         F.when(cid % 10 == 0, F.lit(" <b></b> ")).otherwise(F.lit("Description:  Own\nwords")).alias("manual_text"))
@@ -258,7 +258,7 @@ SELECT site_id, CASE o WHEN 0 THEN 'yoast' WHEN 1 THEN 'rank_math' WHEN 2 THEN '
 FROM (SELECT site_id, min(CASE split_part(slug, '/', 1) WHEN 'wordpress-seo' THEN 0 WHEN 'seo-by-rank-math' THEN 1 WHEN 'all-in-one-seo-pack' THEN 2 END) AS o
  FROM plugins GROUP BY site_id)""", "plugins"))
 def seo_posture(spark, folder):
-    return cf.seo_posture(samples.active_plugins(spark, folder))
+    return cf.seo_posture(Inputs(spark, folder).sample("active_plugins"))
 
 
 _PARTIAL = {"yoast": ("WebSite", "Organization", "WebPage", "Article", "BreadcrumbList"),
@@ -271,7 +271,7 @@ SELECT site_id, CASE WHEN o = 0 THEN '' WHEN o = 1 THEN 'WebPage|Article' ELSE '
 FROM (SELECT site_id, min(CASE split_part(slug, '/', 1) WHEN 'wordpress-seo' THEN 0 WHEN 'seo-by-rank-math' THEN 1 WHEN 'all-in-one-seo-pack' THEN 2 END) AS o
  FROM plugins GROUP BY site_id)""", "plugins"))
 def coverage_gap(spark, folder):
-    postures = cf.seo_posture(samples.active_plugins(spark, folder))
+    postures = cf.seo_posture(Inputs(spark, folder).sample("active_plugins"))
     return postures.select(
         "site_id", F.array_join(cf.coverage_gap(F.col("posture"), matrix=_PARTIAL), "|").alias("gap"),
         F.array_join(cf.coverage_deferred(F.col("posture"), matrix=_PARTIAL), "|").alias("deferred"))
@@ -330,16 +330,16 @@ def description_coverage(spark, folder):
 
 
 def _channels(inputs: Inputs):
-    probes = samples.root_files(inputs.spark, inputs.folder).groupBy("site_id").agg(
+    probes = inputs.sample("root_files").groupBy("site_id").agg(
         F.bool_or(F.col("path") == "/llms.txt").alias("has_ai_txt"),
         F.bool_or(F.col("path") == "/sub/llms.txt").alias("has_ai_layer"),
         F.count(F.lit(1)).alias("_n")).select(
             "*", (F.col("_n") > 3).alias("has_policy"), (F.col("_n") > 4).alias("has_openapi_json"),
             F.lit(None).cast("boolean").alias("has_openapi_yaml"), (F.col("_n") == 1).alias("has_swagger"))
-    sites = samples.hosts(inputs.spark, inputs.folder).groupBy("site_id").agg(
+    sites = inputs.sample("hosts").groupBy("site_id").agg(
         (F.min("page_id") % 2 == 0).alias("channels_enabled")).withColumn(
             "home_url", F.concat(F.lit("https://"), "site_id", F.lit("/")))
-    providers = cf.active_provider(samples.active_plugins(inputs.spark, inputs.folder), sites)
+    providers = cf.active_provider(inputs.sample("active_plugins"), sites)
     return audit.channel_presence(probes.drop("_n"), sites, providers)
 
 
@@ -728,7 +728,7 @@ _RELEVANT = """list_contains(exposed_types, post_type) AND CASE kind WHEN 'meta'
 SELECT event_id, site_id, content_id, kind FROM feed JOIN profile USING (site_id) WHERE {_RELEVANT}""", "feed", "profile"))
 def relevant_changes(spark, folder):
     inputs = Inputs(spark, folder)
-    found = triggers.relevant_changes(samples.changes(spark, folder), inputs.light, inputs.profile)
+    found = triggers.relevant_changes(Inputs(spark, folder).sample("changes"), inputs.light, inputs.profile)
     return found.select("event_id", "site_id", "content_id", "kind")
 
 
@@ -742,7 +742,7 @@ fires AS (SELECT site_id, min(second) + 5 AS due FROM marks GROUP BY site_id
 SELECT site_id, due AS fire_second""", 1))
 def rebuild_triggers(spark, folder):
     inputs = Inputs(spark, folder)
-    found = triggers.relevant_changes(samples.changes(spark, folder), inputs.light, inputs.profile)
+    found = triggers.relevant_changes(Inputs(spark, folder).sample("changes"), inputs.light, inputs.profile)
     return triggers.rebuild_triggers(found)
 
 
@@ -756,5 +756,5 @@ def retry_plan(spark, folder):
     log = samples.table(spark, folder, "events").select(
         "event_id", F.concat(F.lit("Describe page "), (F.col("user_id") % 97).cast("string")).alias("prompt"),
         F.lit("{}").alias("options"), failure.alias("failure"))
-    timed = log.join(samples.changes(spark, folder).select("event_id", "second"), "event_id")
+    timed = log.join(Inputs(spark, folder).sample("changes").select("event_id", "second"), "event_id")
     return triggers.retry_plan(timed)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lucidex.operators import descriptions as ds
 from lucidex.operators import exposure, site_index, store
 from lucidex.operators.profile import clean_editorial, normalise_profile
-from lucidex.sources import samples
+from lucidex.sources.samples import Samples
 
 
 class Inputs:
@@ -17,9 +17,10 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.samples = Samples(spark, folder)
 
     def sample(self, name: str) -> DataFrame:
-        return getattr(samples, name)(self.spark, self.folder)
+        return getattr(self.samples, name)
 
     @cached_property
     def content(self) -> DataFrame:

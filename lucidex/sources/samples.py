@@ -5,12 +5,19 @@ Every rule is fixed and simple, so that SQL can repeat it.  All rows are used.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lucidex.functions.urls import registered_site, url_host, url_path
+from lucidex.functions.urls import registered_site, url_host
+from lucidex.operators.store import content_hash
 
 RETIRED_META_KEYS = ["cleanup_status", "cleanup_hash", "cleanup_output", "cleanup_diagnostics"]
 
+PUBLISHED = "(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(content_id AS int)))"
+MODIFIED = f"({PUBLISHED} + make_dt_interval(cast(content_id % 7 AS int)))"
+SCORE = "CASE WHEN doc_id % 13 = 0 THEN cast(NULL AS int) ELSE cast(doc_id % 101 AS int) END"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -23,283 +30,241 @@ def case_of(key: Column, values: dict, default=None) -> Column:
     return chain
 
 
-def published_at(content_id: Column) -> Column:
-    start = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
-    return start + F.make_dt_interval(F.lit(0), F.lit(0), content_id.cast("int"), F.lit(0))
-
-
-def modified_at(content_id: Column) -> Column:
-    return published_at(content_id) + F.make_dt_interval((content_id % 7).cast("int"))
-
-
-def content(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages as content rows of the site named by the last two host labels."""
-    cid, html, url = F.col("content_id"), F.col("html"), F.col("url")
-    path = url_path(url)
-    language = F.regexp_extract(path, "^/([a-z]{2})/", 1)
-    title = F.regexp_extract(html, "<title>([^<]*)</title>", 1)
-    notice = F.regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)
-
-    def term(taxonomy: str, term_id: Column, slug: Column) -> Column:
-        return F.struct(F.lit(taxonomy).alias("taxonomy"), term_id.cast("bigint").alias("term_id"),
-                        slug.alias("slug"))
-
-    parity = cid % 2
-    fields = F.to_json(F.struct(
-        F.struct(F.lit("text").alias("type"), title.alias("value")).alias("intro"),
-        F.struct(F.lit("image").alias("type"), cid.alias("value")).alias("picture"),
-        F.struct(
-            F.lit("repeater").alias("type"),
-            F.array(F.struct(F.lit("q").alias("name"), F.lit("text").alias("type")),
-                    F.struct(F.lit("a").alias("name"), F.lit("textarea").alias("type"))).alias("sub_fields"),
-            F.array(F.struct(F.concat(F.lit("Where? "), url).alias("q"),
-                             F.concat(notice, F.lit("\n"), language).alias("a"))).alias("value"),
-        ).alias("faq"),
-    ))
-    return table(spark, folder, "pages").withColumn("content_id", F.col("page_id") + 1).select(
-        registered_site(url).alias("site_id"), "content_id",
-        case_of(cid % 3, {0: "post", 1: "page"}, "product").alias("post_type"),
-        case_of(cid % 10, {0: "draft", 1: "private"}, "publish").alias("status"),
-        case_of(cid % 17, {0: "x"}, "").alias("password"),
-        F.when(cid % 41 == 0, F.lit("hello-world")).when(cid % 43 == 0, F.lit("sample-page"))
-        .otherwise(F.regexp_extract(path, "([^/]+)/?$", 1)).alias("slug"),
-        F.when(cid % 23 == 0, F.lit("  ")).otherwise(title).alias("title"),
-        F.when(cid % 4 == 0, F.lit("")).otherwise(notice).alias("excerpt"),
-        html.alias("body_html"), url.alias("permalink"),
-        published_at(cid).alias("published_at"), modified_at(cid).alias("modified_at"),
-        F.array(term("category", case_of(language, {"en": 1, "fr": 2, "de": 3, "es": 4}, 0), language),
-                term("post_tag", parity + 10, case_of(parity, {0: "even"}, "odd")),
-                term("color", F.lit(3), F.lit("fr"))).alias("terms"),
-        F.when(cid % 11 == 0, F.array(F.lit("noindex"), F.lit("follow"))).otherwise(F.array(F.lit("index")))
-        .alias("robots"),
-        fields.alias("fields_json"),
-    )
-
-
-def content_meta(spark: SparkSession, folder: str) -> DataFrame:
-    """Long metadata of pages, retired keys included."""
-    cid = F.col("content_id")
-    entries = F.array_compact(F.array(
-        F.when(cid % 13 == 0, F.struct(F.lit("excluded").alias("key"), F.lit("1").alias("value"))),
-        F.when(cid % 13 == 1, F.struct(F.lit("excluded").alias("key"), F.lit("0").alias("value"))),
-        F.when(cid % 19 == 0, F.struct(F.lit("yoast_noindex").alias("key"), F.lit("1").alias("value"))),
-        F.struct(case_of(cid % 5, {0: "cleanup_status", 1: "cleanup_hash", 2: "cleanup_output"}, "views").alias("key"),
-                 cid.cast("string").alias("value"))))
-    return content(spark, folder).select("site_id", "content_id", F.inline(entries))
-
-
-def robots(spark: SparkSession, folder: str) -> DataFrame:
-    """The SEO robots table: a row for every fifth page."""
-    cid = F.col("content_id")
-    return content(spark, folder).filter(cid % 5 == 0).select(
-        "site_id", "content_id", (cid % 2 == 0).alias("robots_default"), (cid % 3 == 0).alias("robots_noindex"))
-
-
-def stored_profiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw site settings, one row per site, as editors left them."""
-    sites = content(spark, folder).select("site_id").distinct()
-    ending = F.right("site_id", F.lit(4))
-
-    def pick(com, net, org) -> Column:
-        return F.when(ending == ".com", com).when(ending == ".net", net).otherwise(org)
-
-    def words(*values: str) -> Column:
-        return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-
-    def numbers(*values: int) -> Column:
-        return F.array(*[F.lit(v).cast("bigint") for v in values]) if values else F.array().cast("array<bigint>")
-
-    none, yes, no = F.lit(None).cast("boolean"), F.lit(True), F.lit(False)
-    text = F.lit
-    return sites.select(
-        "site_id",
-        pick(words("Post", "page!", "page", ""), words("post", "page", "product", "attachment"),
-             words("page", "product")).alias("exposed_types"),
-        pick(F.lit(None).cast("array<string>"), words("publish", "bogus", "Private"), words("bogus"))
-        .alias("exposed_statuses"),
-        pick(words("7", "-12", "x", "0", "7"), words(), words("33")).alias("excluded_ids"),
-        pick(words("  Foo Bar! ", "825"), words(), words("")).alias("excluded_slugs"),
-        pick(words(), words("3"), words()).alias("excluded_term_ids"),
-        pick(words("FR"), words(), words()).alias("excluded_term_slugs"),
-        pick(none, no, yes).alias("descriptions_enabled"),
-        pick(yes, none, yes).alias("structured_data_enabled"),
-        pick(none, yes, no).alias("markdown_enabled"),
-        pick(none, yes, no).alias("advertise_enabled"),
-        pick(none, yes, no).alias("exclude_samples"),
-        pick(none, no, yes).alias("channels_enabled"),
-        pick(none, yes, no).alias("allow_inference"),
-        pick(none, yes, no).alias("allow_training"),
-        pick(none, yes, no).alias("full_index_enabled"),
-        pick(none, no, yes).alias("content_link_enabled"),
-        pick(text("weird"), text("on"), F.lit(None).cast("string")).alias("static_mode"),
-        pick(numbers(21, 0, 23), numbers(0), numbers()).alias("utility_ids"),
-        pick(text("yoast"), text("rank_math"), text("aioseo")).alias("seo_posture"),
-        pick(yes, yes, no).alias("client_configured"),
-        pick(no, yes, no).alias("static_robots"),
-        pick(text("Alpha &amp; Co"), text("Beta_\nSite"), text("")).alias("site_name"),
-        pick(text("Tools &mdash; tactics"), text(""), text("")).alias("tagline"),
-        F.concat(F.lit("https://"), "site_id", F.lit("/")).alias("home_url"),
-        pick(F.concat(F.lit("https://"), "site_id", F.lit("/sitemap.xml")), text(""), text("")).alias("sitemap_url"),
-        F.lit("en-US").alias("language"),
-    )
-
-
-def editorial(spark: SparkSession, folder: str) -> DataFrame:
-    """Curated entries: one raw row per page, most of them in need of cleaning."""
-    cid = F.col("content_id")
-    rows = content(spark, folder)
-    return rows.select(
-        "site_id", cid.alias("position"),
-        F.when(cid % 7 == 0, F.lit(" ")).otherwise(F.concat(F.lit("<b>Pick</b> "), cid.cast("string"))).alias("title"),
-        F.concat(case_of(cid % 6, {0: "ftp://", 1: "mailto:", 2: "javascript:"}, " https://"),
-                 F.lit("x.example/"), cid.cast("string"), F.lit(" ")).alias("url"),
-        F.when(cid % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("Note\n"), "slug"))
-        .alias("description"),
-        case_of(cid % 8, {0: "Featured", 1: "Resources", 2: "Custom", 3: "Custom", 4: "Bogus"}, None)
-        .alias("section"),
-        case_of(cid % 8, {2: "page", 3: " "}, "unused").alias("section_label"),
-    )
-
-
-def descriptions(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as description records of the page with the same number."""
-    doc, cid = F.col("doc_id"), F.col("content_id")
-    docs = table(spark, folder, "documents").withColumn("content_id", doc + 1)
-    sites = content(spark, folder).select("site_id", "content_id")
-    changed = modified_at(cid)
-    return docs.join(sites, "content_id").select(
-        "site_id", "content_id",
-        F.when(doc % 3 == 0, F.lit(None).cast("string")).when(doc % 29 == 1, F.lit("  ")).otherwise(F.col("text"))
-        .alias("auto"),
-        F.when(doc % 7 == 0, F.concat(F.lit(" "), F.substring("text", 1, 80))).when(doc % 7 == 1, F.lit("   "))
-        .alias("manual"),
-        F.when(doc % 5 == 0, F.lit(None).cast("timestamp_ntz"))
-        .when(doc % 5 == 1, changed - F.make_dt_interval(F.lit(1))).otherwise(changed).alias("generated_for"),
-        F.when(doc % 11 == 0, F.lit("0")).otherwise(F.lit("1")).alias("generator_version"),
-        case_of(doc % 6, {0: "pending", 1: "needs-retry", 2: "failed", 3: "done", 4: ""}, "skipped").alias("job_status"),
-    )
-
-
-def page_store(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as stored conversions of the page with the same number."""
-    from lucidex.operators.store import content_hash
-
-    doc = F.col("doc_id")
-    docs = table(spark, folder, "documents").withColumn("content_id", doc + 1)
-    pages = content(spark, folder)
-    keyed = pages.select("site_id", "content_id", content_hash().alias("_hash"))
-    return docs.join(keyed, "content_id").select(
-        "site_id", "content_id",
-        F.when(doc % 4 == 0, F.lit("outdated")).otherwise(F.col("_hash")).alias("content_hash"),
-        F.when(doc % 9 == 0, F.lit("  \n")).otherwise(F.col("text")).alias("markdown"),
-        published_at(F.col("content_id")).alias("generated_at"),
-        F.when(doc % 6 == 0, F.lit("4")).otherwise(F.lit("5")).alias("converter_version"),
-        F.when(doc % 13 == 0, F.lit(None).cast("int")).otherwise((doc % 101).cast("int")).alias("quality_score"),
-    )
-
-
-def source_store(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents as stored conversions, one site per source.
-
-    Every eighth body carries an encoded blob, every tenth leftover markup, so that
-    noise is found.
-    """
-    doc = F.col("doc_id")
-    noise = (F.when(doc % 8 == 0, F.concat("text", F.lit(" "), F.repeat(F.lit("QWxhZGRpbg"), F.length("text") % 40)))
-             .when(doc % 10 == 1, F.concat(F.lit("[vc_row full=\"1\"]<script src=\"a.js\"></script>"),
-                                           F.substring("text", 1, 60), F.lit("[/vc_row]")))
-             .otherwise(F.col("text")))
-    return table(spark, folder, "documents").select(
-        F.col("source").alias("site_id"), (doc + 1).alias("content_id"), noise.alias("markdown"),
-        F.when(doc % 13 == 0, F.lit(None).cast("int")).otherwise((doc % 101).cast("int")).alias("quality_score"),
-        published_at(doc + 1).alias("generated_at"),
-    )
-
-
-def hosts(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages with their host as the site; conflicts and plug-ins vary by host."""
-    return table(spark, folder, "pages").select(url_host(F.col("url")).alias("site_id"), "page_id", "url")
-
-
-def active_plugins(spark: SparkSession, folder: str) -> DataFrame:
-    slugs = {
-        0: "website-llms-txt/website-llms-txt.php", 1: "markdown-mirror/markdown-mirror.php",
-        2: "seo-by-rank-math/rank-math.php", 3: "wordpress-seo/wp-seo.php", 4: "akismet/akismet.php",
-        5: "llms-txt-generator/llms-txt-generator.php", 6: "ai-layer/ai-layer.php",
-        7: "all-in-one-seo-pack/all_in_one_seo_pack.php",
-    }
-    return hosts(spark, folder).select("site_id", case_of(F.col("page_id") % 11, slugs, "hello.php").alias("slug"))
-
-
-def root_files(spark: SparkSession, folder: str) -> DataFrame:
-    return hosts(spark, folder).select(
-        "site_id", case_of(F.col("page_id") % 6, {0: "/llms.txt", 1: "/sub/llms.txt"}, "/robots.txt").alias("path"))
-
-
-def rewrites(spark: SparkSession, folder: str) -> DataFrame:
-    page = F.col("page_id")
-    return hosts(spark, folder).filter(page % 3 != 2).select(
-        "site_id", F.when(page % 3 == 0, F.concat(F.lit("index.php?other="), (page % 4).cast("string")))
-        .otherwise(F.lit("index.php?lucidex_llms_txt=1")).alias("rule"))
-
-
-def changes(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as a change feed; a minute of events is a second of the feed."""
-    event = F.col("event_id")
-    start = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
-    seconds = F.floor(F.timestamp_diff("SECOND", start, F.col("ts")) / F.lit(60)).cast("bigint")
-    kinds = {"signup": "insert", "click": "save", "view": "meta", "purchase": "term", "error": "trash"}
-    return table(spark, folder, "events").select(
-        event, (F.col("user_id") + 1).alias("content_id"), case_of(F.col("event_type"), kinds, "save").alias("kind"),
-        F.when(F.col("event_type") == "view", case_of(event % 2, {0: "excluded"}, "views")).alias("meta_key"),
-        F.when(F.col("event_type") == "purchase", case_of(event % 3, {0: "category", 1: "post_tag"}, "color"))
-        .alias("taxonomy"),
-        seconds.alias("second"))
-
-
-def source_signals(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit signals of one site per source, from the documents of that source."""
-    docs = table(spark, folder, "documents")
-    doc, number = F.col("doc_id"), F.col("_k")
-    score = F.when(doc % 13 != 0, doc % 101)
-    sums = docs.groupBy("source").agg(
-        F.count(F.lit(1)).alias("_n"), F.count(score).alias("_scored"), F.avg(score).alias("_mean"),
-        F.count_if(score >= 70).alias("_above"), F.count_if(F.col("n_chars") > 600).alias("_long"),
-        F.count_if(F.col("n_chars") < 200).alias("_short"), F.count_if(doc % 9 == 0).alias("_ninth"),
-    ).withColumn("_k", F.regexp_extract("source", "([0-9]+)$", 1).cast("int"))
-
-    def some(condition: Column, *values: str) -> Column:
-        filled = F.array(*[F.lit(v) for v in values])
-        return F.when(condition, filled).otherwise(F.array().cast("array<string>"))
-
-    kinds = F.concat(some(number % 4 == 1, "plugin"), some(number % 8 == 5, "rewrite"))
-    return sums.select(
-        F.col("source").alias("site_id"),
-        F.concat(some(number % 5 != 0, "post"), some(number % 2 == 0, "page")).alias("exposed_types"),
-        F.concat(F.array(F.lit("publish")), some(number % 3 == 1, "draft"), some(number % 6 == 4, "private"))
-        .alias("exposed_statuses"),
-        (number % 2 == 0).alias("descriptions_enabled"), (number % 3 == 0).alias("advertise_enabled"),
-        (number % 4 == 2).alias("structured_data_enabled"),
-        ((number % 7 != 3) & (F.col("_long") > 0)).alias("index_populated"),
-        F.when(number % 7 == 3, F.lit(0)).otherwise(F.col("_long")).alias("entry_count"),
-        kinds.alias("conflict_kinds"), F.size(kinds).cast("bigint").alias("conflict_count"),
-        (number % 9 == 0).alias("static_robots"),
-        F.concat(F.lit("https://"), "source", F.lit(".example/llms.txt")).alias("index_url"),
-        F.when(number % 10 == 9, F.lit(0)).otherwise(F.col("_n")).cast("bigint").alias("rows_total"),
-        F.col("_scored").alias("rows_with_score"), F.coalesce("_mean", F.lit(0.0)).alias("mean_quality"),
-        F.col("_above").alias("rows_above_threshold"), F.col("_n").alias("sampled"),
-        F.when(number % 3 == 0, F.lit(0.0)).otherwise(F.col("_short") / F.col("_n")).alias("empty_ratio"),
-        F.when(number % 4 == 0, F.lit(0.0)).otherwise(F.col("_ninth") / F.col("_n")).alias("noisy_ratio"),
-        some(number % 2 == 1, " ", "First title", "Second, title", "Third").alias("worst_titles"),
-        some(number % 2 == 1, "17 https://a.example/17").alias("worst_refs"),
-        case_of(number % 4, {0: "yoast", 1: "aioseo"}, "").alias("seo_plugin"),
-        (number % 3 != 1).alias("client_configured"),
-        F.when(number % 11 == 10, F.lit(0)).otherwise(F.col("_n")).cast("bigint").alias("total_entries"),
-        F.when(number % 6 == 0, F.col("_n")).otherwise(F.col("_long")).alias("entries_with_description"),
-        (number % 2 == 0).alias("ai_txt_present"), (number % 3 != 2).alias("ai_layer_present"),
-        (number % 5 < 3).alias("policy_present"), (number % 4 == 3).alias("openapi_present"),
-        F.when(number % 5 == 0, F.lit("ai_layer")).alias("provider_slug"),
-        F.when(number % 5 == 0, F.lit("AI Layer")).alias("provider_name"),
-        F.when(number % 10 == 0, F.lit("https://a.example/wp-admin/admin.php?page=ai-layer"))
-        .alias("provider_config_url"),
-    )
+class Samples:
+    """The engine's tables over one folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.folder, name)
+
+    @cached_property
+    def content(self) -> DataFrame:
+        """Pages as content rows of the site named by the last two host labels."""
+        named = self.table("pages").select(
+            registered_site(F.col("url")).alias("site_id"),
+            F.expr("page_id + 1").alias("content_id"), "url", "html",
+            F.expr(r"regexp_extract(url, r'^[a-z]+://[^/?#]+([^?#]*)', 1)").alias("path"),
+            F.expr(r"regexp_extract(html, r'<title>([^<]*)</title>', 1)").alias("heading"),
+            F.expr(r"""regexp_extract(html, r'<div class="ad">([^<]*)</div>', 1)""").alias("notice"),
+            F.expr(r"regexp_extract(url, r'^[a-z]+://[^/?#]+/([a-z]{2})/', 1)").alias("lang"))
+        return named.selectExpr(
+            "site_id", "content_id",
+            "CASE content_id % 3 WHEN 0 THEN 'post' WHEN 1 THEN 'page' ELSE 'product' END AS post_type",
+            "CASE content_id % 10 WHEN 0 THEN 'draft' WHEN 1 THEN 'private' ELSE 'publish' END AS status",
+            "CASE WHEN content_id % 17 = 0 THEN 'x' ELSE '' END AS password",
+            "CASE WHEN content_id % 41 = 0 THEN 'hello-world' WHEN content_id % 43 = 0 THEN 'sample-page' "
+            "ELSE regexp_extract(path, r'([^/]+)/?$', 1) END AS slug",
+            "CASE WHEN content_id % 23 = 0 THEN '  ' ELSE heading END AS title",
+            "CASE WHEN content_id % 4 = 0 THEN '' ELSE notice END AS excerpt",
+            "html AS body_html", "url AS permalink",
+            f"{PUBLISHED} AS published_at", f"{MODIFIED} AS modified_at",
+            "array(named_struct('taxonomy', 'category', 'term_id', CASE lang WHEN 'en' THEN 1L WHEN 'fr' THEN 2L "
+            "WHEN 'de' THEN 3L WHEN 'es' THEN 4L ELSE 0L END, 'slug', lang), "
+            "named_struct('taxonomy', 'post_tag', 'term_id', content_id % 2 + 10, "
+            "'slug', CASE content_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END), "
+            "named_struct('taxonomy', 'color', 'term_id', 3L, 'slug', 'fr')) AS terms",
+            "CASE WHEN content_id % 11 = 0 THEN array('noindex', 'follow') ELSE array('index') END AS robots",
+            "to_json(named_struct('intro', named_struct('type', 'text', 'value', heading), "
+            "'picture', named_struct('type', 'image', 'value', content_id), "
+            "'faq', named_struct('type', 'repeater', 'sub_fields', array(named_struct('name', 'q', 'type', 'text'), "
+            "named_struct('name', 'a', 'type', 'textarea')), 'value', array(named_struct('q', 'Where? ' || url, "
+            "'a', notice || '\\n' || lang))))) AS fields_json",
+        )
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        """Site and id of every page, from the address column alone."""
+        return self.content.select("site_id", "content_id")
+
+    @cached_property
+    def content_meta(self) -> DataFrame:
+        """Long metadata of pages, retired keys included."""
+        return self.keys.selectExpr("site_id", "content_id", """inline(array_compact(array(
+            CASE WHEN content_id % 13 = 0 THEN named_struct('key', 'excluded', 'value', '1') END,
+            CASE WHEN content_id % 13 = 1 THEN named_struct('key', 'excluded', 'value', '0') END,
+            CASE WHEN content_id % 19 = 0 THEN named_struct('key', 'yoast_noindex', 'value', '1') END,
+            named_struct('key', CASE content_id % 5 WHEN 0 THEN 'cleanup_status' WHEN 1 THEN 'cleanup_hash'
+                         WHEN 2 THEN 'cleanup_output' ELSE 'views' END, 'value', cast(content_id AS string)))))""")
+
+    @cached_property
+    def robots(self) -> DataFrame:
+        """The SEO robots table: a row for every fifth page."""
+        return self.keys.filter("content_id % 5 = 0").selectExpr(
+            "site_id", "content_id", "content_id % 2 = 0 AS robots_default", "content_id % 3 = 0 AS robots_noindex")
+
+    @cached_property
+    def stored_profiles(self) -> DataFrame:
+        """Raw site settings, one row per site, as editors left them."""
+        none, yes, no, empty = "cast(NULL AS boolean)", "true", "false", "cast(array() AS array<string>)"
+
+        def pick(name: str, com: str, net: str, org: str) -> str:
+            return f"CASE right(site_id, 4) WHEN '.com' THEN {com} WHEN '.net' THEN {net} ELSE {org} END AS {name}"
+
+        return self.keys.select("site_id").distinct().selectExpr(
+            "site_id",
+            pick("exposed_types", "array('Post', 'page!', 'page', '')", "array('post', 'page', 'product', 'attachment')",
+                 "array('page', 'product')"),
+            pick("exposed_statuses", "cast(NULL AS array<string>)", "array('publish', 'bogus', 'Private')",
+                 "array('bogus')"),
+            pick("excluded_ids", "array('7', '-12', 'x', '0', '7')", empty, "array('33')"),
+            pick("excluded_slugs", "array('  Foo Bar! ', '825')", empty, "array('')"),
+            pick("excluded_term_ids", empty, "array('3')", empty),
+            pick("excluded_term_slugs", "array('FR')", empty, empty),
+            pick("descriptions_enabled", none, no, yes),
+            pick("structured_data_enabled", yes, none, yes),
+            pick("markdown_enabled", none, yes, no),
+            pick("advertise_enabled", none, yes, no),
+            pick("exclude_samples", none, yes, no),
+            pick("channels_enabled", none, no, yes),
+            pick("allow_inference", none, yes, no),
+            pick("allow_training", none, yes, no),
+            pick("full_index_enabled", none, yes, no),
+            pick("content_link_enabled", none, no, yes),
+            pick("static_mode", "'weird'", "'on'", "cast(NULL AS string)"),
+            pick("utility_ids", "array(21L, 0L, 23L)", "array(0L)", "cast(array() AS array<bigint>)"),
+            pick("seo_posture", "'yoast'", "'rank_math'", "'aioseo'"),
+            pick("client_configured", yes, yes, no),
+            pick("static_robots", no, yes, no),
+            pick("site_name", "'Alpha &amp; Co'", r"'Beta_\nSite'", "''"),
+            pick("tagline", "'Tools &mdash; tactics'", "''", "''"),
+            "'https://' || site_id || '/' AS home_url",
+            pick("sitemap_url", "'https://' || site_id || '/sitemap.xml'", "''", "''"),
+            "'en-US' AS language",
+        )
+
+    @cached_property
+    def editorial(self) -> DataFrame:
+        """Curated entries: one raw row per page, most of them in need of cleaning."""
+        return self.content.selectExpr(
+            "site_id", "content_id AS position",
+            "CASE WHEN content_id % 7 = 0 THEN ' ' ELSE '<b>Pick</b> ' || content_id END AS title",
+            "CASE content_id % 6 WHEN 0 THEN 'ftp://' WHEN 1 THEN 'mailto:' WHEN 2 THEN 'javascript:' "
+            "ELSE ' https://' END || 'x.example/' || content_id || ' ' AS url",
+            "CASE WHEN content_id % 3 <> 0 THEN 'Note\\n' || slug END AS description",
+            "CASE content_id % 8 WHEN 0 THEN 'Featured' WHEN 1 THEN 'Resources' WHEN 2 THEN 'Custom' "
+            "WHEN 3 THEN 'Custom' WHEN 4 THEN 'Bogus' END AS section",
+            "CASE content_id % 8 WHEN 2 THEN 'page' WHEN 3 THEN ' ' ELSE 'unused' END AS section_label",
+        )
+
+    @cached_property
+    def numbered_documents(self) -> DataFrame:
+        return self.table("documents").withColumn("content_id", F.col("doc_id") + 1)
+
+    @cached_property
+    def descriptions(self) -> DataFrame:
+        """Documents as description records of the page with the same number."""
+        return self.numbered_documents.join(self.keys, "content_id").selectExpr(
+            "site_id", "content_id",
+            "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 29 = 1 THEN '  ' ELSE text END AS auto",
+            "CASE WHEN doc_id % 7 = 0 THEN ' ' || substring(text, 1, 80) WHEN doc_id % 7 = 1 THEN '   ' END AS manual",
+            f"CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN {MODIFIED} - make_dt_interval(1) "
+            f"ELSE {MODIFIED} END AS generated_for",
+            "CASE WHEN doc_id % 11 = 0 THEN '0' ELSE '1' END AS generator_version",
+            "CASE doc_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'needs-retry' WHEN 2 THEN 'failed' WHEN 3 THEN 'done' "
+            "WHEN 4 THEN '' ELSE 'skipped' END AS job_status",
+        )
+
+    @cached_property
+    def page_store(self) -> DataFrame:
+        """Documents as stored conversions of the page with the same number."""
+        keyed = self.content.select("site_id", "content_id", content_hash().alias("_hash"))
+        return self.numbered_documents.join(keyed, "content_id").selectExpr(
+            "site_id", "content_id",
+            "CASE WHEN doc_id % 4 = 0 THEN 'outdated' ELSE _hash END AS content_hash",
+            "CASE WHEN doc_id % 9 = 0 THEN '  \\n' ELSE text END AS markdown",
+            f"{PUBLISHED} AS generated_at",
+            "CASE WHEN doc_id % 6 = 0 THEN '4' ELSE '5' END AS converter_version",
+            f"{SCORE} AS quality_score",
+        )
+
+    @cached_property
+    def source_store(self) -> DataFrame:
+        """All documents as stored conversions, one site per source.
+
+        Every eighth body carries an encoded blob and every tenth leftover markup, so
+        that noise is found.
+        """
+        return self.numbered_documents.selectExpr(
+            "source AS site_id", "content_id",
+            "CASE WHEN doc_id % 8 = 0 THEN text || ' ' || repeat('QWxhZGRpbg', length(text) % 40) "
+            "WHEN doc_id % 10 = 1 THEN '[vc_row full=\"1\"]<script src=\"a.js\"></script>' || substring(text, 1, 60) "
+            "|| '[/vc_row]' ELSE text END AS markdown",
+            f"{SCORE} AS quality_score", f"{PUBLISHED} AS generated_at")
+
+    @cached_property
+    def hosts(self) -> DataFrame:
+        """Pages with their host as the site; conflicts and plug-ins vary by host."""
+        return self.table("pages").select(url_host(F.col("url")).alias("site_id"), "page_id")
+
+    @cached_property
+    def active_plugins(self) -> DataFrame:
+        return self.hosts.selectExpr("site_id", """CASE page_id % 11
+            WHEN 0 THEN 'website-llms-txt/website-llms-txt.php' WHEN 1 THEN 'markdown-mirror/markdown-mirror.php'
+            WHEN 2 THEN 'seo-by-rank-math/rank-math.php' WHEN 3 THEN 'wordpress-seo/wp-seo.php'
+            WHEN 4 THEN 'akismet/akismet.php' WHEN 5 THEN 'llms-txt-generator/llms-txt-generator.php'
+            WHEN 6 THEN 'ai-layer/ai-layer.php' WHEN 7 THEN 'all-in-one-seo-pack/all_in_one_seo_pack.php'
+            ELSE 'hello.php' END AS slug""")
+
+    @cached_property
+    def root_files(self) -> DataFrame:
+        return self.hosts.selectExpr("site_id", "CASE page_id % 6 WHEN 0 THEN '/llms.txt' WHEN 1 THEN '/sub/llms.txt' "
+                                                "ELSE '/robots.txt' END AS path")
+
+    @cached_property
+    def rewrites(self) -> DataFrame:
+        return self.hosts.filter("page_id % 3 <> 2").selectExpr(
+            "site_id", "CASE WHEN page_id % 3 = 0 THEN 'index.php?other=' || (page_id % 4) "
+                       "ELSE 'index.php?lucidex_llms_txt=1' END AS rule")
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """Events as a change feed; a minute of events is a second of the feed."""
+        return self.table("events").selectExpr(
+            "event_id", "user_id + 1 AS content_id",
+            "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'click' THEN 'save' WHEN 'view' THEN 'meta' "
+            "WHEN 'purchase' THEN 'term' ELSE 'trash' END AS kind",
+            "CASE WHEN event_type = 'view' THEN CASE event_id % 2 WHEN 0 THEN 'excluded' ELSE 'views' END END AS meta_key",
+            "CASE WHEN event_type = 'purchase' THEN CASE event_id % 3 WHEN 0 THEN 'category' WHEN 1 THEN 'post_tag' "
+            "ELSE 'color' END END AS taxonomy",
+            "cast(floor(timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) / 60) AS bigint) AS second")
+
+    @cached_property
+    def source_signals(self) -> DataFrame:
+        """Audit signals of one site per source, from the documents of that source."""
+        empty = "cast(array() AS array<string>)"
+        sums = self.table("documents").selectExpr(
+            "source", "doc_id", "n_chars", "CASE WHEN doc_id % 13 <> 0 THEN doc_id % 101 END AS score"
+        ).groupBy("source").agg(
+            F.expr("count(1) AS n"), F.expr("count(score) AS scored"), F.expr("avg(score) AS mean"),
+            F.expr("count_if(score >= 70) AS above"), F.expr("count_if(n_chars > 600) AS longs"),
+            F.expr("count_if(n_chars < 200) AS shorts"), F.expr("count_if(doc_id % 9 = 0) AS ninths"))
+        return sums.selectExpr("*", r"cast(regexp_extract(source, r'([0-9]+)$', 1) AS int) AS k").selectExpr(
+            "source AS site_id",
+            f"concat(CASE WHEN k % 5 <> 0 THEN array('post') ELSE {empty} END, "
+            f"CASE WHEN k % 2 = 0 THEN array('page') ELSE {empty} END) AS exposed_types",
+            f"concat(array('publish'), CASE WHEN k % 3 = 1 THEN array('draft') ELSE {empty} END, "
+            f"CASE WHEN k % 6 = 4 THEN array('private') ELSE {empty} END) AS exposed_statuses",
+            "k % 2 = 0 AS descriptions_enabled", "k % 3 = 0 AS advertise_enabled",
+            "k % 4 = 2 AS structured_data_enabled", "k % 7 <> 3 AND longs > 0 AS index_populated",
+            "CASE WHEN k % 7 = 3 THEN 0L ELSE longs END AS entry_count",
+            f"concat(CASE WHEN k % 4 = 1 THEN array('plugin') ELSE {empty} END, "
+            f"CASE WHEN k % 8 = 5 THEN array('rewrite') ELSE {empty} END) AS conflict_kinds",
+            "cast(CASE WHEN k % 8 = 5 THEN 2 WHEN k % 4 = 1 THEN 1 ELSE 0 END AS bigint) AS conflict_count",
+            "k % 9 = 0 AS static_robots", "'https://' || source || '.example/llms.txt' AS index_url",
+            "CASE WHEN k % 10 = 9 THEN 0L ELSE n END AS rows_total", "scored AS rows_with_score",
+            "coalesce(mean, 0.0D) AS mean_quality", "above AS rows_above_threshold", "n AS sampled",
+            "CASE WHEN k % 3 = 0 THEN 0.0D ELSE shorts / n END AS empty_ratio",
+            "CASE WHEN k % 4 = 0 THEN 0.0D ELSE ninths / n END AS noisy_ratio",
+            f"CASE WHEN k % 2 = 1 THEN array(' ', 'First title', 'Second, title', 'Third') ELSE {empty} END AS worst_titles",
+            f"CASE WHEN k % 2 = 1 THEN array('17 https://a.example/17') ELSE {empty} END AS worst_refs",
+            "CASE k % 4 WHEN 0 THEN 'yoast' WHEN 1 THEN 'aioseo' ELSE '' END AS seo_plugin",
+            "k % 3 <> 1 AS client_configured",
+            "CASE WHEN k % 11 = 10 THEN 0L ELSE n END AS total_entries",
+            "CASE WHEN k % 6 = 0 THEN n ELSE longs END AS entries_with_description",
+            "k % 2 = 0 AS ai_txt_present", "k % 3 <> 2 AS ai_layer_present", "k % 5 < 3 AS policy_present",
+            "k % 4 = 3 AS openapi_present", "CASE WHEN k % 5 = 0 THEN 'ai_layer' END AS provider_slug",
+            "CASE WHEN k % 5 = 0 THEN 'AI Layer' END AS provider_name",
+            "CASE WHEN k % 10 = 0 THEN 'https://a.example/wp-admin/admin.php?page=ai-layer' END AS provider_config_url",
+        )
