@@ -174,10 +174,11 @@ def conflict_summary(conflicts: DataFrame) -> DataFrame:
 
 
 def assemble_signals(profile: DataFrame, index: DataFrame, conflicts: DataFrame, stats: DataFrame,
-                     rates: DataFrame, worst: DataFrame, coverage: DataFrame, channels: DataFrame) -> DataFrame:
+                     rates: DataFrame, worst: DataFrame, channels: DataFrame) -> DataFrame:
     """One row of signals per site; every input already has at most one row per site.
 
-    *worst* has at most five rows per site.
+    *index* is :func:`lucidex.operators.site_index.index_measures`; *worst* has at most
+    five rows per site.
     """
     ref = F.concat_ws(" ", F.col("content_id").cast("string"), "permalink").alias("ref")
     ordered = F.array_sort(F.collect_list(F.struct("rank", "title", ref)))
@@ -189,8 +190,7 @@ def assemble_signals(profile: DataFrame, index: DataFrame, conflicts: DataFrame,
         "structured_data_enabled", "static_robots", "client_configured",
         F.when(F.col("seo_posture") == "none", F.lit("")).otherwise(F.col("seo_posture")).alias("seo_plugin"),
         F.concat(F.col("home_url"), F.lit("llms.txt")).alias("index_url"))
-    for part in (index.select("site_id", "entry_count"), conflict_summary(conflicts), stats, rates, worst_titles,
-                 coverage, channels):
+    for part in (index, conflict_summary(conflicts), stats, rates, worst_titles, channels):
         rows = rows.join(part, "site_id", "left")
     zero = {name: F.coalesce(F.col(name), F.lit(0)) for name in (
         "entry_count", "conflict_count", "rows_total", "rows_with_score", "rows_above_threshold", "sampled",

@@ -1,8 +1,9 @@
 """HTML corpus to Markdown with quality signals and a score.
 
 Preparation and scoring are native.  One narrow ``mapInPandas`` step in between
-walks the document trees; it runs right after the scan, so whole pages are never
-shuffled.  Lower ``spark.sql.files.maxPartitionBytes`` for more, smaller tasks.
+walks the document trees; it runs right after the scan, so the pages of a big table
+are never shuffled.  Lower ``spark.sql.files.maxPartitionBytes`` for more, smaller
+tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lucidex.functions import text as tx
 from lucidex.operators import html_tree
+from lucidex.sources.tables import spread_small_scan
 
 #: Bumping this makes every stored conversion a miss.
 CONVERTER_VERSION = "5"
@@ -36,7 +38,7 @@ _COUNTERS = html_tree.COUNTERS
 def _map_documents(rows: DataFrame, key: list[str], source: str, outputs: list[tuple[str, T.DataType]],
                    work: Callable[[str], tuple]) -> DataFrame:
     """Apply *work* to one text column; only the key and that column reach Python."""
-    slim = rows.select(*key, source)
+    slim = spread_small_scan(rows.select(*key, source), *key)
     schema = T.StructType([slim.schema[name] for name in key] + [T.StructField(n, t) for n, t in outputs])
     names = [name for name, _ in outputs]
 

@@ -132,6 +132,14 @@ def index_rows(editorial: DataFrame, entries: DataFrame) -> DataFrame:
     return curated_rows(editorial).unionByName(merged)
 
 
+def index_measures(rows: DataFrame) -> DataFrame:
+    """Entries per site, and how many automatic ones carry a description."""
+    automatic = F.col("entry_kind") == TYPE_KIND
+    return rows.groupBy("site_id").agg(
+        F.count(F.lit(1)).alias("entry_count"), F.count_if(automatic).alias("total_entries"),
+        F.count_if(automatic & (F.coalesce("description", F.lit("")) != "")).alias("entries_with_description"))
+
+
 def entry_line(title: Column, url: Column, description: Column) -> Column:
     """One Markdown list line; both texts are escaped in one pass."""
     words = F.transform(F.array(title, F.coalesce(description, F.lit(""))), tx.escape_inline)

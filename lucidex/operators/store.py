@@ -26,11 +26,11 @@ def plan_conversion(content_keys: DataFrame, store: DataFrame,
     Both inputs are narrow (key, hash), so no page text takes part in the join.
     Store both tables bucketed by the key and it needs no shuffle either.
     """
-    known = store.select(*KEY, "content_hash", "converter_version",
-                         F.lit(True).alias("_stored")).filter(F.col("converter_version") == version)
-    joined = content_keys.join(known.drop("converter_version"), [*KEY, "content_hash"], "left")
-    return joined.select(*KEY, "content_hash",
-                         F.when(F.col("_stored"), F.lit("hit")).otherwise(F.lit("miss")).alias("action"))
+    known = store.filter(F.col("converter_version") == version).select(
+        *KEY, F.col("content_hash").alias("_known"))
+    is_hit = F.col("content_hash").eqNullSafe(F.col("_known"))
+    return content_keys.join(known, KEY, "left").select(
+        *KEY, "content_hash", F.when(is_hit, F.lit("hit")).otherwise(F.lit("miss")).alias("action"))
 
 
 def upsert(store: DataFrame, changes: DataFrame) -> DataFrame:

@@ -392,9 +392,9 @@ def assembled_signals(inputs: Inputs):
         F.lit(None).cast("string").alias("provider_slug"), F.lit(None).cast("string").alias("provider_name"),
         F.lit(None).cast("string").alias("provider_config_url"))
     return audit.assemble_signals(
-        inputs.profile, site_index.index_artifact(inputs.bodies_of_sites), found,
+        inputs.profile, site_index.index_measures(inputs.rows), found,
         audit.markdown_stats(inputs.store), audit.body_quality_rates(inputs.store, sample=None),
-        audit.worst_documents(inputs.store, inputs.content), audit.description_coverage(inputs.entries), presence)
+        audit.worst_documents(inputs.store, inputs.content), presence)
 
 
 def _audit_query(key: str, name: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidex.functions.urls import registered_site, url_host
 from lucidex.operators.store import content_hash
+from lucidex.sources.tables import spread_small_scan
 
 RETIRED_META_KEYS = ["cleanup_status", "cleanup_hash", "cleanup_output", "cleanup_diagnostics"]
 
@@ -19,8 +20,13 @@ MODIFIED = f"({PUBLISHED} + make_dt_interval(cast(content_id % 7 AS int)))"
 SCORE = "CASE WHEN doc_id % 13 = 0 THEN cast(NULL AS int) ELSE cast(doc_id % 101 AS int) END"
 
 
+#: Tables whose texts are worth all cores.
+_TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small_scan(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
 
 
 def case_of(key: Column, values: dict, default=None) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from lucidex.operators.skew import latest_per_key
+
 KEY = ["site_id", "content_id"]
 
 
@@ -14,6 +17,16 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def spread_small_scan(rows: DataFrame, *key: str) -> DataFrame:
+    """Use all cores on a table of fewer files than cores.
+
+    A file of one row group is one task however many cores are free.  Tables of more
+    files are read as they are split, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *key) if len(rows.inputFiles()) < cores else rows
+
+
 def save_bucketed(rows: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """Save bucketed and sorted by the document key.
 
@@ -27,32 +40,77 @@ def save_bucketed(rows: DataFrame, table: str, buckets: int, path: str | None =
     writer.saveAsTable(table)
 
 
-def latest_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The newest complete snapshot under *root*, or an empty table."""
-    version = latest_version(spark, root)
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return read_table(spark, f"{root}/version={version}")
+# A keyed table that changes: a base plus a log of small changes.
+#
+#   root/base/seq=7    the whole table as of change 7
+#   root/log/seq=8     rows put or dropped by change 8
+#   root/_commits      one row per finished write
+#
+# A change costs its own size; the table is rewritten only when it is compacted.
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """The highest version whose commit row was written."""
+def commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(seq, kind) of every finished write; one small row per write."""
     try:
-        row = spark.read.schema("version bigint").json(f"{root}/_commits_log").agg(F.max("version")).first()
+        rows = spark.read.schema("seq bigint, kind string").json(f"{root}/_commits").distinct().collect()
     except AnalysisException:
-        return None
-    return row[0]
+        return []
+    return sorted((row["seq"], row["kind"]) for row in rows)
 
 
-def write_snapshot(rows: DataFrame, root: str, version: int) -> None:
-    """Write a whole snapshot and then its one-row commit.
+def _commit(spark: SparkSession, root: str, seq: int, kind: str) -> None:
+    row = spark.createDataFrame([(seq, kind)], "seq bigint, kind string")
+    row.coalesce(1).write.mode("append").json(f"{root}/_commits")
 
-    Writing a version twice leaves the same result, so a retried batch is harmless, and
-    a reader never sees a snapshot without its commit.
+
+def next_seq(spark: SparkSession, root: str) -> int:
+    done = commits(spark, root)
+    return done[-1][0] + 1 if done else 0
+
+
+def append_change(rows: DataFrame, root: str, op: str, schema: str) -> int:
+    """Log a change: whole rows to ``put``, or keys to ``drop``.
+
+    The data is written before its commit, so a reader never sees half a change, and
+    the same change logged twice by a retry leaves the same table.
     """
-    rows.write.mode("overwrite").parquet(f"{root}/version={version}")
-    commit = rows.sparkSession.createDataFrame([(version,)], "version bigint")
-    commit.coalesce(1).write.mode("append").json(f"{root}/_commits_log")
+    spark = rows.sparkSession
+    seq = next_seq(spark, root)
+    names = StructType.fromDDL(schema)
+    full = rows.select(*[
+        (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in names.fields])
+    full.withColumn("_op", F.lit(op)).write.mode("overwrite").parquet(f"{root}/log/seq={seq}")
+    _commit(spark, root, seq, "log")
+    return seq
+
+
+def read_changing(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The table as of the last finished write."""
+    done = commits(spark, root)
+    base = max((seq for seq, kind in done if kind == "base"), default=None)
+    logged = [seq for seq, kind in done if kind == "log" and (base is None or seq > base)]
+    if base is None and not logged:
+        return spark.createDataFrame([], schema)
+    names = StructType.fromDDL(schema).names
+    full = f"{schema}, _op string, _seq bigint"
+    parts = spark.createDataFrame([], full)
+    if base is not None:
+        parts = read_table(spark, f"{root}/base/seq={base}", schema).withColumns(
+            {"_op": F.lit("put"), "_seq": F.lit(base).cast("bigint")})
+    for seq in logged:
+        change = read_table(spark, f"{root}/log/seq={seq}", f"{schema}, _op string")
+        parts = parts.unionByName(change.withColumn("_seq", F.lit(seq).cast("bigint")))
+    if not logged:
+        return parts.select(*names)
+    return latest_per_key(parts, KEY, ["_seq"]).filter(F.col("_op") == "put").select(*names)
+
+
+def compact(spark: SparkSession, root: str, schema: str) -> int:
+    """Write the table as a new base, which ends the log before it."""
+    seq = next_seq(spark, root)
+    read_changing(spark, root, schema).write.mode("overwrite").parquet(f"{root}/base/seq={seq}")
+    _commit(spark, root, seq, "base")
+    return seq
 
 
 def write_by_site(rows: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Keeping the conversion store and the derived tables fresh from a change feed."""
+"""Keeping the conversion store fresh from a change feed."""
 
 from __future__ import annotations
 
@@ -8,25 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from lucidex import schemas
-from lucidex.operators.store import invalidate, upsert
-from lucidex.sources.tables import latest_snapshot, latest_version, write_snapshot
+from lucidex.sources.tables import append_change
 
 #: Changes that drop a stored conversion.
 INVALIDATING_KINDS = ("save", "insert", "trash", "delete")
 
 
-def _next_version(batch: DataFrame, root: str) -> int:
-    version = latest_version(batch.sparkSession, root)
-    return 0 if version is None else version + 1
-
-
 def invalidating_sink(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: drop the changed documents from the store."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        store = latest_snapshot(batch.sparkSession, root, schemas.STORE)
-        kept = invalidate(store, batch.filter(batch["kind"].isin(*INVALIDATING_KINDS)))
-        write_snapshot(kept, root, _next_version(batch, root))
+        changed = batch.filter(batch["kind"].isin(*INVALIDATING_KINDS) & (batch["content_id"] > 0))
+        append_change(changed.select("site_id", "content_id").distinct(), root, "drop", schemas.STORE)
 
     return apply
 
@@ -35,13 +28,12 @@ def upserting_sink(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: put new conversions into the store."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        store = latest_snapshot(batch.sparkSession, root, schemas.STORE)
-        write_snapshot(upsert(store, batch), root, _next_version(batch, root))
+        append_change(batch, root, "put", schemas.STORE)
 
     return apply
 
 
-def start_daily(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
+def daily_run(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
     """A run that takes everything that arrived since the last one and then ends."""
     return (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True))
