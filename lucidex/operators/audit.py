@@ -169,7 +169,7 @@ def conflict_summary(conflicts: DataFrame) -> DataFrame:
     """Conflicts per site: their number and the distinct kinds in first-seen order."""
     first = conflicts.groupBy("site_id", "kind").agg(
         F.min("seen_order").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    kinds = F.transform(F.array_sort(F.collect_list(F.struct("_first", "kind"))), lambda k: k["kind"])
+    kinds = F.transform(F.sort_array(F.collect_list(F.struct("_first", "kind"))), lambda k: k["kind"])
     return first.groupBy("site_id").agg(kinds.alias("conflict_kinds"), F.sum("_n").alias("conflict_count"))
 
 
@@ -181,7 +181,7 @@ def assemble_signals(profile: DataFrame, index: DataFrame, conflicts: DataFrame,
     five rows per site.
     """
     ref = F.concat_ws(" ", F.col("content_id").cast("string"), "permalink").alias("ref")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "title", ref)))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", "title", ref)))
     worst_titles = worst.groupBy("site_id").agg(
         F.transform(ordered, lambda w: w["title"]).alias("worst_titles"),
         F.transform(ordered, lambda w: w["ref"]).alias("worst_refs"))

@@ -71,7 +71,7 @@ def fingerprints(conflicts: DataFrame) -> DataFrame:
     A site has at most one record per registry row plus two, see above.
     """
     record = F.to_json(F.struct(*[F.col(c) for c in _RECORD]))
-    ordered = F.array_sort(F.collect_list(record))
+    ordered = F.sort_array(F.collect_list(record))
     body = F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]"))
     return conflicts.groupBy("site_id").agg(
         F.sha1(body).alias("fingerprint"), F.count(F.lit(1)).alias("conflicts"))

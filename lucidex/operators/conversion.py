@@ -247,5 +247,5 @@ def field_html(flat: DataFrame, key: list[str]) -> DataFrame:
               F.concat(F.lit("<p>"), F.regexp_replace(safe, r"(\r\n|\n\r|\n|\r)", "<br />$1"), F.lit("</p>")))
         .otherwise(F.concat(F.lit("<p>"), safe, F.lit("</p>")))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", fragment.alias("html"))))
+    ordered = F.sort_array(F.collect_list(F.struct("ordinal", fragment.alias("html"))))
     return flat.groupBy(*key).agg(F.array_join(F.transform(ordered, lambda o: o["html"]), "\n").alias("field_html"))

@@ -172,7 +172,7 @@ def _pieces(lines: DataFrame, lines_per_piece: int) -> DataFrame:
     positions of one source and no section is gathered whole.
     """
     slot = F.floor(F.col("entry_pos") / F.lit(lines_per_piece)).cast("bigint")
-    ordered = F.array_sort(F.collect_list(F.struct("entry_pos", "content_id", "url", "line")))
+    ordered = F.sort_array(F.collect_list(F.struct("entry_pos", "content_id", "url", "line")))
     text = F.concat(F.array_join(F.transform(ordered, lambda o: o["line"]), "\n"), F.lit("\n"))
     place = F.struct("section_kind", "section_pos", "label", "entry_kind", "group_pos", "slot")
     by_source = F.when(F.col("entry_kind") == TYPE_KIND, F.col("group_pos")).otherwise(F.lit(0))
@@ -213,7 +213,7 @@ def index_body(lines: DataFrame, editorial: DataFrame, profile: DataFrame,
     tops = headers.select("site_id", F.lit("").alias("part"), no_place.alias("place"), "text",
                           F.lit(0).cast("bigint").alias("lines"),
                           ((F.col("name") == "") & ~F.col("big")).alias("_alone"))
-    ordered = F.array_sort(F.collect_list(F.struct(
+    ordered = F.sort_array(F.collect_list(F.struct(
         F.coalesce(F.col("place").isNotNull(), F.lit(False)).alias("below"), "place", "text")))
     body = F.array_join(F.transform(ordered, lambda o: o["text"]), "")
     whole = texts.unionByName(tops).groupBy("site_id", "part").agg(

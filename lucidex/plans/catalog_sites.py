@@ -374,7 +374,7 @@ LEFT JOIN (SELECT site_id, string_agg(title, '|' ORDER BY quality_score, content
 def site_signals(spark, folder):
     signals = assembled_signals(Inputs(spark, folder))
     # The SQL orders kinds by name, so the detection order is not compared here.
-    kinds = F.array_join(F.reverse(F.array_sort("conflict_kinds")), ",")
+    kinds = F.array_join(F.reverse(F.sort_array("conflict_kinds")), ",")
     return signals.select(
         "site_id", F.size("exposed_types").alias("types"), "entry_count", "rows_total", "rows_with_score",
         F.round("mean_quality", 9).alias("mean_quality"), "rows_above_threshold", "total_entries",
@@ -549,7 +549,7 @@ def narrative_parse(spark, folder):
              .otherwise(F.concat(F.lit("not json "), whole)))
     parsed = narrative.parse_reply(reply)
     return samples.table(spark, folder, "documents").select(
-        "doc_id", F.array_join(F.array_sort(F.map_keys(parsed)), ",").alias("names"),
+        "doc_id", F.array_join(F.sort_array(F.map_keys(parsed)), ",").alias("names"),
         F.try_element_at(parsed, F.lit("a"))["why"].alias("why"))
 
 
@@ -564,7 +564,7 @@ SELECT site_id, name, list_aggregate(list_sort(list_distinct(list_concat(nums, l
 def allowlist(spark, folder):
     names = ["exposure_safety", "integration_health", "content_readability", "schema_coverage"]
     scores = audit.sub_scores(Inputs(spark, folder).signals, only=names)
-    return scores.select("site_id", "name", F.array_join(F.array_sort(guard.allowed_numbers()), " ").alias("numbers"))
+    return scores.select("site_id", "name", F.array_join(F.sort_array(guard.allowed_numbers()), " ").alias("numbers"))
 
 
 @query("narrative_guard", st.statement(f"""

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lucidex.functions.text import let
 from lucidex.operators.exposure import EXCLUDE_KEY, EXCLUDING_TAXONOMIES
 from lucidex.operators.skew import attach
 
@@ -23,7 +24,7 @@ QUEUE_CAP = 10
 QUEUE_DELAY = 1
 
 #: Seconds of one chunk of a site's feed.
-CHUNK = 86_400
+CHUNK = 3_600
 
 
 def relevant_changes(changes: DataFrame, content: DataFrame, profile: DataFrame) -> DataFrame:
@@ -66,34 +67,37 @@ def rebuild_triggers(changes: DataFrame, wait: int = REBUILD_WAIT) -> DataFrame:
     """When each site rebuilds: ``site_id, fire_second``.
 
     The greedy rule is sequential, but a site's feed is not read in one task.  Seconds
-    collapse on the map side, and each day of a site is one chunk of at most 86,400
+    collapse on the map side, and each hour of a site is one chunk of at most 3,600
     seconds.  A chunk depends on the one before only through how far its last wait
-    reaches over midnight, which has *wait* possible values.  Each chunk is solved for
-    all of them, the short list of days is chained, and the chunks then give their fires.
+    reaches into the next hour, which has *wait* possible values.  Each chunk is solved
+    for all of them, the short list of hours is chained, and the chunks then give their
+    fires.
     """
     seconds = changes.select("site_id", F.col("second").cast("bigint").alias("second")).distinct()
-    day = F.floor(F.col("second") / F.lit(CHUNK)).cast("bigint")
-    chunks = (seconds.withColumn("day", day).groupBy("site_id", "day")
-              .agg(F.array_sort(F.collect_list("second")).alias("seconds")))
-    begin, end = F.col("day") * CHUNK, (F.col("day") + 1) * CHUNK
-    reach = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(wait - 1).cast("bigint")),
-        lambda over: F.greatest(F.lit(0).cast("bigint"), _open_until(F.col("seconds"), begin + over, wait) - end))
-    days = chunks.select("site_id", "day", reach.alias("reach"))
-    chain = days.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("day", "reach"))).alias("days"))
-
-    start = F.struct(F.lit(None).cast("bigint").alias("day"), F.lit(0).cast("bigint").alias("over"),
-                     F.array().cast("array<struct<day:bigint,over:bigint>>").alias("entered"))
-
-    def follow(state: Column, chunk: Column) -> Column:
-        over = F.when(state["day"] == chunk["day"] - 1, state["over"]).otherwise(F.lit(0).cast("bigint"))
-        entered = F.struct(chunk["day"].alias("day"), over.alias("over"))
-        return F.struct(chunk["day"].alias("day"), F.element_at(chunk["reach"], (over + 1).cast("int")).alias("over"),
-                        F.concat(state["entered"], F.array(entered)).alias("entered"))
-
-    entries = chain.select("site_id", F.inline(F.aggregate("days", start, follow, lambda s: s["entered"])))
-    solved = chunks.join(entries, ["site_id", "day"])
-    return solved.select("site_id", F.explode(_fires(F.col("seconds"), begin + F.col("over"), wait)).alias("fire_second"))
+    hour = F.floor(F.col("second") / F.lit(CHUNK)).cast("bigint")
+    chunks = (seconds.withColumn("hour", hour).groupBy("site_id", "hour")
+              .agg(F.sort_array(F.collect_list("second")).alias("seconds")))
+    begin, end = F.col("hour") * CHUNK, (F.col("hour") + 1) * CHUNK
+    zero = F.lit(0).cast("bigint")
+    offsets = F.sequence(zero, F.lit(wait - 1).cast("bigint"))
+    reach = let(F.col("seconds"), lambda ordered: F.transform(
+        offsets, lambda over: F.greatest(zero, _open_until(ordered, begin + over, wait) - end)))
+    hours = chunks.select("site_id", "hour", reach.alias("reach"))
+
+    def chain(rows: pd.DataFrame) -> pd.DataFrame:
+        """The offset each hour is entered with: one small row per active hour."""
+        entered, over, before = [], 0, None
+        rows = rows.sort_values("hour")
+        for now, reaches in zip(rows["hour"], rows["reach"]):
+            over = over if before == now - 1 else 0
+            entered.append(over)
+            before, over = now, int(reaches[over])
+        return pd.DataFrame({"site_id": rows["site_id"], "hour": rows["hour"], "over": entered})
+
+    entries = hours.groupBy("site_id").applyInPandas(chain, "site_id string, hour bigint, over bigint")
+    solved = chunks.join(entries, ["site_id", "hour"])
+    fires = let(F.col("seconds"), lambda ordered: _fires(ordered, begin + F.col("over"), wait))
+    return solved.select("site_id", F.explode(fires).alias("fire_second"))
 
 
 def stream_triggers(changes: DataFrame, wait: int = REBUILD_WAIT, watermark: str = "10 minutes") -> DataFrame:
