@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from lucidex.functions.text import EDGE_END, EDGE_START, trim
+from lucidex.functions.text import EDGE_END, EDGE_START, let, trim
 
 #: Body quality limits.
 MIN_BODY_CHARS = 48
@@ -48,17 +48,23 @@ def body_is_empty(body: Column) -> Column:
 
 def noise_chars(body: Column) -> Column:
     """Characters inside noise; a character hit by two patterns counts twice."""
-    total = F.lit(0)
-    for pattern in NOISE_PATTERNS:
+
+    def chars(pattern: str) -> Column:
         hits = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-        total = total + F.aggregate(hits, F.lit(0), lambda acc, hit: acc + F.length(hit))
-    return total
+        return F.aggregate(hits, F.lit(0), lambda acc, hit: acc + F.length(hit))
+
+    blob, markup, bracket = NOISE_PATTERNS
+    # A blob is tried only where a run of its characters starts, markup and brackets only
+    # in bodies that hold their first character.
+    has_markup = F.contains(body, F.lit("<")) | F.contains(F.lower(body), F.lit("setrevstartsize"))
+    return (chars(r"(?<![A-Za-z0-9+/])" + blob)
+            + F.when(has_markup, chars(markup)).otherwise(F.lit(0))
+            + F.when(F.contains(body, F.lit("[")), chars(bracket)).otherwise(F.lit(0)))
 
 
 def body_is_noisy(body: Column) -> Column:
-    body = F.coalesce(body, F.lit(""))
-    ratio = noise_chars(body) / F.length(body)
-    return F.when(F.length(body) > 0, ratio > MAX_NOISE_RATIO).otherwise(F.lit(False))
+    return let(F.coalesce(body, F.lit("")), lambda text: F.when(
+        F.length(text) > 0, noise_chars(text) / F.length(text) > MAX_NOISE_RATIO).otherwise(F.lit(False)))
 
 
 def instruction_flags(text: Column) -> Column:

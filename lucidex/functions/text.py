@@ -31,6 +31,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def where_it_has(text: Column, mark: str, rule: Callable[[Column], Column]) -> Column:
+    """Apply a costly pattern rule only to texts that hold the mark it needs."""
+    return let(text, lambda t: F.when(F.contains(t, F.lit(mark)), rule(t)).otherwise(t))
+
+
 def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(TRIM_SET))
 
@@ -59,9 +64,12 @@ def collapse(text: Column) -> Column:
 
 def strip_tags(text: Column) -> Column:
     """Script and style blocks go with their text, other tags leave theirs."""
-    no_blocks = F.regexp_replace(text, r"(?is)<(script|style)[^>]*?>.*?</\1>", "")
-    no_comments = F.regexp_replace(no_blocks, r"(?s)<!--.*?(?:-->|\z)", "")
-    return trim(F.regexp_replace(no_comments, r"<(?:[^\s>][^>]*)?(?:>|\z)", ""))
+    def without_tags(t: Column) -> Column:
+        no_blocks = F.regexp_replace(t, r"(?is)<(script|style)[^>]*?>.*?</\1>", "")
+        no_comments = F.regexp_replace(no_blocks, r"(?s)<!--.*?(?:-->|\z)", "")
+        return F.regexp_replace(no_comments, r"<(?:[^\s>][^>]*)?(?:>|\z)", "")
+
+    return trim(where_it_has(text, "<", without_tags))
 
 
 def cut_bytes(text: Column, size: int) -> Column:
@@ -212,14 +220,19 @@ def unwrap_shortcodes(text: Column) -> Column:
         return let(closings, lambda n: F.when(n > 0, F.aggregate(
             F.sequence(F.lit(1), n), start, one_pass, lambda s: s["text"])).otherwise(body))
 
-    unwrapped = let(text, until_stable)
-    no_self_closing = F.regexp_replace(unwrapped, r"\[[a-z][a-z0-9_-]*(?:\s[^\]]*?)?/\]", "")
-    return F.regexp_replace(no_self_closing, r"\[[a-z][a-z0-9_-]*\s[^\]]*?=[^\]]*?\]", "")
+    def all_steps(t: Column) -> Column:
+        no_self_closing = F.regexp_replace(until_stable(t), r"\[[a-z][a-z0-9_-]*(?:\s[^\]]*?)?/\]", "")
+        return F.regexp_replace(no_self_closing, r"\[[a-z][a-z0-9_-]*\s[^\]]*?=[^\]]*?\]", "")
+
+    return where_it_has(text, "[", all_steps)
 
 
 def prepare_html(html_text: Column) -> Column:
     """Editor block comments, caption, gallery and other bracket codes out."""
-    no_blocks = F.regexp_replace(html_text, r"<!--\s*/?wp:[^>]*-->", "")
-    no_captions = F.regexp_replace(no_blocks, r"(?s)\[caption[^\]]*\](.*?)\[/caption\]", "$1")
-    no_galleries = F.regexp_replace(no_captions, r"\[gallery[^\]]*\]", "")
-    return unwrap_shortcodes(no_galleries)
+    no_blocks = where_it_has(html_text, "wp:", lambda t: F.regexp_replace(t, r"<!--\s*/?wp:[^>]*-->", ""))
+
+    def no_brackets(t: Column) -> Column:
+        no_captions = F.regexp_replace(t, r"(?s)\[caption[^\]]*\](.*?)\[/caption\]", "$1")
+        return F.regexp_replace(no_captions, r"\[gallery[^\]]*\]", "")
+
+    return unwrap_shortcodes(where_it_has(no_blocks, "[", no_brackets))

@@ -51,7 +51,11 @@ def publish_indexes(content: DataFrame, profile: DataFrame, meta: DataFrame, rob
     """Write ``lines`` (rows), ``bodies`` (texts) and ``full`` (document rows) under *out*."""
     spark = content.sparkSession
     capped = site_index.newest_per_type(with_profile(content.drop("body_html", "fields_json"), profile))
-    entries = site_index.index_entries(with_exposure(capped, meta, robots), descriptions, stored, labels)
+    # Written before the texts are joined: the files show how small the capped rows are,
+    # and Spark then decides by that size whether to broadcast them.
+    with_exposure(capped, meta, robots).write.mode("overwrite").parquet(f"{out}/capped")
+    gated = spark.read.parquet(f"{out}/capped")
+    entries = site_index.index_entries(gated, descriptions, stored, labels)
     entries.write.mode("overwrite").parquet(f"{out}/entries")
     entries = spark.read.parquet(f"{out}/entries")
     lines = site_index.index_lines(site_index.index_rows(editorial, entries))
