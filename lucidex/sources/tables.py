@@ -23,6 +23,8 @@ def spread_small_scan(rows: DataFrame, *key: str) -> DataFrame:
     A file of one row group is one task however many cores are free.  Tables of more
     files are read as they are split, without a shuffle.
     """
+    if rows.isStreaming:
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores, *key) if len(rows.inputFiles()) < cores else rows
 

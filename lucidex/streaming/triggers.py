@@ -35,9 +35,16 @@ def relevant_changes(changes: DataFrame, content: DataFrame, profile: DataFrame)
     only for categories and tags of sites that exclude by term.  Works on a stream as
     well, with *content* and *profile* static.
     """
-    rows = changes.join(content.select("site_id", "content_id", "post_type"), "content_id")
+    documents = content.select("site_id", "content_id", "post_type")
+    if changes.isStreaming:
+        rows = changes.join(documents, "content_id")
+    else:
+        # One document may hold a third of the feed: look each changed document up once,
+        # then spread its changes.
+        touched = documents.join(changes.select("content_id").distinct(), "content_id", "left_semi")
+        rows = attach(changes, touched, ["content_id"], [c for c in changes.columns if c != "content_id"], "inner")
     settings = profile.select("site_id", "exposed_types", "excluded_term_ids", "excluded_term_slugs")
-    rows = attach(rows, settings, ["site_id"], ["content_id"], "inner")
+    rows = attach(rows, settings, ["site_id"], list(changes.columns), "inner")
     has_term_rules = (F.size("excluded_term_ids") > 0) | (F.size("excluded_term_slugs") > 0)
     by_kind = (
         F.when(F.col("kind") == "meta", F.col("meta_key") == EXCLUDE_KEY)

@@ -73,3 +73,24 @@ def test_invalidation_stream_equals_batch(spark, tmp_path):
         "site_id", "content_id", "content_hash", "markdown", "generated_at", "converter_version", "quality_score"))]])
     sinks.daily_run(again, sinks.upserting_sink(root), str(tmp_path / "ck2")).start().awaitTermination(120)
     assert 2 in {r["content_id"] for r in read_changing(spark, root, schemas.STORE).collect()}
+
+
+def test_relevant_changes_stream_equals_batch(spark, tmp_path):
+    schema = "content_id bigint, kind string, meta_key string, taxonomy string"
+    rows = [(1, "save", None, None), (1, "meta", "excluded", None), (1, "meta", "views", None), (1, "term", None, "category"),
+            (1, "term", None, "color"), (2, "save", None, None), (3, "trash", None, None), (3, "term", None, "post_tag")]
+    rows += [(1, "save", None, None)] * 20
+    content = spark.createDataFrame([("s", 1, "post"), ("s", 2, "movie"), ("t", 3, "post")],
+                                    "site_id string, content_id bigint, post_type string")
+    profile = spark.createDataFrame([("s", ["post"], [5], []), ("t", ["post"], [], [])],
+                                    "site_id string, exposed_types array<string>, excluded_term_ids array<bigint>, "
+                                    "excluded_term_slugs array<string>")
+    batch = triggers.relevant_changes(spark.createDataFrame(rows, schema), content, profile).collect()
+    stream = feed(spark, tmp_path / "in", schema, [rows[:5], rows[5:]])
+    streamed = drain(triggers.relevant_changes(stream, content, profile), tmp_path, "relevant")
+
+    def plain(found):
+        return sorted((r["site_id"], r["content_id"], r["kind"], r["meta_key"] or "", r["taxonomy"] or "") for r in found)
+
+    assert plain(batch) == plain(streamed) and len(batch) == 24
+    assert ("s", 1, "meta", "excluded", "") in plain(batch) and ("t", 3, "trash", "", "") in plain(batch)
