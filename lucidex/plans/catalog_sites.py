@@ -626,7 +626,7 @@ def alternate_links(spark, folder):
 
 @query("structured_data", st.statement(r"""
 SELECT site_id, content_id, CAST(len(nodes) AS INTEGER) AS nodes,
- replace(replace(CASE len(nodes) WHEN 1 THEN nodes[1] ELSE '[' || array_to_string(nodes, ',') || ']' END, '<', '<'), '>', '>') AS json_ld
+ replace(replace(CASE len(nodes) WHEN 1 THEN nodes[1] ELSE '[' || array_to_string(nodes, ',') || ']' END, '<', '\u003C'), '>', '\u003E') AS json_ld
 FROM (SELECT *, list_filter([
  CASE WHEN ending = '.com' THEN '{"@context":"https://schema.org","@type":"WebSite","@id":"' || home_url || '#website","url":"' || home_url || '","name":' || to_json(site_name) || ',"inLanguage":"en-US"}' END,
  CASE WHEN ending = '.com' THEN '{"@context":"https://schema.org","@type":"Organization","@id":"' || home_url || '#organization","name":' || to_json(site_name) || ',"url":"' || home_url || '"}' END,

@@ -159,3 +159,58 @@ def test_store_upsert_keeps_newest_and_plan_sees_it(spark):
     assert plan == {1: "hit", 2: "miss", 3: "miss", 9: "miss"}
     gone = spark.createDataFrame([("s", 1), ("s", 1), ("s", 0)], "site_id string, content_id bigint")
     assert {r["content_id"] for r in store.invalidate(done, gone).collect()} == {2, 3, 4}
+
+
+def test_structured_data_nodes(spark):
+    from lucidex.operators import publish
+
+    rows = spark.createDataFrame([
+        ("s", 1, "post", 'A <b> & "q"', "https://s/1", ["Article", "WebPage"], True),
+        ("s", 2, "page", "P", "https://s/2", ["WebSite", "WebPage"], True),
+        ("s", 3, "page", "P", "https://s/3", ["WebPage"], False)],
+        "site_id string, content_id bigint, post_type string, title string, permalink string, gap array<string>, "
+        "weakly_exposed boolean").withColumns({
+            "structured_data_enabled": F.lit(True), "home_url": F.lit("https://s/"), "site_name": F.lit("S"),
+            "language": F.lit("en-US"), "published_at": F.lit(T0).cast("timestamp_ntz"),
+            "modified_at": F.lit(T0).cast("timestamp_ntz")})
+    got = {r["content_id"]: (r["nodes"], r["json_ld"]) for r in publish.structured_data(rows).collect()}
+    import json
+
+    assert set(got) == {1, 2}
+    assert got[1][0] == 1 and "\\u003Cb\\u003E" in got[1][1] and json.loads(got[1][1])["headline"] == 'A <b> & "q"'
+    assert json.loads(got[1][1])["datePublished"] == "2024-01-01T00:00:00+00:00"
+    assert [n["@type"] for n in json.loads(got[2][1])] == ["WebSite", "WebPage"]
+
+
+def test_mirror_actions(spark):
+    from lucidex.operators import publish
+
+    day = dt.timedelta(days=1)
+    content = frame(spark, [{"site_id": "s", "content_id": i, "path": f"p{i}.md", "modified_at": T0, "has_twin": twin}
+                            for i, twin in ((1, True), (2, True), (3, True), (4, True), (5, False), (6, False))],
+                    "site_id string, content_id bigint, path string, modified_at timestamp_ntz, has_twin boolean")
+    present = frame(spark, [{"site_id": "s", "content_id": i, "present_path": p, "written_at": w} for i, p, w in (
+        (1, "p1.md", T0), (2, "old.md", T0), (3, "p3.md", T0 - day), (5, "x.md", T0), (9, "p9.md", T0))],
+                    "site_id string, content_id bigint, present_path string, written_at timestamp_ntz")
+    actions = {r["content_id"]: r["action"] for r in publish.mirror_delta(content, present, newest=None).collect()}
+    assert actions == {1: "keep", 2: "move", 3: "rewrite", 4: "write", 5: "delete", 6: "none", 9: "delete"}
+    recent = {r["content_id"] for r in publish.mirror_delta(content, present, newest=2).collect()}
+    assert recent == {5, 6}
+
+
+def test_channel_documents(spark):
+    import json
+
+    from lucidex.operators import publish
+
+    profile = normalise_profile(frame(spark, [
+        {**SITE, "site_name": "My\r\nSite", "home_url": "https://h.test/", "sitemap_url": "https://h.test/s.xml", "allow_training": True},
+        {**SITE, "site_id": "t", "site_name": " ", "home_url": "https://h.test/", "markdown_enabled": False}], schemas.PROFILE))
+    docs = {r["site_id"]: r for r in publish.channel_documents(profile).collect()}
+    assert docs["s"]["ai_txt"].startswith("# ai.txt for My Site\n") and "Sitemap: https://h.test/s.xml\n" in docs["s"]["ai_txt"]
+    assert docs["s"]["ai_txt"].endswith("Inference: allowed\nTraining: allowed\n")
+    assert "# ai.txt for h.test\n" in docs["t"]["ai_txt"] and "Sitemap" not in docs["t"]["ai_txt"]
+    assert json.loads(docs["t"]["llms_policy"]) == {
+        "version": 1, "organization": "h.test", "website": "https://h.test/", "llms_txt": "https://h.test/llms.txt",
+        "policy": {"allow_inference": True, "allow_training": False}}
+    assert json.loads(docs["t"]["ai_layer"])["channels"]["markdown_views"] is False
