@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidex.llm.blocks import read_block, token_blocks
@@ -103,9 +104,10 @@ def _joined(keys: list[str], with_ids: bool, schema: pa.Schema):
         out = []
         order = np.argsort(words.column("number").to_numpy(), kind="stable") if words.num_rows else np.zeros(0, np.int64)
         ids = words.column("ids").combine_chunks().take(pa.array(order))
-        decoded = words.column("decoded").combine_chunks().take(pa.array(order))
-        for packed in blocks.column("docs"):
-            block = read_block(packed.as_py())
+        other = words.column("decoded").combine_chunks().take(pa.array(order))
+        for docs, numbers, own_words in zip(*(blocks.column(c) for c in ("docs", "numbers", "words"))):
+            block = read_block(docs.as_py(), numbers.as_py())
+            decoded = pc.if_else(pc.is_valid(other), other, own_words.values.cast(pa.binary()))
             results = [[], [], [], []]
             first, total = 0, len(block.offsets) - 1
             while first < total:
@@ -162,7 +164,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None, keys: tuple[str, ...]
     placed = blocks.select("block", F.posexplode("words").alias("number", "word"))
     coded = saved(encode_words(placed.select("word").distinct(), tokenizer), "bpe-words")
     texts = decode(coded, ["word"], tokenizer)
-    table = saved(coded.join(texts, "word").select("word", F.col("stream").alias("ids"), "decoded"), "bpe-table")
+    # A block has its words, so what decodes to the word itself isn't sent there again.
+    other = F.when(F.col("decoded") != F.col("word").cast("binary"), F.col("decoded")).alias("decoded")
+    table = saved(coded.join(texts, "word").select("word", F.col("stream").alias("ids"), other), "bpe-table")
     back = saved(placed.join(table, "word").select("block", "number", "ids", "decoded"), "bpe-back")
     types = {f.name: f.dataType.simpleString() for f in docs.select(*keys).schema}
     spec = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
@@ -170,6 +174,6 @@ def encode(docs: DataFrame, tokenizer: str | None = None, keys: tuple[str, ...]
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(spec))
-    return (blocks.select("block", "docs").groupBy("block").cogroup(back.groupBy("block"))
+    return (blocks.select("block", "docs", "numbers", "words").groupBy("block").cogroup(back.groupBy("block"))
             .applyInArrow(_joined(keys, with_ids, schema), spec))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +56,9 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(key, value)
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where work tables go: the folder in ``spark.checkpoint.dir``.
 
@@ -61,13 +66,16 @@ def shared_folder(spark: SparkSession) -> str:
     which its machines share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            folder = tempfile.mkdtemp(prefix="lucidex-work-")
-        else:
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lucidex-work"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lucidex-work"
+    if context.applicationId not in _own_folders:
+        made = tempfile.mkdtemp(prefix="lucidex-work-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _own_folders[context.applicationId] = made
+    return _own_folders[context.applicationId]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
