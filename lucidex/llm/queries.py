@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lucidex.llm import bpe, lm, mixture, rules, secrets, simhash
-from lucidex.llm.common import table
+from lucidex.llm import bpe, lines, lm, mixture, rules, secrets, simhash
+from lucidex.llm.common import table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+LINES_SQL = rf"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+every AS (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM cut),
+lines AS (SELECT * FROM every WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+firsts AS (SELECT line, min({{'d': doc_id, 'n': line_no}}) AS first FROM lines GROUP BY line),
+variants AS (
+    SELECT line, first, p, left(line, p - 1) || substr(line, p + 1) AS variant
+    FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS p FROM firsts WHERE length(line) >= {lines.MIN_CHARS})),
+near AS (
+    SELECT a.line FROM variants a JOIN variants b ON a.variant = b.variant AND a.p = b.p AND a.line <> b.line AND b.first < a.first
+    UNION SELECT f.line FROM firsts f JOIN variants v ON v.variant = f.line AND v.first < f.first WHERE length(f.line) >= {lines.MIN_CHARS}
+    UNION SELECT v.line FROM firsts f JOIN variants v ON v.variant = f.line AND f.first < v.first WHERE length(f.line) >= {lines.MIN_CHARS}),
+gone AS (
+    SELECT l.doc_id, l.line_no FROM lines l JOIN firsts f USING (line)
+    WHERE f.first <> {{'d': l.doc_id, 'n': l.line_no}} OR l.line IN (SELECT line FROM near))
+SELECT e.doc_id, count(l.line_no) AS n_lines, count(g.line_no) AS n_removed,
+       sha256(coalesce(string_agg(e.line, chr(10) ORDER BY e.line_no) FILTER (WHERE g.line_no IS NULL), '')) AS kept_sha256
+FROM every e LEFT JOIN lines l ON e.doc_id = l.doc_id AND e.line_no = l.line_no
+LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.line_no = g.line_no GROUP BY e.doc_id
+"""
+
+
+@query("op7_line_dedup", LINES_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(whole_text().cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op8_secret_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_and_link(table(spark, sf_dir, "documents")).select(
