@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lucidex.llm import bpe, lines, lm, mixture, rules, secrets, simhash
+from lucidex.llm import bpe, lines, lm, mixture, repeats, rules, secrets, simhash
 from lucidex.llm.common import table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,30 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+REPEATS_SQL = """
+WITH texts AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+starts AS (SELECT doc_id, unnest(range(length(h) // 2 - 49)) AS s, h FROM texts WHERE length(h) >= 100),
+named AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS name FROM starts),
+least AS (SELECT name, min(doc_id) AS first FROM named GROUP BY name),
+again AS (SELECT n.doc_id, n.s FROM named n JOIN least l USING (name) WHERE l.first < n.doc_id),
+placed AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS opens FROM again),
+runs AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM placed),
+spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 50 AS b FROM runs GROUP BY doc_id, run),
+ordered AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (
+    SELECT t.doc_id, count(o.a) AS n_spans, coalesce(sum(o.b - o.a), 0) AS n_removed,
+           coalesce(string_agg(substr(t.h, 2 * o.before + 1, 2 * (o.a - o.before)), '' ORDER BY o.a), '') || substr(any_value(t.h), 2 * coalesce(max(o.b), 0) + 1) AS kept,
+           any_value(length(t.h) // 2) AS n_bytes
+    FROM texts t LEFT JOIN ordered o ON t.doc_id = o.doc_id GROUP BY t.doc_id)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM cut
+"""
+
+
+@query("op3_repeated_strings", REPEATS_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op4_simhash_groups")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents")).select(
