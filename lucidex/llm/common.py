@@ -91,7 +91,17 @@ def saved(rows: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     with settings(spark, STEP_SETTINGS):
         rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    again = spark.read.schema(rows.schema).parquet(path)
+    again._work_path = path
+    return again
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes work tables that :func:`saved` returned and nothing reads any more."""
+    for rows in tables:
+        spark = rows.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(rows._work_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
