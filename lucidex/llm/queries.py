@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lucidex.llm import bpe, lines, lm, mixture, repeats, rules, secrets, simhash, spotsigs
+from lucidex.llm import bpe, lines, lm, mixture, quality, repeats, rules, secrets, simhash, spotsigs
 from lucidex.llm.common import table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+@query("op1_attention_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op2_spot_fingerprints")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints_and_edits(table(spark, sf_dir, "documents"))
