@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from lucidex.llm import bpe, lines, lm, mixture, quality, repeats, rules, secrets, simhash, spotsigs
 from lucidex.llm.common import table, whole_text
 
@@ -153,3 +154,6 @@ FROM sizes s JOIN plans p ON s.source IS NOT DISTINCT FROM p.source JOIN edges e
 @query("op9_source_mixture", MIX_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(table(spark, sf_dir, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
