@@ -118,10 +118,10 @@ def body_quality(store: DataFrame) -> DataFrame:
     })
 
 
-def body_quality_rates(store: DataFrame, sample: int | None = SAMPLE_LIMIT) -> DataFrame:
+def body_quality_rates(store: DataFrame, sample: int | None = None) -> DataFrame:
     """Shares of empty and noisy bodies per site.
 
-    *sample* keeps the first rows by id, as a cheap estimate; None reads every row.
+    Every row is read; *sample* keeps the first rows by id, as a cheap estimate.
     """
     rows = store.select("site_id", "content_id", "markdown")
     if sample is not None:

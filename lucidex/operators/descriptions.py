@@ -73,12 +73,15 @@ def run_limit(requested: int) -> int:
     return min(MAX_RUN_LIMIT, requested if requested > 0 else DEFAULT_RUN_LIMIT)
 
 
-def considered_rows(rows: DataFrame, cap: int = 1000) -> DataFrame:
-    """Documents of exposed type and status, the newest *cap* of each site.
+def considered_rows(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """Documents of exposed type and status: all, or the newest *cap* of each site.
 
     *rows* is content with its site's profile.
     """
-    return top_per_group(rows.filter(weakly_exposed()), ["site_id"],
+    exposed = rows.filter(weakly_exposed())
+    if cap is None:
+        return exposed
+    return top_per_group(exposed, ["site_id"],
                          [F.desc("published_at"), F.desc("content_id")], cap, ["content_id"],
                          rank="considered_rank")
 
@@ -167,26 +170,29 @@ def plain_content(html: Column) -> Column:
     return tx.trim(tx.strip_tags(tx.unwrap_shortcodes(F.coalesce(html, F.lit("")))))
 
 
-def below_floor(html: Column, floor: int = MIN_CONTENT_BYTES) -> Column:
-    return F.octet_length(plain_content(html)) < max(0, floor)
+def below_floor(html: Column, floor: int | Column = MIN_CONTENT_BYTES) -> Column:
+    """Whether the text has fewer bytes than the floor, which may differ by row."""
+    return F.octet_length(plain_content(html)) < F.greatest(F.lit(0), F.lit(floor) if isinstance(floor, int) else floor)
 
 
-def description_prompt(title: Column, url: Column, html: Column) -> Column:
-    excerpt = tx.cap_bytes(plain_content(html), 500, tx.ELLIPSIS, 499)
+def description_prompt(title: Column, url: Column, html: Column, most_bytes: int = 500) -> Column:
+    """The prompt with the text's first *most_bytes* bytes, which is what its template promises."""
+    excerpt = tx.cap_bytes(plain_content(html), most_bytes, tx.ELLIPSIS, most_bytes - 1)
     return F.format_string(DESCRIPTION_PROMPT, title, url, excerpt)
 
 
-def summary_prompt(markdown: Column) -> Column:
-    return F.concat(F.lit(SUMMARY_PROMPT), tx.cap_chars(tx.trim(markdown), 2000, "", 2000))
+def summary_prompt(markdown: Column, most_chars: int = 2000) -> Column:
+    return F.concat(F.lit(SUMMARY_PROMPT), tx.cap_chars(tx.trim(markdown), most_chars, "", most_chars))
 
 
 def apply_results(descriptions: DataFrame, results: DataFrame) -> DataFrame:
     """Descriptions after a batch of generation results.
 
     *results* has one row per document: ``error_code``, ``needs_retry``, ``below_floor``,
-    ``reply``, ``modified_at``.  ``changed`` says where the shown text changed.
+    ``reply``, ``modified_at``.  ``changed`` says where the shown text changed.  A document
+    without stored description gets one.
     """
-    rows = descriptions.join(results, KEY, "left")
+    rows = descriptions.join(results, KEY, "full_outer")
     has_result = F.col("below_floor").isNotNull()
     low = has_result & F.col("below_floor")
     failed = has_result & ~F.col("below_floor") & F.col("error_code").isNotNull()
@@ -220,9 +226,9 @@ def apply_requests(descriptions: DataFrame, requests: DataFrame) -> DataFrame:
 
     ``set`` stores a manual text (one that cleans to nothing clears it), ``clear``
     removes it, ``regenerate`` drops the automatic text unless a job is pending,
-    ``reset`` drops everything.
+    ``reset`` drops everything.  A document without stored description gets a row.
     """
-    rows = descriptions.join(requests.select(*KEY, "request", "manual_text"), KEY, "left")
+    rows = descriptions.join(requests.select(*KEY, "request", "manual_text"), KEY, "full_outer")
     asked = F.coalesce("request", F.lit(""))
     wanted = F.when(asked == "set", tx.normalise_generated(F.coalesce("manual_text", F.lit(""))))
     manual_before, auto_before = F.coalesce("manual", F.lit("")), F.coalesce("auto", F.lit(""))

@@ -60,7 +60,8 @@ def clean_statuses(column: str) -> Column:
 
 def clean_ids(column: str) -> Column:
     """Absolute integers above zero, once each."""
-    number = "abs(try_cast(regexp_extract(v, r'^\\s*([+-]?[0-9]{1,18})', 1) AS bigint))"
+    # A number that is too great for an id is no id, and not another one.
+    number = "abs(try_cast(regexp_extract(v, r'^\\s*([+-]?[0-9]+)', 1) AS bigint))"
     return F.expr(f"array_distinct(filter(transform({_words(column)}, v -> {number}), n -> n > 0))")
 
 
@@ -96,8 +97,11 @@ def update_exposure(stored: DataFrame, requests: DataFrame,
     """Replace the type and status lists of the sites in *requests*.
 
     Returns the whole cleaned table with ``changed``: true where the cleaned settings
-    differ from before, which is what downstream rebuilds listen to.
+    differ from before, which is what downstream rebuilds listen to.  A site that never
+    stored settings gets a row of defaults first.
     """
+    new_sites = requests.select("site_id").distinct().join(stored.select("site_id"), "site_id", "left_anti")
+    stored = stored.unionByName(new_sites, allowMissingColumns=True)
     asked = requests.select("site_id", F.col("exposed_types").alias("new_types"),
                             F.col("exposed_statuses").alias("new_statuses"))
     before = normalise_profile(stored, public_types)

@@ -200,12 +200,12 @@ def mirror_wanted(content: DataFrame, home_path: str = "/") -> DataFrame:
     return content.withColumn("path", mirror_path(F.col("permalink"), F.lit(home_path), F.col("content_id")))
 
 
-def mirror_delta(content: DataFrame, present: DataFrame, newest: int | None = MIRROR_BATCH) -> DataFrame:
+def mirror_delta(content: DataFrame, present: DataFrame, newest: int | None = None) -> DataFrame:
     """What to do with each mirrored file.
 
     *content* has ``path, modified_at, has_twin`` for documents of exposed type and
-    status; *present* has ``present_path, written_at``.  *newest* looks only at the last
-    modified documents of each site, as a frequent light run does; None compares all.
+    status; *present* has ``present_path, written_at``.  All are compared; *newest* looks only
+    at the last modified documents of each site, as a frequent light run does.
     """
     rows = content
     if newest is not None:

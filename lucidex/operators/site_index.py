@@ -8,11 +8,10 @@ from lucidex.functions import text as tx
 from lucidex.functions.urls import markdown_url
 from lucidex.operators.descriptions import resolved_description
 from lucidex.operators.exposure import weakly_exposed
-from lucidex.operators.skew import attach, top_per_group
+from lucidex.operators.skew import attach, rank_all, top_per_group
 from lucidex.operators.store import is_empty_markdown
 
-#: Newest documents listed per type, and two labels.
-PER_TYPE_CAP = 1000
+#: Two labels.
 NO_TITLE = "(no title)"
 DEFAULT_EDITORIAL_LABEL = "Editorial"
 
@@ -26,15 +25,19 @@ KEY = ["site_id", "content_id"]
 EDITORIAL_KIND, TYPE_KIND = 0, 1
 
 
-def newest_per_type(rows: DataFrame, cap: int = PER_TYPE_CAP) -> DataFrame:
-    """The newest *cap* documents of each exposed type and status.
+def newest_per_type(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """All documents of each exposed type and status, newest first, or the newest *cap*.
 
-    *rows* is content with its site's profile.  The cap comes before the exposure gate:
+    *rows* is content with its site's profile.  A cap comes before the exposure gate:
     refused documents use up places.
     """
     listed = rows.filter(weakly_exposed())
-    ranked = top_per_group(listed, ["site_id", "post_type"], [F.desc("published_at"), F.desc("content_id")],
-                           cap, ["content_id"], rank="type_rank")
+    group, order = ["site_id", "post_type"], [F.desc("published_at"), F.desc("content_id")]
+    if cap is None:
+        hour = F.unix_seconds(F.date_trunc("hour", F.col("published_at")).cast("timestamp"))
+        ranked = rank_all(listed, group, hour, order, rank="type_rank")
+    else:
+        ranked = top_per_group(listed, group, order, cap, ["content_id"], rank="type_rank")
     return ranked.withColumn("type_order", F.array_position("exposed_types", F.col("post_type")).cast("int"))
 
 
@@ -96,18 +99,23 @@ def curated_rows(editorial: DataFrame) -> DataFrame:
     }).select(*ROW_COLUMNS)
 
 
+def type_places(entries: DataFrame) -> DataFrame:
+    """The first rank that each label and type of a site has an entry for."""
+    return entries.groupBy("site_id", "label", "type_order").agg(F.min("type_rank").alias("first_rank"))
+
+
 def automatic_rows(entries: DataFrame) -> DataFrame:
     """Automatic entries in their sections, in profile order.
 
-    The windows see capped entries only: at most the cap for each exposed type.
+    Where a section begins is an aggregate with one row per label and type, attached to the entries.
     """
+    places = type_places(entries)
     by_label = Window.partitionBy("site_id", "label")
-    by_type = Window.partitionBy("site_id", "label", "type_order")
-    section = F.min("type_order").over(by_label).cast("bigint")
-    first = F.min("type_rank").over(by_type)
-    return entries.withColumns({
-        "section_kind": F.lit(TYPE_KIND), "section_pos": section,
-        "opens_section": (F.col("type_order") == section) & (F.col("type_rank") == first),
+    sections = places.withColumn("section_pos", F.min("type_order").over(by_label).cast("bigint"))
+    placed = attach(entries, sections, ["site_id", "label", "type_order"], ["content_id"], "inner")
+    return placed.withColumns({
+        "section_kind": F.lit(TYPE_KIND),
+        "opens_section": (F.col("type_order") == F.col("section_pos")) & (F.col("type_rank") == F.col("first_rank")),
         "entry_kind": F.lit(TYPE_KIND), "group_pos": F.col("type_order").cast("bigint"),
         "entry_pos": F.col("type_rank").cast("bigint"),
     }).select(*ROW_COLUMNS)
@@ -245,9 +253,8 @@ def full_index(editorial: DataFrame, entries: DataFrame, store: DataFrame) -> Da
     it.  Curated sections come first and do not merge with those of documents.
     """
     texts = store.select(*KEY, tx.trim(F.coalesce("markdown", F.lit(""))).alias("_body"))
-    by_type = Window.partitionBy("site_id", "label", "type_order")
-    opens = F.col("type_rank") == F.min("type_rank").over(by_type)
-    docs = entries.withColumn("_opens", opens).join(texts, KEY, "left")
+    placed = attach(entries, type_places(entries), ["site_id", "label", "type_order"], ["content_id"], "inner")
+    docs = placed.withColumn("_opens", F.col("type_rank") == F.col("first_rank")).join(texts, KEY, "left")
     lead = F.when(F.col("_opens"), F.concat(F.lit("\n## "), tx.escape_inline(F.col("label")), F.lit("\n"))).otherwise(
         F.lit("\n---\n"))
     body = F.when(F.coalesce("_body", F.lit("")) != "", F.concat(F.lit("\n"), F.col("_body"), F.lit("\n"))).otherwise(

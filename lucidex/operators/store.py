@@ -34,8 +34,15 @@ def plan_conversion(content_keys: DataFrame, store: DataFrame,
 
 
 def upsert(store: DataFrame, changes: DataFrame) -> DataFrame:
-    """The store after the changes: the newest row per document."""
-    return latest_per_key(store.unionByName(changes), KEY, ["generated_at", "content_hash"])
+    """The store after the changes: the newest row per document, a change winning a tie.
+
+    Only keys and times of the store are compared; its texts are kept or dropped where they are.
+    """
+    newest = latest_per_key(changes, KEY, ["generated_at", "content_hash"])
+    times = store.groupBy(*KEY).agg(F.max("generated_at").alias("_stored_at"))
+    wins = F.col("_stored_at").isNull() | (F.col("generated_at") >= F.col("_stored_at"))
+    winning = newest.join(times, KEY, "left").filter(wins).drop("_stored_at")
+    return store.join(winning.select(*KEY), KEY, "left_anti").unionByName(winning.select(*store.columns))
 
 
 def invalidate(store: DataFrame, changes: DataFrame) -> DataFrame:
@@ -63,4 +70,5 @@ def retired_meta_counts(meta: DataFrame, retired_keys: list[str]) -> DataFrame:
 
 
 def without_retired_meta(meta: DataFrame, retired_keys: list[str]) -> DataFrame:
-    return meta.filter(~F.col("key").isin(*retired_keys))
+    """The other rows; a row without key is none of the retired ones."""
+    return meta.filter(~F.coalesce(F.col("key").isin(*retired_keys), F.lit(False)))

@@ -280,17 +280,6 @@ def error_class(spark, folder):
 # --- conversion ----------------------------------------------------------------------
 
 
-@query("html_to_markdown")
-def html_to_markdown(spark, folder):
-    done = conversion.convert(Inputs(spark, folder).content, ["site_id", "content_id"])
-    return done.select("site_id", "content_id", "markdown", "quality_score", F.to_json("signals").alias("signals"))
-
-
-@query("main_region")
-def main_region(spark, folder):
-    return conversion.main_regions(Inputs(spark, folder).content, ["site_id", "content_id"])
-
-
 @query("field_text", st.statement("""
 SELECT site_id, content_id, '<p>' || """ + st.trim("raw_title") + """ || '</p>' || chr(10) || '<p>Where? ' || replace(permalink, '&', '&amp;') || '</p>'
  || chr(10) || '<p>' || CASE WHEN notice = '' THEN lang ELSE replace(notice, chr(10), '<br />' || chr(10)) || '<br />' || chr(10) || lang END || '</p>' AS field_html
@@ -344,13 +333,6 @@ def conversion_score(spark, folder):
                          F.col("quality_score").alias("score"))
 
 
-@query("signal_totals")
-def signal_totals(spark, folder):
-    done = conversion.convert(Inputs(spark, folder).content, ["site_id", "content_id"])
-    totals = conversion.signal_totals(done)
-    return totals.withColumns({c: F.round(c, 9) for c, t in totals.dtypes if t == "double"})
-
-
 # --- conversion store ----------------------------------------------------------------
 
 
@@ -391,14 +373,11 @@ def markdown_upsert(spark, folder):
 
 @query("markdown_invalidate", st.statement("""
 SELECT s.site_id, s.content_id FROM stored s WHERE content_id NOT IN (
- SELECT user_id + 1 FROM events WHERE event_type IN ('signup', 'click', 'error') AND value > 5)""", "stored"))
+ SELECT user_id + 1 FROM events WHERE event_type = 'error')""", "stored"))
 def markdown_invalidate(spark, folder):
     inputs = Inputs(spark, folder)
-    fed = Inputs(spark, folder).sample("changes").join(
-        samples.table(spark, folder, "events").select("event_id", "value"), "event_id").filter(F.col("value") > 5)
-    dropping = fed.filter(F.col("kind").isin("insert", "save", "trash")).select("content_id")
-    keyed = inputs.content.select("site_id", "content_id").join(dropping, "content_id", "left_semi")
-    return store.invalidate(inputs.store, keyed).select("site_id", "content_id")
+    gone = inputs.sample("changes").filter(F.col("kind") == "trash")
+    return store.invalidate(inputs.store, gone).select("site_id", "content_id")
 
 
 @query("empty_twin", st.statement(f"""

@@ -25,8 +25,7 @@ _OUTDATED = "(generated_for IS NULL OR generated_for < g.modified_at OR coalesce
 _CONSIDERED = """
 (SELECT g.*, auto, manual, generated_for, generator_version, job_status FROM gate g
  LEFT JOIN described d USING (site_id, content_id)
- WHERE list_contains(exposed_types, post_type) AND list_contains(exposed_statuses, status)
- QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY g.published_at DESC, content_id DESC) <= 1000)"""
+ WHERE list_contains(exposed_types, post_type) AND list_contains(exposed_statuses, status))"""
 
 
 @query("description_stale", st.statement(f"""
@@ -108,11 +107,11 @@ def description_resolve(spark, folder):
 
 
 @query("content_floor", f"""
-SELECT doc_id, strlen({st.strip("left(text, CAST(doc_id % 90 AS BIGINT)) || '<b></b>'")}) < 50 AS below FROM documents""")
+SELECT doc_id, strlen({st.strip("text || '<b></b>'")}) < 100 + doc_id % 900 AS below FROM documents""")
 def content_floor(spark, folder):
-    html = F.concat(F.lit("[gone a=1]"), F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 90).cast("int")),
-                    F.lit("<b></b>"))
-    return samples.table(spark, folder, "documents").select("doc_id", ds.below_floor(html).alias("below"))
+    html = F.concat(F.lit("[gone a=1]"), F.col("text"), F.lit("<b></b>"))
+    floor = F.lit(100) + F.col("doc_id") % 900
+    return samples.table(spark, folder, "documents").select("doc_id", ds.below_floor(html, floor).alias("below"))
 
 
 @query("prompt_rows", f"""
@@ -303,14 +302,14 @@ def _rounded_rates(rates):
 
 @query("body_quality_rates", st.statement(_RATES.format(""), "judged"))
 def body_quality_rates(spark, folder):
-    return _rounded_rates(audit.body_quality_rates(Inputs(spark, folder).bodies, sample=None))
+    return _rounded_rates(audit.body_quality_rates(Inputs(spark, folder).bodies))
 
 
 @query("body_quality_sample", st.statement(_RATES.format(
     "WHERE (site_id, content_id) IN (SELECT site_id, content_id FROM judged QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY content_id) <= 50)"),
     "judged"))
 def body_quality_sample(spark, folder):
-    return _rounded_rates(audit.body_quality_rates(Inputs(spark, folder).bodies))
+    return _rounded_rates(audit.body_quality_rates(Inputs(spark, folder).bodies, sample=audit.SAMPLE_LIMIT))
 
 
 @query("worst_documents", st.statement("""

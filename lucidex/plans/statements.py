@@ -167,32 +167,36 @@ SELECT *, CASE
   WHEN denied THEN 'excluded' WHEN sample THEN 'sample' END AS reason
 FROM flags""")
 
-_define("described", ("content",), """
+_define("dealt", (), """
+SELECT *, doc_id % (SELECT greatest(count(*), 1) FROM pages) + 1 AS content_id FROM documents
+QUALIFY row_number() OVER (PARTITION BY doc_id % (SELECT greatest(count(*), 1) FROM pages) ORDER BY doc_id DESC) = 1""")
+
+_define("described", ("content", "dealt"), """
 SELECT c.site_id, c.content_id, c.modified_at, c.published_at,
  CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 29 = 1 THEN '  ' ELSE text END AS auto,
- CASE WHEN doc_id % 7 = 0 THEN ' ' || left(text, 80) WHEN doc_id % 7 = 1 THEN '   ' END AS manual,
+ CASE WHEN doc_id % 7 = 0 THEN ' ' || text WHEN doc_id % 7 = 1 THEN '   ' END AS manual,
  CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN c.modified_at - INTERVAL 1 DAY ELSE c.modified_at END AS generated_for,
  CASE WHEN doc_id % 11 = 0 THEN '0' ELSE '1' END AS generator_version,
  CASE doc_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'needs-retry' WHEN 2 THEN 'failed' WHEN 3 THEN 'done'
    WHEN 4 THEN '' ELSE 'skipped' END AS job_status
-FROM documents d JOIN content c ON c.content_id = d.doc_id + 1""")
+FROM dealt d JOIN content c USING (content_id)""")
 
 _define("hashed", ("content",), """
 SELECT *, sha1(body_html || excerpt || strftime(modified_at, '%Y-%m-%d %H:%M:%S') || title) AS hash FROM content""")
 
-_define("stored", ("hashed",), """
+_define("stored", ("hashed", "dealt"), """
 SELECT c.site_id, c.content_id,
  CASE WHEN doc_id % 4 = 0 THEN 'outdated' ELSE c.hash END AS content_hash,
  CASE WHEN doc_id % 9 = 0 THEN '  ' || chr(10) ELSE text END AS markdown,
  CASE WHEN doc_id % 6 = 0 THEN '4' ELSE '5' END AS converter_version,
  c.published_at AS generated_at,
  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(doc_id % 101 AS INTEGER) END AS quality_score
-FROM documents d JOIN hashed c ON c.content_id = d.doc_id + 1""")
+FROM dealt d JOIN hashed c USING (content_id)""")
 
 _define("bodies", (), """
 SELECT source AS site_id, doc_id + 1 AS content_id,
  CASE WHEN doc_id % 8 = 0 THEN text || ' ' || repeat('QWxhZGRpbg', length(text) % 40)
-  WHEN doc_id % 10 = 1 THEN '[vc_row full="1"]<script src="a.js"></script>' || left(text, 60) || '[/vc_row]'
+  WHEN doc_id % 10 = 1 THEN '[vc_row full="1"]<script src="a.js"></script>' || text || '[/vc_row]'
   ELSE text END AS markdown,
  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(doc_id % 101 AS INTEGER) END AS quality_score
 FROM documents""")
@@ -232,7 +236,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY site_id, post_type ORDER BY publ
   list_position(exposed_types, post_type) AS type_order
  FROM gate WHERE list_contains(exposed_types, post_type) AND list_contains(exposed_statuses, status)) g
 JOIN words w USING (site_id, content_id) LEFT JOIN stored s USING (site_id, content_id)
-WHERE g.reason IS NULL AND type_rank <= 1000
+WHERE g.reason IS NULL
  AND NOT (markdown_enabled AND s.content_id IS NOT NULL AND {trim('s.markdown')} = '')""")
 
 _define("curated", ("content",), f"""

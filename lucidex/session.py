@@ -8,7 +8,6 @@ that matter at scale in one place.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -46,16 +45,3 @@ def build_session(name: str = "lucidex", master: str | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and written intermediate tables.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a local folder is made.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lucidex-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder

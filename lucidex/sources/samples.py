@@ -10,8 +10,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidex.functions.urls import registered_site, url_host
+from lucidex.operators.skew import attach
 from lucidex.operators.store import content_hash
-from lucidex.sources.tables import spread_small_scan
 
 RETIRED_META_KEYS = ["cleanup_status", "cleanup_hash", "cleanup_output", "cleanup_diagnostics"]
 
@@ -20,13 +20,8 @@ MODIFIED = f"({PUBLISHED} + make_dt_interval(cast(content_id % 7 AS int)))"
 SCORE = "CASE WHEN doc_id % 13 = 0 THEN cast(NULL AS int) ELSE cast(doc_id % 101 AS int) END"
 
 
-#: Tables whose texts are worth all cores.
-_TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread_small_scan(rows, _TEXT_KEYS[name]) if name in _TEXT_KEYS else rows
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def case_of(key: Column, values: dict, default=None) -> Column:
@@ -158,13 +153,21 @@ class Samples:
     def numbered_documents(self) -> DataFrame:
         return self.table("documents").withColumn("content_id", F.col("doc_id") + 1)
 
+    @cached_property
+    def page_documents(self) -> DataFrame:
+        """Documents dealt to the pages in turn; the last one dealt to a page is its current version."""
+        pages = self.keys.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0]
+        dealt = self.table("documents").withColumn("content_id", F.col("doc_id") % pages + 1)
+        newest = dealt.groupBy("content_id").agg(F.max("doc_id").alias("doc_id"))
+        return dealt.join(newest, ["content_id", "doc_id"], "left_semi")
+
     @cached_property
     def descriptions(self) -> DataFrame:
-        """Documents as description records of the page with the same number."""
-        return self.numbered_documents.join(self.keys, "content_id").selectExpr(
+        """Documents as description records of the pages they are dealt to."""
+        return self.page_documents.join(self.keys, "content_id").selectExpr(
             "site_id", "content_id",
             "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 29 = 1 THEN '  ' ELSE text END AS auto",
-            "CASE WHEN doc_id % 7 = 0 THEN ' ' || substring(text, 1, 80) WHEN doc_id % 7 = 1 THEN '   ' END AS manual",
+            "CASE WHEN doc_id % 7 = 0 THEN ' ' || text WHEN doc_id % 7 = 1 THEN '   ' END AS manual",
             f"CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN {MODIFIED} - make_dt_interval(1) "
             f"ELSE {MODIFIED} END AS generated_for",
             "CASE WHEN doc_id % 11 = 0 THEN '0' ELSE '1' END AS generator_version",
@@ -174,9 +177,9 @@ class Samples:
 
     @cached_property
     def page_store(self) -> DataFrame:
-        """Documents as stored conversions of the page with the same number."""
+        """Documents as stored conversions of the pages they are dealt to."""
         keyed = self.content.select("site_id", "content_id", content_hash().alias("_hash"))
-        return self.numbered_documents.join(keyed, "content_id").selectExpr(
+        return self.page_documents.join(keyed, "content_id").selectExpr(
             "site_id", "content_id",
             "CASE WHEN doc_id % 4 = 0 THEN 'outdated' ELSE _hash END AS content_hash",
             "CASE WHEN doc_id % 9 = 0 THEN '  \\n' ELSE text END AS markdown",
@@ -195,7 +198,7 @@ class Samples:
         return self.numbered_documents.selectExpr(
             "source AS site_id", "content_id",
             "CASE WHEN doc_id % 8 = 0 THEN text || ' ' || repeat('QWxhZGRpbg', length(text) % 40) "
-            "WHEN doc_id % 10 = 1 THEN '[vc_row full=\"1\"]<script src=\"a.js\"></script>' || substring(text, 1, 60) "
+            "WHEN doc_id % 10 = 1 THEN '[vc_row full=\"1\"]<script src=\"a.js\"></script>' || text "
             "|| '[/vc_row]' ELSE text END AS markdown",
             f"{SCORE} AS quality_score", f"{PUBLISHED} AS generated_at")
 
@@ -226,9 +229,14 @@ class Samples:
 
     @cached_property
     def changes(self) -> DataFrame:
-        """Events as a change feed; a minute of events is a second of the feed."""
-        return self.table("events").selectExpr(
-            "event_id", "user_id + 1 AS content_id",
+        """Events as a change feed; a minute of events is a second of the feed.
+
+        Users are documents.  A user without a page changes a document that no site has.
+        """
+        fed = self.table("events").withColumn("content_id", F.col("user_id") + 1)
+        sites = self.keys.join(fed.select("content_id").distinct(), "content_id", "left_semi")
+        return attach(fed, sites, ["content_id"], ["event_id"]).selectExpr(
+            "event_id", "site_id", "content_id",
             "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'click' THEN 'save' WHEN 'view' THEN 'meta' "
             "WHEN 'purchase' THEN 'term' ELSE 'trash' END AS kind",
             "CASE WHEN event_type = 'view' THEN CASE event_id % 2 WHEN 0 THEN 'excluded' ELSE 'views' END END AS meta_key",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
@@ -17,18 +19,6 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, fmt: s
     return (reader.schema(schema) if schema else reader).load(path)
 
 
-def spread_small_scan(rows: DataFrame, *key: str) -> DataFrame:
-    """Use all cores on a table of fewer files than cores.
-
-    A file of one row group is one task however many cores are free.  Tables of more
-    files are read as they are split, without a shuffle.
-    """
-    if rows.isStreaming:
-        return rows
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, *key) if len(rows.inputFiles()) < cores else rows
-
-
 def save_bucketed(rows: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
     """Save bucketed and sorted by the document key.
 
@@ -44,82 +34,91 @@ def save_bucketed(rows: DataFrame, table: str, buckets: int, path: str | None =
 
 # A keyed table that changes: a base plus a log of small changes.
 #
-#   root/base/seq=7    the whole table as of change 7
-#   root/log/seq=8     rows put or dropped by change 8
-#   root/_commits      one row per finished write
+#   root/base/seq=7-<run>    the whole table as of change 7
+#   root/log/seq=8-<run>     rows put or dropped by change 8
+#   root/_commits            one row per finished write
 #
-# A change costs its own size; the table is rewritten only when it is compacted.
+# A change costs its own size; the table is rewritten only when it is compacted.  A write is named by
+# its run, so two writers never share a folder and a run that is repeated is not logged again.
+
+COMMIT = "seq bigint, kind string, run string"
 
 
-def commits(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """(seq, kind) of every finished write; one small row per write."""
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """One small row (seq, kind, run) per finished write; a table that was never written has none."""
     try:
-        rows = spark.read.schema("seq bigint, kind string").json(f"{root}/_commits").distinct().collect()
-    except AnalysisException:
-        return []
-    return sorted((row["seq"], row["kind"]) for row in rows)
+        return spark.read.schema(COMMIT).json(f"{root}/_commits").distinct()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], COMMIT)
 
 
-def _commit(spark: SparkSession, root: str, seq: int, kind: str) -> None:
-    row = spark.createDataFrame([(seq, kind)], "seq bigint, kind string")
-    row.coalesce(1).write.mode("append").json(f"{root}/_commits")
+def _finish(spark: SparkSession, root: str, seq: int, kind: str, run: str) -> int:
+    spark.createDataFrame([(seq, kind, run)], COMMIT).coalesce(1).write.mode("append").json(f"{root}/_commits")
+    return seq
 
 
 def next_seq(spark: SparkSession, root: str) -> int:
-    done = commits(spark, root)
-    return done[-1][0] + 1 if done else 0
+    last = commits(spark, root).agg(F.max("seq")).first()[0]
+    return 0 if last is None else last + 1
 
 
-def append_change(rows: DataFrame, root: str, op: str, schema: str) -> int:
+def append_change(rows: DataFrame, root: str, op: str, schema: str, run: str | None = None) -> int:
     """Log a change: whole rows to ``put``, or keys to ``drop``.
 
-    The data is written before its commit, so a reader never sees half a change, and
-    the same change logged twice by a retry leaves the same table.
+    The data is written before its commit, so a reader never sees half a change.  *run* names the write,
+    such as a stream and its epoch; a run that is logged already is left as it is.
     """
     spark = rows.sparkSession
+    run = run or uuid.uuid4().hex
+    known = commits(spark, root).filter(F.col("run") == run).agg(F.max("seq")).first()[0]
+    if known is not None:
+        return known
     seq = next_seq(spark, root)
     names = StructType.fromDDL(schema)
     full = rows.select(*[
         (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in names.fields])
-    full.withColumn("_op", F.lit(op)).write.mode("overwrite").parquet(f"{root}/log/seq={seq}")
-    _commit(spark, root, seq, "log")
-    return seq
+    full.withColumns({"_op": F.lit(op), "_seq": F.lit(seq).cast("bigint"), "_run": F.lit(run)}).write.mode("overwrite").parquet(
+        f"{root}/log/seq={seq}-{run}")
+    return _finish(spark, root, seq, "log", run)
 
 
 def read_changing(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The table as of the last finished write."""
+    """The table as of the last finished write.
+
+    The log since the base is read at once.  Its newest row of each key replaces the key's row in the
+    base, which is found by its key: no text of the base is compared or sorted.
+    """
     done = commits(spark, root)
-    base = max((seq for seq, kind in done if kind == "base"), default=None)
-    logged = [seq for seq, kind in done if kind == "log" and (base is None or seq > base)]
-    if base is None and not logged:
-        return spark.createDataFrame([], schema)
+    base = done.filter("kind = 'base'").agg(F.max(F.struct("seq", "run"))).first()[0]
+    since = done.filter("kind = 'log'").filter(F.col("seq") > (-1 if base is None else base["seq"]))
+    # As many rows as writes since the base; compaction sets them back to none.
+    logged = [f"{root}/log/seq={r['seq']}-{r['run']}" for r in since.orderBy("seq", "run").collect()]
     names = StructType.fromDDL(schema).names
-    full = f"{schema}, _op string, _seq bigint"
-    parts = spark.createDataFrame([], full)
-    if base is not None:
-        parts = read_table(spark, f"{root}/base/seq={base}", schema).withColumns(
-            {"_op": F.lit("put"), "_seq": F.lit(base).cast("bigint")})
-    for seq in logged:
-        change = read_table(spark, f"{root}/log/seq={seq}", f"{schema}, _op string")
-        parts = parts.unionByName(change.withColumn("_seq", F.lit(seq).cast("bigint")))
+    start = (spark.createDataFrame([], schema) if base is None else
+             read_table(spark, f"{root}/base/seq={base['seq']}-{base['run']}", schema))
     if not logged:
-        return parts.select(*names)
-    return latest_per_key(parts, KEY, ["_seq"]).filter(F.col("_op") == "put").select(*names)
+        return start
+    log = spark.read.schema(f"{schema}, _op string, _seq bigint, _run string").parquet(*logged)
+    changed = latest_per_key(log, KEY, ["_seq", "_run"])
+    kept = start.join(log.select(*KEY).distinct(), KEY, "left_anti")
+    return kept.select(*names).unionByName(changed.filter(F.col("_op") == "put").select(*names))
 
 
 def compact(spark: SparkSession, root: str, schema: str) -> int:
     """Write the table as a new base, which ends the log before it."""
-    seq = next_seq(spark, root)
-    read_changing(spark, root, schema).write.mode("overwrite").parquet(f"{root}/base/seq={seq}")
-    _commit(spark, root, seq, "base")
-    return seq
+    seq, run = next_seq(spark, root), uuid.uuid4().hex
+    read_changing(spark, root, schema).write.mode("overwrite").parquet(f"{root}/base/seq={seq}-{run}")
+    return _finish(spark, root, seq, "base", run)
 
 
-def write_by_site(rows: DataFrame, path: str) -> None:
-    """Mirror or index output: Parquet by site, several files for a big site.
+def write_by_site(rows: DataFrame, path: str, buckets: int = 256) -> None:
+    """Mirror or index output: Parquet in folders by a hash of the site, several files for a big site.
 
-    Rows are spread by site and document hash, so one site never writes through one
-    task.
+    Rows are spread by site and document hash, so one site never writes through one task, and the number
+    of folders does not grow with the number of sites.
     """
-    spread = rows.repartition("site_id", F.pmod(F.xxhash64("content_id"), F.lit(16)))
-    spread.write.mode("overwrite").partitionBy("site_id").parquet(path)
+    hashed = rows.withColumn("site_bucket", F.pmod(F.xxhash64("site_id"), F.lit(buckets)).cast("int"))
+    spread = hashed.repartition("site_bucket", F.pmod(F.xxhash64("site_id", "content_id"), F.lit(16)))
+    spread.write.mode("overwrite").partitionBy("site_bucket").parquet(path)

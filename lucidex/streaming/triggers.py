@@ -36,22 +36,24 @@ def relevant_changes(changes: DataFrame, content: DataFrame, profile: DataFrame)
     well, with *content* and *profile* static.
     """
     documents = content.select("site_id", "content_id", "post_type")
+    key = ["site_id", "content_id"]  # numbers start anew on every site
+    others = [c for c in changes.columns if c not in key]
     if changes.isStreaming:
-        rows = changes.join(documents, "content_id")
+        rows = changes.join(documents, key)
     else:
         # One document may hold a third of the feed: look each changed document up once,
         # then spread its changes.
-        touched = documents.join(changes.select("content_id").distinct(), "content_id", "left_semi")
-        rows = attach(changes, touched, ["content_id"], [c for c in changes.columns if c != "content_id"], "inner")
+        touched = documents.join(changes.select(*key).distinct(), key, "left_semi")
+        rows = attach(changes, touched, key, others, "inner")
     settings = profile.select("site_id", "exposed_types", "excluded_term_ids", "excluded_term_slugs")
-    rows = attach(rows, settings, ["site_id"], list(changes.columns), "inner")
+    rows = attach(rows, settings, ["site_id"], others + ["content_id"], "inner")
     has_term_rules = (F.size("excluded_term_ids") > 0) | (F.size("excluded_term_slugs") > 0)
     by_kind = (
         F.when(F.col("kind") == "meta", F.col("meta_key") == EXCLUDE_KEY)
         .when(F.col("kind") == "term", F.col("taxonomy").isin(*EXCLUDING_TAXONOMIES) & has_term_rules)
         .otherwise(F.lit(True)))
     typed = F.array_contains("exposed_types", F.col("post_type"))
-    return rows.filter((F.col("content_id") > 0) & typed & by_kind).select(*changes.columns, "site_id")
+    return rows.filter((F.col("content_id") > 0) & typed & by_kind).select(*changes.columns)
 
 
 def _open_until(seconds: Column, due: Column, wait: int) -> Column:
@@ -111,31 +113,40 @@ def stream_triggers(changes: DataFrame, wait: int = REBUILD_WAIT, watermark: str
     """The same on a stream of ``site_id, ts``.
 
     Repeats of a second are dropped first, spread over (site, second), so a hot site
-    reaches its state at one row per second at most.  State holds one number per site and
-    goes when the timer fires.
+    reaches its state at one row per second at most.  Seconds wait in the state until the
+    watermark has passed them and are then taken in order, so a late one counts as in the batch.
+    State holds the end of a site's open wait and the seconds of the watermark's delay.
     """
     seconds = (changes.select("site_id", F.date_trunc("second", "ts").alias("ts"))
                .withWatermark("ts", watermark).dropDuplicates(["site_id", "ts"]))
 
     def coalesce(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        due = state.get[0] if state.exists else None
+        due, waiting = state.get if state.exists else (None, [])
+        waiting = set(waiting)
+        if not state.hasTimedOut:
+            waiting |= {int(t.timestamp()) for batch in batches for t in batch["ts"]}
+        now = state.getCurrentWatermarkMs() // 1000
         fires = []
-        if state.hasTimedOut:
+        for second in sorted(s for s in waiting if s < now):
+            waiting.remove(second)
+            if due is None or second >= due:
+                if due is not None:
+                    fires.append(due)
+                due = second + wait
+        if due is not None and due <= now:
             fires.append(due)
+            due = None
+        if due is None and not waiting:
             state.remove()
         else:
-            arrived = sorted({int(t.timestamp()) for batch in batches for t in batch["ts"]})
-            for second in arrived:
-                if due is None or second >= due:
-                    if due is not None:
-                        fires.append(due)
-                    due = second + wait
-            state.update((due,))
-            state.setTimeoutTimestamp(max(due * 1000, state.getCurrentWatermarkMs() + 1))
+            state.update((due, sorted(waiting)))
+            wake = min([due] * (due is not None) + [s + 1 for s in waiting])
+            state.setTimeoutTimestamp(max(wake * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"site_id": [key[0]] * len(fires), "fire_second": pd.Series(fires, dtype="int64")})
 
     return seconds.groupBy("site_id").applyInPandasWithState(
-        coalesce, "site_id string, fire_second bigint", "due bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        coalesce, "site_id string, fire_second bigint", "due bigint, waiting array<bigint>", "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_queue(requests: DataFrame, cap: int = QUEUE_CAP, watermark: str = "10 minutes") -> DataFrame:
@@ -152,10 +163,11 @@ def stream_queue(requests: DataFrame, cap: int = QUEUE_CAP, watermark: str = "10
         if state.hasTimedOut:
             now = state.getCurrentWatermarkMs() // 1000
             pending = {doc: due for doc, due in pending.items() if due > now}
-        for batch in batches:
+        # In the order of time over all of a trigger's batches; how Arrow cuts them plays no part.
+        arrived = sorted((int(ts.timestamp()), doc) for batch in batches for doc, ts in zip(batch["content_id"], batch["ts"]))
+        if arrived:
             out = []
-            for doc, ts in sorted(zip(batch["content_id"], batch["ts"]), key=lambda r: (r[1], r[0])):
-                second = int(ts.timestamp())
+            for second, doc in arrived:
                 pending = {d: due for d, due in pending.items() if due > second}
                 if doc in pending:
                     out.append((key[0], doc, "pending", pending[doc]))

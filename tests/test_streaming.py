@@ -47,6 +47,23 @@ def test_rebuild_triggers_on_a_stream(spark, tmp_path):
     assert sorted(got["dense"]) == greedy(dense, 5)
 
 
+def test_late_seconds_count_as_in_the_batch(spark, tmp_path):
+    rng = random.Random(8)
+    seconds = [100, 98] + [rng.randint(90, 400) for _ in range(150)]
+    batches = [[("s", at(s)) for s in seconds[i:i + 30]] for i in range(0, len(seconds), 30)] + [[("z", at(7200))], [("z", at(14400))]]
+    stream = feed(spark, tmp_path / "in", "site_id string, ts timestamp", batches)
+    fired = [r["fire_second"] - int(START.timestamp()) for r in drain(triggers.stream_triggers(stream), tmp_path, "late") if r["site_id"] == "s"]
+    assert sorted(fired) == greedy(sorted(seconds), 5)
+
+
+def test_queue_is_served_in_order_over_all_batches(spark, tmp_path):
+    rows = [("s", second * 100 + i, at(second)) for second in range(100) for i in range(12)]
+    random.Random(4).shuffle(rows)
+    stream = feed(spark, tmp_path / "in", "site_id string, content_id bigint, ts timestamp", [rows])
+    out = drain(triggers.stream_queue(stream, watermark="1 minute"), tmp_path, "ordered")
+    assert sum(r["outcome"] == "queued" for r in out) == 1000 and sum(r["outcome"] == "refused" for r in out) == 200
+
+
 def test_queue_cap(spark, tmp_path):
     rows = [("s", i, at(0)) for i in range(14)] + [("s", 1, at(0)), ("s", 50, at(30)), ("t", 1, at(0))]
     stream = feed(spark, tmp_path / "in", "site_id string, content_id bigint, ts timestamp", [rows])
@@ -76,10 +93,11 @@ def test_invalidation_stream_equals_batch(spark, tmp_path):
 
 
 def test_relevant_changes_stream_equals_batch(spark, tmp_path):
-    schema = "content_id bigint, kind string, meta_key string, taxonomy string"
-    rows = [(1, "save", None, None), (1, "meta", "excluded", None), (1, "meta", "views", None), (1, "term", None, "category"),
-            (1, "term", None, "color"), (2, "save", None, None), (3, "trash", None, None), (3, "term", None, "post_tag")]
-    rows += [(1, "save", None, None)] * 20
+    schema = "site_id string, content_id bigint, kind string, meta_key string, taxonomy string"
+    rows = [("s", 1, "save", None, None), ("s", 1, "meta", "excluded", None), ("s", 1, "meta", "views", None),
+            ("s", 1, "term", None, "category"), ("s", 1, "term", None, "color"), ("s", 2, "save", None, None),
+            ("t", 3, "trash", None, None), ("t", 3, "term", None, "post_tag"), ("t", 1, "save", None, None)]
+    rows += [("s", 1, "save", None, None)] * 20
     content = spark.createDataFrame([("s", 1, "post"), ("s", 2, "movie"), ("t", 3, "post")],
                                     "site_id string, content_id bigint, post_type string")
     profile = spark.createDataFrame([("s", ["post"], [5], []), ("t", ["post"], [], [])],
