@@ -15,9 +15,8 @@ from lucidex.operators.store import is_empty_markdown
 NO_TITLE = "(no title)"
 DEFAULT_EDITORIAL_LABEL = "Editorial"
 
-#: Positions of one piece of a body, and the size up to which a site's text is one row.
+#: Positions of one piece of a body.
 LINES_PER_PIECE = 2000
-MAX_BODY_BYTES = 64 * 1024 * 1024
 
 KEY = ["site_id", "content_id"]
 
@@ -192,54 +191,42 @@ def _pieces(lines: DataFrame, lines_per_piece: int) -> DataFrame:
                     F.when(F.col("opens"), F.concat(heading, F.col("text"))).otherwise(F.col("text")).alias("text")))
 
 
-def _text_bound(editorial: DataFrame) -> DataFrame:
-    """An upper bound of the bytes of each site's curated lines."""
-    raw = sum((F.octet_length(F.coalesce(F.col(c), F.lit(""))) for c in ("url", "description")),
-              F.octet_length("title"))
-    return editorial.groupBy("site_id").agg(F.sum((raw * 3 + 16).cast("bigint")).alias("_bound"))
+def index_parts(lines: DataFrame, profile: DataFrame, lines_per_piece: int = LINES_PER_PIECE) -> DataFrame:
+    """The index text of each site in ordered parts: ``site_id, part, body, lines``.
 
-
-def index_body(lines: DataFrame, editorial: DataFrame, profile: DataFrame,
-               lines_per_piece: int = LINES_PER_PIECE, max_body_bytes: int = MAX_BODY_BYTES) -> DataFrame:
-    """The index text of each site: ``site_id, part, body, lines``.
-
-    A site's text is one row with an empty part.  Automatic lines are capped; only a very
-    long curated list makes a text too big for one row.  Such a site keeps ordered parts:
-    sorted by ``part`` and joined they are its text.  A site without a name and without
-    sections has an empty body.
+    Sorted by ``part`` and joined, a site's parts are its text; the head has an empty part.  No part
+    holds more than *lines_per_piece* lines and no site is gathered.  A site without a name and
+    without sections has an empty head.
+    """
+    key = F.format_string("%d %019d %s %d %019d %019d", *[
+        F.hex("place.label") if c == "label" else F.col(f"place.{c}") for c in (
+            "section_kind", "section_pos", "label", "entry_kind", "group_pos", "slot")])
+    texts = _pieces(lines, lines_per_piece).select("site_id", key.alias("part"), F.col("text").alias("body"), "lines")
+    listed = lines.groupBy("site_id").agg(F.count(F.lit(1)).alias("_n"))
+    empty = (F.coalesce("site_name", F.lit("")) == "") & F.col("_n").isNull()
+    heads = profile.join(listed, "site_id", "left").select(
+        "site_id", F.lit("").alias("part"),
+        F.when(empty, F.lit("")).otherwise(identity_header(F.col("site_name"), F.col("tagline"))).alias("body"),
+        F.lit(0).cast("bigint").alias("lines"))
+    return heads.unionByName(texts)
+
+
+def index_body(parts: DataFrame) -> DataFrame:
+    """The text of each site in one row: ``site_id, body, lines``.
+
+    For sites whose text is meant to be served as one; the parts themselves have no such limit.
     """
-    headers = (profile.select("site_id", F.coalesce("site_name", F.lit("")).alias("name"),
-                              identity_header(F.col("site_name"), F.col("tagline")).alias("text"))
-               .join(_text_bound(editorial), "site_id", "left")
-               .withColumn("big", F.coalesce(F.col("_bound") > max_body_bytes, F.lit(False))))
-    pieces = attach(_pieces(lines, lines_per_piece), headers.select("site_id", "big"), ["site_id"], ["place"], "inner")
-    key = F.format_string("%d %019d %d %019d %019d", *[F.col(f"place.{c}") for c in (
-        "section_kind", "section_pos", "entry_kind", "group_pos", "slot")])
-    texts = pieces.select("site_id", F.when(F.col("big"), key).otherwise(F.lit("")).alias("part"),
-                          "place", "text", "lines", F.lit(False).alias("_alone"))
-    no_place = F.lit(None).cast(texts.schema["place"].dataType)
-    tops = headers.select("site_id", F.lit("").alias("part"), no_place.alias("place"), "text",
-                          F.lit(0).cast("bigint").alias("lines"),
-                          ((F.col("name") == "") & ~F.col("big")).alias("_alone"))
-    ordered = F.sort_array(F.collect_list(F.struct(
-        F.coalesce(F.col("place").isNotNull(), F.lit(False)).alias("below"), "place", "text")))
-    body = F.array_join(F.transform(ordered, lambda o: o["text"]), "")
-    whole = texts.unionByName(tops).groupBy("site_id", "part").agg(
-        body.alias("_body"), F.sum("lines").alias("lines"), F.bool_or("_alone").alias("_alone"))
-    empty = F.col("_alone") & (F.col("lines") == 0)
-    return whole.select("site_id", "part", F.when(empty, F.lit("")).otherwise(F.col("_body")).alias("body"), "lines")
+    ordered = F.sort_array(F.collect_list(F.struct("part", "body")))
+    return parts.groupBy("site_id").agg(
+        F.array_join(F.transform(ordered, lambda p: p["body"]), "").alias("body"), F.sum("lines").alias("lines"))
 
 
 def index_artifact(bodies: DataFrame) -> DataFrame:
-    """Stored form of an index: bytes and the textual entry count, per site."""
+    """Stored form of an index: bytes, the textual entry count and the hash of the text, per site."""
     body = tx.strip_bom(F.col("body"))
-    # A part that follows another one starts right after a newline.
-    joint = F.when((F.col("part") != "") & F.col("body").startswith("- "), F.lit(1)).otherwise(F.lit(0))
-    return bodies.groupBy("site_id").agg(
-        F.count(F.lit(1)).alias("parts"),
-        F.sum(F.octet_length("body").cast("bigint")).alias("body_bytes"),
-        F.sum((F.regexp_count("body", F.lit(r"\n- ")) + joint).cast("bigint")).alias("entry_count"),
-        F.max(F.when(F.col("part") == "", F.sha1(body))).alias("head_sha1"))
+    return bodies.select(
+        "site_id", F.octet_length("body").cast("bigint").alias("body_bytes"),
+        F.regexp_count("body", F.lit(r"\n- ")).cast("bigint").alias("entry_count"), F.sha1(body).alias("head_sha1"))
 
 
 # --- full index ---------------------------------------------------------------------

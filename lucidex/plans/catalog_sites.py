@@ -191,11 +191,25 @@ def index_body(spark, folder):
     return Inputs(spark, folder).bodies_of_sites.select("site_id", "body", "lines")
 
 
+@query("index_parts", st.statement(f"""
+SELECT site_id, '' AS part, CASE WHEN site_name = '' AND site_id NOT IN (SELECT site_id FROM lined) THEN '' ELSE header END AS body, 0::BIGINT AS lines FROM heads
+UNION ALL
+SELECT site_id, format('{{:d}} {{:019d}} {{}} {{:d}} {{:019d}} {{:019d}}', section_kind, section_pos, hex(label), entry_kind, place, slot),
+ CASE WHEN bool_or(first) THEN chr(10) || '## ' || {st.escape_inline('label')} || chr(10) || chr(10) ELSE '' END
+  || string_agg(line || chr(10), '' ORDER BY entry_pos), count(*)
+FROM (SELECT *, CASE entry_kind WHEN 1 THEN group_pos ELSE 0 END AS place, entry_pos // 100 AS slot,
+  row_number() OVER (PARTITION BY site_id, label ORDER BY entry_kind, group_pos, entry_pos) = 1 AS first FROM lined)
+GROUP BY site_id, section_kind, section_pos, entry_kind, place, slot, label""", "lined", "heads"))
+def index_parts(spark, folder):
+    inputs = Inputs(spark, folder)
+    return site_index.index_parts(inputs.lines, inputs.profile, lines_per_piece=100)
+
+
 @query("index_artifact", st.statement(r"""
 SELECT site_id, CAST(strlen(body) AS BIGINT) AS body_bytes, CAST(len(regexp_extract_all(body, '\n- ')) AS BIGINT) AS entry_count, sha1(body) AS head_sha1
 FROM site_bodies""", "site_bodies"))
 def index_artifact(spark, folder):
-    return site_index.index_artifact(Inputs(spark, folder).bodies_of_sites).drop("parts")
+    return site_index.index_artifact(Inputs(spark, folder).bodies_of_sites)
 
 
 @query("full_index", st.statement("""

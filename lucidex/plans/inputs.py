@@ -73,7 +73,7 @@ class Inputs:
 
     @cached_property
     def bodies_of_sites(self) -> DataFrame:
-        return site_index.index_body(self.lines, self.editorial, self.profile)
+        return site_index.index_body(site_index.index_parts(self.lines, self.profile))
 
     @cached_property
     def full_rows(self) -> DataFrame:

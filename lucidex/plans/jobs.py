@@ -48,19 +48,19 @@ def refresh_conversions(spark: SparkSession, content: DataFrame, root: str, now:
 def publish_indexes(content: DataFrame, profile: DataFrame, meta: DataFrame, robots: DataFrame,
                     descriptions: DataFrame, editorial: DataFrame, stored: DataFrame, out: str,
                     labels: dict[str, str] | None = None) -> None:
-    """Write ``lines`` (rows), ``bodies`` (texts) and ``full`` (document rows) under *out*."""
+    """Write ``lines`` (rows), ``parts`` (ordered texts) and ``full`` (document rows) under *out*."""
     spark = content.sparkSession
-    capped = site_index.newest_per_type(with_profile(content.drop("body_html", "fields_json"), profile))
-    # Written before the texts are joined: the files show how small the capped rows are,
+    listed = site_index.newest_per_type(with_profile(content.drop("body_html", "fields_json"), profile))
+    # Written before the texts are joined: the files show how small the listed rows are,
     # and Spark then decides by that size whether to broadcast them.
-    with_exposure(capped, meta, robots).write.mode("overwrite").parquet(f"{out}/capped")
-    gated = spark.read.parquet(f"{out}/capped")
+    with_exposure(listed, meta, robots).write.mode("overwrite").parquet(f"{out}/listed")
+    gated = spark.read.parquet(f"{out}/listed")
     entries = site_index.index_entries(gated, descriptions, stored, labels)
     entries.write.mode("overwrite").parquet(f"{out}/entries")
     entries = spark.read.parquet(f"{out}/entries")
     lines = site_index.index_lines(site_index.index_rows(editorial, entries))
     write_by_site(lines, f"{out}/lines")
-    site_index.index_body(lines, editorial, profile).write.mode("overwrite").parquet(f"{out}/bodies")
+    site_index.index_parts(lines, profile).write.mode("overwrite").parquet(f"{out}/parts")
     with_full = profile.filter("full_index_enabled").select("site_id")
     full = site_index.full_index(editorial, entries, stored).join(with_full, "site_id", "left_semi")
     write_by_site(full, f"{out}/full")

@@ -17,11 +17,15 @@ ENTRY = ("site_id string, content_id bigint, post_type string, type_order int, t
 CURATED = "site_id string, position bigint, title string, url string, description string, rendered_label string"
 
 
-def bodies(spark, sites, curated, entries, **options):
+def parts_of(spark, sites, curated, entries, **options):
     profile = spark.createDataFrame(sites, "site_id string, site_name string, tagline string")
     editorial = spark.createDataFrame(curated, CURATED)
     lines = si.index_lines(si.index_rows(editorial, spark.createDataFrame(entries, ENTRY)))
-    return si.index_body(lines, editorial, profile, **options)
+    return si.index_parts(lines, profile, **options)
+
+
+def bodies(*args):
+    return si.index_body(parts_of(*args))
 
 
 def text_of(frame_):
@@ -48,17 +52,16 @@ def test_order_merge_and_escapes(spark):
         "\n## post\n\n- [Post \\[A\\]](https://x/p): Says\\_so\n")
 
 
-def test_big_sites_come_in_parts_that_join_to_the_same_text(spark):
+def test_parts_join_to_the_text(spark):
     curated = [("s", i, f"T{i}", f"https://x/{i}", "", "News" if i % 3 else "Other") for i in range(1, 60)]
     entries = [("s", 100 + i, "post", 1, i, "post", f"P{i}", f"https://x/p{i}", "") for i in range(1, 30)]
     args = (spark, [("s", "Name", "Tag")], curated, entries)
     whole = text_of(bodies(*args))["s"]
-    parts = bodies(*args, lines_per_piece=7, max_body_bytes=10).orderBy("part").collect()
+    parts = parts_of(*args, lines_per_piece=7).orderBy("part").collect()
     assert len(parts) > 5 and "".join(p["body"] for p in parts) == whole
-    small = si.index_artifact(bodies(*args)).first()
-    large = si.index_artifact(bodies(*args, lines_per_piece=7, max_body_bytes=10)).first()
-    assert (small["entry_count"], small["body_bytes"]) == (large["entry_count"], large["body_bytes"]) == (
-        whole.count("\n- "), len(whole.encode()))
+    assert max(p["lines"] for p in parts) <= 7 and sum(p["lines"] for p in parts) == 88
+    stored = si.index_artifact(bodies(*args)).first()
+    assert (stored["entry_count"], stored["body_bytes"]) == (whole.count("\n- "), len(whole.encode()))
 
 
 def test_labels_shared_by_two_types(spark):

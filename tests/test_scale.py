@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lucidex import schemas
-from lucidex.operators import skew
+from lucidex.operators import site_index, skew
 from lucidex.plans import jobs
 from lucidex.plans.inputs import Inputs
 from lucidex.sources.tables import append_change, compact, read_changing, save_bucketed
@@ -167,7 +167,7 @@ def test_publish_job(spark, tmp_path):
     jobs.publish_indexes(inputs.content, inputs.profile, inputs.sample("content_meta"), inputs.sample("robots"),
                          inputs.descriptions, inputs.editorial, inputs.store, out)
     assert spark.read.parquet(f"{out}/lines").count() == inputs.rows.count()
-    bodies = spark.read.parquet(f"{out}/bodies").select("site_id", "body")
+    bodies = site_index.index_body(spark.read.parquet(f"{out}/parts")).select("site_id", "body")
     assert bodies.exceptAll(inputs.bodies_of_sites.select("site_id", "body")).count() == 0
     jobs.audit_sites(inputs.signals, out, "2024-02-01")
     assert spark.read.parquet(f"{out}/sub_scores").count() == 7 * inputs.signals.count()
