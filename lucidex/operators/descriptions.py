@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lucidex.functions import text as tx
@@ -118,18 +120,28 @@ def status_filter(status: str) -> Column:
     }.get(status, F.lit(True))
 
 
-def page_of(rows: DataFrame, page: int, size: int) -> DataFrame:
-    """One page per site, newest first, with the total and the number of pages.
+#: The states a listing can be asked for.
+LISTING_STATES = ("all", "missing", "cached", "manual", "stale", "pending", "failed", "needs-retry")
+
+
+def listings(rows: DataFrame, page: int, size: int) -> DataFrame:
+    """The same page of every listing state, in one pass: rows of :func:`page_of` with ``listing``."""
+    asked = F.array_compact(F.array(*[F.when(status_filter(s), F.lit(s)) for s in LISTING_STATES]))
+    return page_of(rows.withColumn("listing", F.explode(asked)), page, size, ["site_id", "listing"])
+
+
+def page_of(rows: DataFrame, page: int, size: int, group: Sequence[str] = ("site_id",)) -> DataFrame:
+    """One page per site (or other group), newest first, with the total and the number of pages.
 
     Only the rows up to the page's end are ranked, the total is a plain count, and
     neither gathers a site in one task.
     """
     page, size = max(1, page), min(MAX_PAGE_SIZE, max(1, size))
     order = [F.desc("published_at"), F.desc("content_id")]
-    ranked = top_per_group(rows, ["site_id"], order, page * size, ["content_id"], rank="position")
-    totals = rows.groupBy("site_id").agg(F.count(F.lit(1)).alias("total"))
+    ranked = top_per_group(rows, list(group), order, page * size, ["content_id"], rank="position")
+    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
     shown = ranked.filter(F.col("position") > (page - 1) * size)
-    return (shown.join(totals, "site_id")
+    return (shown.join(totals, list(group))
             .withColumn("pages", F.ceil(F.col("total") / F.lit(size)).cast("bigint"))
             .withColumn("page", F.lit(page)))
 

@@ -69,6 +69,19 @@ def description_page(spark, folder):
     return shown.select(*KEY, "position", "total", "pages", "stale")
 
 
+@query("description_listings", st.statement(f"""
+SELECT site_id, listing, content_id, CAST(position AS INTEGER) AS position, total, stale FROM (
+ SELECT g.site_id, g.content_id, listing, {_HAS_AUTO} AND {_OUTDATED} AS stale,
+  row_number() OVER (PARTITION BY site_id, listing ORDER BY g.published_at DESC, content_id DESC) AS position,
+  count(*) OVER (PARTITION BY site_id, listing) AS total
+ FROM {_CONSIDERED} g, (SELECT unnest(['all', 'missing', 'cached', 'manual', 'stale', 'pending', 'failed', 'needs-retry']) AS listing)
+ WHERE CASE listing WHEN 'all' THEN true WHEN 'missing' THEN auto IS NULL AND manual IS NULL WHEN 'cached' THEN auto IS NOT NULL
+  WHEN 'manual' THEN manual IS NOT NULL WHEN 'stale' THEN auto IS NOT NULL ELSE job_status = listing END) WHERE position <= 5""", "gate", "described"))
+def description_listings(spark, folder):
+    shown = ds.listings(Inputs(spark, folder).eligible, page=1, size=5)
+    return shown.select("site_id", "listing", "content_id", "position", "total", "stale")
+
+
 @query("content_search", st.statement("""
 SELECT site_id, content_id, title, CAST(position AS INTEGER) AS position, total FROM (
  SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY published_at DESC, content_id DESC) AS position,

@@ -20,25 +20,27 @@ def missing_conversions(content: DataFrame, stored: DataFrame,
                         version: str = conversion.CONVERTER_VERSION) -> DataFrame:
     """Documents whose current hash has no stored conversion of this version.
 
-    The join is on the document key alone and the hash is compared after it, so that
-    tables bucketed by the key are read once and shuffled not at all.
+    Keys and hashes are compared, and only the documents that miss are fetched by their key: the
+    pages themselves are not shuffled while these are few.  Tables bucketed by the key are not
+    shuffled at all.
     """
-    known = stored.filter(F.col("converter_version") == version).select(
-        *KEY, F.col("content_hash").alias("_known"))
-    hashed = content.withColumn("content_hash", store.content_hash())
-    joined = hashed.join(known, KEY, "left")
-    return joined.filter(~F.col("content_hash").eqNullSafe(F.col("_known"))).drop("_known")
+    hashed = content.select(*KEY, store.content_hash().alias("content_hash"))
+    missing = store.plan_conversion(hashed, stored, version).filter("action = 'miss'").drop("action")
+    return content.join(missing, KEY)
 
 
 def refresh_conversions(spark: SparkSession, content: DataFrame, root: str, now: str) -> int:
     """Convert new and changed documents and log them in the store at *root*.
 
     *now* stamps the run (``yyyy-MM-dd HH:mm:ss``), so that a retried run writes the
-    same rows.
+    same rows.  Stored documents that *content* no longer has are dropped.
     """
-    missing = missing_conversions(content, read_changing(spark, root, schemas.STORE))
-    done = conversion.convert(missing, [*KEY, "content_hash"])
+    stored = read_changing(spark, root, schemas.STORE)
+    gone = stored.select(*KEY).join(content.select(*KEY), KEY, "left_anti")
+    append_change(gone, root, "drop", schemas.STORE)
+    done = conversion.convert(missing_conversions(content, stored), [*KEY, "content_hash"])
     rows = done.withColumns({
+        "signals": F.to_json("signals"),
         "generated_at": F.to_timestamp_ntz(F.lit(now)),
         "converter_version": F.lit(conversion.CONVERTER_VERSION),
     })

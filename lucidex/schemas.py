@@ -19,7 +19,7 @@ DESCRIPTIONS = (
 )
 STORE = (
     "site_id string, content_id bigint, content_hash string, markdown string, generated_at timestamp_ntz, "
-    "converter_version string, quality_score int"
+    "converter_version string, quality_score int, signals string"
 )
 PROFILE = (
     "site_id string, exposed_types array<string>, exposed_statuses array<string>, excluded_ids array<string>, "

@@ -53,7 +53,7 @@ def test_long_numbers_are_no_ids(spark):
 
 
 def entry(text, at=T0, site="a", number=1, digest="h"):
-    return (site, number, digest, text, at, "5", 10)
+    return (site, number, digest, text, at, "5", 10, "{}")
 
 
 def test_a_change_wins_a_tie(spark):

@@ -141,6 +141,11 @@ def test_incremental_conversion_equals_a_full_rebuild(spark, tmp_path):
     a = read_changing(spark, step, schemas.STORE).select(shown)
     b = read_changing(spark, full, schemas.STORE).select(shown)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == content.count()
+    signals = read_changing(spark, step, schemas.STORE).select(F.size(F.json_object_keys("signals")).alias("n")).distinct().collect()
+    assert [r["n"] for r in signals] == [18]
+    fewer = edited.filter("content_id % 2 = 0")
+    jobs.refresh_conversions(spark, fewer, step, "2024-02-03 00:00:00")
+    assert read_changing(spark, step, schemas.STORE).count() == fewer.count()
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):

@@ -87,7 +87,7 @@ def test_invalidation_stream_equals_batch(spark, tmp_path):
     left = {r["content_id"] for r in read_changing(spark, root, schemas.STORE).collect()}
     assert left == {1, 3, 5, 6, 7, 8, 9, 10}
     again = feed(spark, tmp_path / "in2", schemas.STORE, [[tuple(stored[1][n] for n in (
-        "site_id", "content_id", "content_hash", "markdown", "generated_at", "converter_version", "quality_score"))]])
+        "site_id", "content_id", "content_hash", "markdown", "generated_at", "converter_version", "quality_score")) + (None,)]])
     sinks.daily_run(again, sinks.upserting_sink(root), str(tmp_path / "ck2")).start().awaitTermination(120)
     assert 2 in {r["content_id"] for r in read_changing(spark, root, schemas.STORE).collect()}
 
