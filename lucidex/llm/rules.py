@@ -160,15 +160,16 @@ def learn(labelled: DataFrame, bins: int = 32, most_rules: int = 8, most_literal
     """
     names = list(FEATURES)
     cuts = [i / bins for i in range(1, bins)]
-    found = labelled.agg(*[F.percentile_approx(feature(n), cuts, 10_000).alias(n) for n in names]).first()
-    edges = {n: sorted(set(found[n] or [])) for n in names}
+    # Thresholds to choose from: quantiles of all rows and of the bad ones.
+    found = labelled.agg(*[F.percentile_approx(feature(n), cuts, 10_000).alias(n) for n in names], *[
+        F.percentile_approx(F.when(F.col("bad"), feature(n)), [0.0, *cuts, 1.0], 10_000).alias(f"bad_{n}") for n in names]).first()
+    edges = {n: sorted({*(found[n] or []), *(found[f"bad_{n}"] or [])}) for n in names}
     coded = saved(labelled.select("bad", "part", *[
         sum((F.when(feature(n) > edge, 1).otherwise(0) for edge in edges[n]), F.lit(0)).alias(n) for n in names]), "rules-bins")
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("bin")) for n in names]))
     left, rules = coded, []
     while len(rules) < most_rules:
         literals: list[Literal] = []
-        best_share = 0.0
         while len(literals) < most_literals:
             inside = left.filter("part <> 0").filter(_all([x.binned() for x in literals]))
             bars = (inside.select(pairs.alias("x"), "bad").groupBy("x.feature", "x.bin")
@@ -189,7 +190,10 @@ def learn(labelled: DataFrame, bins: int = 32, most_rules: int = 8, most_literal
             choices = [c for c in choices if c[1] >= support]
             if not choices or max(choices, key=lambda c: c[0])[0] <= 0:
                 break
-            literals.append(max(choices, key=lambda c: (c[0], c[1]))[2])
+            best = max(choices, key=lambda c: (c[0], c[1]))
+            # Thresholds that part the rows alike: the one in the middle keeps most distance from both sides.
+            alike = [c[2] for c in choices if c[:2] == best[:2] and (c[2].feature, c[2].above) == (best[2].feature, best[2].above)]
+            literals.append(alike[len(alike) // 2])
         if not literals:
             break
         prefixes = [_all([x.binned() for x in literals[:k]]) for k in range(1, len(literals) + 1)]
