@@ -57,8 +57,13 @@ def piece_keys(line: Column, length: Column, pieces) -> Column:
     return F.concat(keys(length), keys(length - 1))
 
 
-def _halves(base: Column) -> Column:
-    return F.lit(2)
+def half_keys(line: Column, length: Column) -> Column:
+    """The halves of a line, for each of the parts that it may play; as :func:`piece_keys` with two pieces."""
+    keys = []
+    for base in (length, length - 1):
+        middle = F.shiftright(base, 1)
+        keys += [F.xxhash64(base, F.lit(0), F.left(line, middle)), F.xxhash64(base, F.lit(1), F.right(line, base - middle))]
+    return F.array(*keys)
 
 
 def _roots(base: Column) -> Column:
@@ -101,8 +106,12 @@ def near_lines(occurrences: DataFrame, firsts: DataFrame, texts: DataFrame, min_
     character deleted at one place are all within one edit, and so are a line and all that become it.
     """
     halves = occurrences.select("h", F.explode("halves").alias("key")).distinct()
-    some = _shared(halves).select("h").distinct().join(firsts.select("h", "first", F.col("first.*")), "h")
-    few = texts.join(some, ["doc_id", "text_hash", "line_no"]).select("h", "first", "line", F.length("line").alias("length")).dropDuplicates(["h"])
+    # Written before texts are joined, so that the shuffles of keys and texts don't stand side by side.
+    shared = saved(_shared(halves).select("h").distinct(), "line-shared")
+    some = shared.join(firsts.select("h", "first"), "h")
+    stands = (F.col("text_hash") == F.col("first.text_hash")) & (F.col("line_no") == F.col("first.line_no"))
+    few = (texts.join(some, stands & F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+           .select("h", "first", "line", F.length("line").alias("length")).dropDuplicates(["h"]))
     few = saved(few, "line-few")
     cut = saved(_shared(few.select("h", F.explode(piece_keys(F.col("line"), F.col("length"), _roots)).alias("_p")).select("h", "_p.*"))
                 .select("h", "base", "start", "end").distinct(), "line-pieces")
@@ -115,7 +124,7 @@ def near_lines(occurrences: DataFrame, firsts: DataFrame, texts: DataFrame, min_
     text = few.select("h", "line")
     checked = met.join(text, "h").join(text.select(F.col("h").alias("_other"), F.col("line").alias("_line")), "_other")
     near = saved(checked.filter(F.levenshtein("line", "_line", 1) >= 0).select("h").distinct(), "line-near")
-    release(few, cut, variants)
+    release(shared, few, cut, variants)
     return near
 
 
@@ -123,15 +132,16 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text_hash and the sorted numbers of the lines that go, for documents that lose any."""
     lines = lines_of(docs)
     long = F.length("line") >= min_chars
-    keys = F.transform(piece_keys(F.col("line"), F.length("line"), _halves), lambda k: k["key"])
     seen = saved(lines.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"),
-                              F.when(long, keys).alias("halves")), "line-seen")
+                              F.when(long, half_keys(F.col("line"), F.length("line"))).alias("halves")), "line-seen")
     firsts = saved(seen.groupBy("h", "g").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("first")), "line-firsts")
-    near = near_lines(seen, firsts, lines, min_chars).withColumn("_near", F.lit(True))
-    judged = firsts.join(near, "h", "left")
+    near = near_lines(seen, firsts, lines, min_chars)
+    judged = firsts.join(near.withColumn("_near", F.lit(True)), "h", "left")
     gone = (seen.select("doc_id", "text_hash", "line_no", "h", "g").join(judged, ["h", "g"])
             .filter(F.col("_near").isNotNull() | (F.struct("doc_id", "text_hash", "line_no") != F.col("first"))))
-    return saved(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "line-gone")
+    found = saved(gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("gone")), "line-gone")
+    release(seen, firsts, near)
+    return found
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -71,5 +71,8 @@ def test_odd_tables(spark, nobody, odd):
     got = lines.dedup_lines(odd)
     assert got.columns == [*odd.columns, "n_lines", "n_removed"]
     assert sorted(r["n_removed"] for r in got.collect()) == [0] * 5
+    line = "this is one long line of a text"
+    unnamed = spark.createDataFrame([(None, line), (3, line + "s"), (4, line)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(unnamed).collect()} == {None: 0, 3: 1, 4: 1}
     same_id = spark.createDataFrame([(1, "a line of one text here it is"), (1, "another text\na line of one text here it is")], "doc_id long, text string")
     assert sum(r["n_removed"] for r in lines.dedup_lines(same_id.withColumn("x", F.lit(1))).collect()) == 1
