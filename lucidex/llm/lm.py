@@ -32,7 +32,10 @@ END = " end"
 #: About how many words or pairs a piece of the model holds, and how many tokens are scored at a time.
 PIECE_WORDS = 1 << 20
 PIECE_PAIRS = 1 << 22
-SLICE_TOKENS = 1 << 20
+SLICE_TOKENS = 1 << 19
+
+#: Bytes of words in a block: all of a block's pairs are sorted at once.
+BLOCK_BYTES = 32 << 20
 
 _U = np.uint64
 
@@ -416,6 +419,6 @@ def train_and_score(docs: DataFrame) -> DataFrame:
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     marked = docs.select("doc_id", held_out().alias("held_out"), "text")
-    blocks = saved(token_blocks(marked, ["doc_id", "held_out"], words_of(ascii_lower(whole_text()))), "lm-blocks").withColumn(
+    blocks = saved(token_blocks(marked, ["doc_id", "held_out"], words_of(ascii_lower(whole_text())), BLOCK_BYTES), "lm-blocks").withColumn(
         "hashes", F.transform("words", lambda w: F.xxhash64(w)))
     return score(blocks, train(blocks), {"doc_id": key, "held_out": "boolean"})
