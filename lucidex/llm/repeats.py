@@ -34,7 +34,7 @@ WINDOW = LENGTH - SEED_LENGTH + 1
 
 #: Bytes of text in a block, bytes named at a time (which then stay in a processor's cache), and bytes
 #: of corpus for each piece of the names.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SLICE_BYTES = 1 << 18
 PIECE_BYTES = 24 << 20
 
@@ -114,17 +114,21 @@ def _sliding(x: np.ndarray, width: int, take) -> np.ndarray:
     return take(x[:len(x) - (width - reach)], x[width - reach:]) if reach < width else x
 
 
-def anchors(texts: Texts, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice the anchors' positions and names, and the names of 16 bytes from the slice's start on."""
+def _doubled(texts: Texts, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the strings of 8 and 16 bytes at each byte of a slice, which is padded at both ends."""
+    padded = np.zeros(end - begin + 2 * _PAD, np.uint8)
+    padded[_PAD:_PAD + end - begin] = texts.bytes[begin:end]
+    names = _BYTE_NAMES[padded]
+    for reach in (1, 2, 4):
+        names = _name(names[:-reach], names[reach:])
+    return names, _name(names[:-8], names[8:])
+
+
+def anchors(texts: Texts, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each slice the anchors' positions and names."""
     for first, last in texts.slices():
         begin, end = int(texts.starts[first]), int(texts.starts[last])
-        padded = np.zeros(end - begin + 2 * _PAD, np.uint8)
-        padded[_PAD:_PAD + end - begin] = texts.bytes[begin:end]
-        one = _BYTE_NAMES[padded]
-        two = _name(one[:-1], one[1:])
-        four = _name(two[:-2], two[2:])
-        eight = _name(four[:-4], four[4:])
-        sixteen = _name(eight[:-8], eight[8:])
+        eight, sixteen = _doubled(texts, begin, end)
         seeds = _name(sixteen[:-8], eight[16:])
         least = _sliding(seeds, WINDOW, np.minimum)
         # A position is an anchor if it is the least of one of the windows that it is in.
@@ -134,7 +138,7 @@ def anchors(texts: Texts, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         doc = np.searchsorted(texts.starts, at, "right") - 1
         good = used[doc] & (at + SEED_LENGTH <= texts.starts[doc + 1]) & (texts.sizes[doc] >= LENGTH)
         at = at[good]
-        yield at, seeds[at - begin + _PAD], sixteen[_PAD:]
+        yield at, seeds[at - begin + _PAD]
 
 
 def _pack_bits(flags: np.ndarray) -> bytes:
@@ -231,7 +235,7 @@ def _send_seeds(bits: int, name_bits: int):
         block, texts = _block(blocks)
         used = texts.known & ~_Told(told).copies(texts)
         names, docs = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-        for at, found, _ in anchors(texts, used):
+        for at, found in anchors(texts, used):
             names.append(found >> _U(64 - name_bits))
             docs.append(np.searchsorted(texts.starts, at, "right") - 1)
         names, docs = np.concatenate(names), np.concatenate(docs)
@@ -251,7 +255,7 @@ def _strings(texts: Texts, told: _Told, name_bits: int) -> tuple[np.ndarray, np.
     kinds, at = np.unique(np.concatenate([np.zeros(0, _U), *[f[1] for f in found]]) >> _U(64 - name_bits), return_inverse=True)
     shared = told.flags["shared"][at] if len(kinds) else np.zeros(0, bool)
     starts, names, done = [np.zeros(0, np.int64)], [np.zeros(0, _U)], 0
-    for (first, last), (positions, _, sixteen) in zip(texts.slices(), found):
+    for (first, last), (positions, _) in zip(texts.slices(), found):
         own = positions[shared[done:done + len(positions)]]
         done += len(positions)
         begin, end = texts.starts[first], texts.starts[last]
@@ -263,6 +267,9 @@ def _strings(texts: Texts, told: _Told, name_bits: int) -> tuple[np.ndarray, np.
         np.add.at(cover, low[ok] - begin, 1)
         np.add.at(cover, high[ok] - begin, -1)
         s = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        if not len(s):
+            continue
+        sixteen = _doubled(texts, int(begin), int(end))[1][_PAD:]
         skip = LENGTH - 32
         left = _name(sixteen[s], sixteen[s + 16])
         right = _name(sixteen[s + skip], sixteen[s + skip + 16])
