@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidex.llm.blocks import read_block, token_blocks
-from lucidex.llm.common import STEP_SETTINGS, saved, settings, whole_text, work_path
+from lucidex.llm.common import STEP_SETTINGS, release, saved, settings, whole_text, work_path
 
 #: How byte-level BPE cuts a text into words, and the token that stands for itself.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -167,7 +167,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None, keys: tuple[str, ...]
     # A block has its words, so what decodes to the word itself isn't sent there again.
     other = F.when(F.col("decoded") != F.col("word").cast("binary"), F.col("decoded")).alias("decoded")
     table = saved(coded.join(texts, "word").select("word", F.col("stream").alias("ids"), other), "bpe-table")
+    release(coded)
     back = saved(placed.join(table, "word").select("block", "number", "ids", "decoded"), "bpe-back")
+    release(table)
     types = {f.name: f.dataType.simpleString() for f in docs.select(*keys).schema}
     spec = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
                      + ["ids array<int>"] * with_ids)
