@@ -33,7 +33,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_spot_fingerprints")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.fingerprints_and_edits(table(spark, sf_dir, "documents"))
+    return spotsigs.fingerprints_and_edits(table(spark, sf_dir, "documents"), bare=True, sparse=spotsigs.SPARSE)
 
 
 REPEATS_SQL = """

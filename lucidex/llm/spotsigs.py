@@ -1,35 +1,55 @@
 """Document fingerprints by SpotSigs.
 
-The words that most documents have are anchors.  After each anchor the next content words (those that
-are no anchors) form a chain; an anchor with its chain is a signature, and a document's fingerprint is
-the set of its signatures.  Sets are compared by Jaccard likeness, which is pruned by their sizes.
+The words that most documents of a language have are anchors, and those of all languages are anchors in
+every text, so that equal texts have equal fingerprints whatever language they are said to be in.  After
+each anchor the next content words (those that are no anchors) form a chain; an anchor with its chain is
+a signature, and a document's fingerprint is the set of its signatures.  Sets are compared by Jaccard
+likeness, which is pruned by their sizes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from lucidex.llm.common import ascii_lower, saved, whole_text, words_of
+from lucidex.llm.common import WORD, ascii_lower, saved, whole_text, words_of
 from lucidex.llm.graph import components
 
-#: How many of the most common words are anchors, and content words in a chain.
+#: How many of the most common words of a language are anchors, and content words in a chain.
 ANCHORS = 24
 CHAIN = 2
 
+#: Texts with fewer than one signature in so many words get the chains of all their words.
+SPARSE = 20
 
-def common_words(docs: DataFrame, top: int = ANCHORS) -> tuple[str, ...]:
-    """The *top* words by the number of documents that have them (A-Z lower-cased; ties by the word)."""
-    words = docs.select(F.explode(F.array_distinct(words_of(ascii_lower(whole_text())))).alias("word"))
-    counts = saved(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "spot-words")
-    return tuple(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(top).collect())
+#: Taken off both ends of bare words.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»‹›“”„‘’‚…–—¡¿·•"
+
+_WORDS = re.compile(WORD)
+
+
+def common_words(docs: DataFrame, top: int = ANCHORS, bare: bool = False) -> tuple[str, ...]:
+    """The *top* words of each language by the number of its documents that have them (A-Z lower-cased; ties by the word).
+
+    Documents without a language are one more, and a table without the column is in one language.
+    """
+    words = words_of(ascii_lower(whole_text()))
+    if bare:
+        words = F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != "")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    each = docs.select(lang.alias("lang"), F.explode(F.array_distinct(words)).alias("word"))
+    counts = saved(each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "spot-words")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    first = counts.withColumn("_place", place).filter(F.col("_place") <= top)
+    return tuple(r["word"] for r in first.select("word").distinct().orderBy("word").collect())
 
 
 @dataclass(frozen=True)
@@ -38,22 +58,23 @@ class Signer:
 
     anchors: frozenset[bytes]
     chain: int = CHAIN
+    #: Words without the punctuation around them.
+    bare: bool = False
+    #: Below one signature in so many words a text gets the chains of all its words; 0: one signature of the whole text if it has none.
+    sparse: int = 0
 
-    def signatures(self, text: str) -> np.ndarray:
-        """A text without anchors has one signature, all of its words; one without words has none."""
+    def words(self, text: str) -> list[bytes]:
         # Bytes split at ASCII white space only, and lower-case A-Z only.
-        words = text.encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        names = np.fromiter(map(crc32, words), np.uint64, len(words))
-        anchor = np.fromiter((w in self.anchors for w in words), bool, len(words))
-        content = np.flatnonzero(~anchor)
-        at = np.flatnonzero(anchor)
-        follow = np.searchsorted(content, at)
+        low = text.encode().lower()
+        if not self.bare:
+            return low.split()
+        return [w.encode() for w in (x.strip(PUNCTUATION) for x in _WORDS.findall(low.decode())) if w]
+
+    def _chains(self, names: np.ndarray, at: np.ndarray, content: np.ndarray) -> np.ndarray:
+        """Signatures of the words *at* with the content words after each."""
+        follow = np.searchsorted(content, at, "right")
         full = follow + self.chain <= len(content)
         at, follow = at[full], follow[full]
-        if not len(at):
-            return np.array([crc32(b" ".join(words))], np.uint32)
         out = names[at]
         for k in range(self.chain):
             out = out * np.uint64(0x9E3779B97F4A7C15) + names[content[follow + k]]
@@ -61,6 +82,23 @@ class Signer:
             out *= np.uint64(0xBF58476D1CE4E5B9)
         return np.unique((out >> np.uint64(32)).astype(np.uint32))
 
+    def signatures(self, text: str) -> np.ndarray:
+        """A text without any chain has one signature, all of its words; one without words has none."""
+        words = self.words(text)
+        if not words:
+            return np.zeros(0, np.uint32)
+        names = np.fromiter(map(crc32, words), np.uint64, len(words))
+        anchor = np.fromiter((w in self.anchors for w in words), bool, len(words))
+        content = np.flatnonzero(~anchor)
+        out = self._chains(names, np.flatnonzero(anchor), content)
+        if self.sparse and len(out) * self.sparse < len(words):
+            # The chains from anchors are among these.
+            every = np.arange(len(words))
+            out = self._chains(names, every, content)
+            if not len(out):
+                out = self._chains(names, every, every)
+        return out if len(out) else np.array([crc32(b" ".join(words))], np.uint32)
+
 
 def likeness(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
     """Jaccard likeness of two sets; 0 without a comparison where sizes alone rule out *at_least*.  Two empty sets are alike."""
@@ -159,18 +197,18 @@ def _compare(signer: Signer, key_type: pa.DataType):
     return run
 
 
-def fingerprints_and_edits(docs: DataFrame, top: int = ANCHORS, partitions: int | None = None) -> DataFrame:
+def fingerprints_and_edits(docs: DataFrame, top: int = ANCHORS, partitions: int | None = None, bare: bool = False, sparse: int = 0) -> DataFrame:
     """Per document its fingerprint, that of its edited text, and how like they and the next document's are.
 
     Documents are ordered by doc_id (null last, then by a hash of the text); after the last comes the
     first.  The edited text has the last half of a text replaced by the beginning of the next one.
     Texts are moved once, into ranges of doc_id; the first of each range goes to the range before as
-    well.  A null text is empty.
+    well.  A null text is empty.  *bare* and *sparse* are the Signer's.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    signer = Signer(frozenset(w.encode() for w in common_words(docs, top)))
+    signer = Signer(frozenset(w.encode() for w in common_words(docs, top, bare)), bare=bare, sparse=sparse)
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     cuts = docs.select(place.alias("p")).agg(F.percentile_approx("p", [i / partitions for i in range(1, partitions)] or [0.5], 10_000)).first()[0] or []

@@ -86,3 +86,23 @@ def test_odd_tables(spark, nobody, odd):
     assert [g[:2] for g in got] == [(False, 7), (False, 7), (False, 8), (False, 8), (True, 0)]
     one = spark.createDataFrame([(5, "only one text")], "doc_id long, text string")
     assert spotsigs.fingerprints_and_edits(one).first()["near_next"] == 1.0
+
+
+def test_every_language_has_anchors(spark):
+    """Nine in ten texts are English; German, texts with commas and texts without common words have signatures, too."""
+    def text(i, common, mark=""):
+        return " ".join(f"{common[j % len(common)]}{mark} x{(i * 37 + j * 11) % 997} y{(i * 53 + j * 7) % 991}" for j in range(40))
+
+    english = [f"en{k}" for k in range(24)]
+    german = ["der", "die", "und", "das"]
+    rows = [(i, text(i, english), "en") for i in range(45)] + [(100 + i, text(i, german, ","), "de") for i in range(5)]
+    rows += [(200, " ".join(f"q{j}" for j in range(60)), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    common = spotsigs.common_words(frame, bare=True)
+    assert set(english) | set(german) <= set(common)
+    signer = spotsigs.Signer(frozenset(w.encode() for w in common), bare=True, sparse=spotsigs.SPARSE)
+    assert all(len(signer.signatures(r[1])) >= 15 for r in rows)
+    # Punctuation is no part of a word, and one changed word leaves most signatures of a text without anchors.
+    assert np.array_equal(signer.signatures(rows[45][1]), signer.signatures(rows[45][1].replace(",", "")))
+    bare = spotsigs.Signer(frozenset(), bare=True, sparse=spotsigs.SPARSE)
+    assert spotsigs.likeness(bare.signatures(rows[-1][1]), bare.signatures(rows[-1][1].replace("q30", "changed"))) > 0.8
