@@ -10,6 +10,7 @@ from lucidex.plans import statements as st
 from lucidex.plans.inputs import Inputs
 from lucidex.plans.registry import query
 from lucidex.sources import samples
+from lucidex.streaming import sinks
 
 def seconds(column: str):
     """Whole seconds since 1970 of a zone-less time."""
@@ -376,7 +377,7 @@ SELECT s.site_id, s.content_id FROM stored s WHERE content_id NOT IN (
  SELECT user_id + 1 FROM events WHERE event_type = 'error')""", "stored"))
 def markdown_invalidate(spark, folder):
     inputs = Inputs(spark, folder)
-    gone = inputs.sample("changes").filter(F.col("kind") == "trash")
+    gone = inputs.sample("changes").filter(F.col("kind").isin(*sinks.INVALIDATING_KINDS))
     return store.invalidate(inputs.store, gone).select("site_id", "content_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lucidex import schemas
 from lucidex.operators import descriptions as ds, profile, site_index, skew, store
+from lucidex.plans.catalog import QUERIES
 from lucidex.sources.tables import append_change, compact, read_changing
 from lucidex.streaming import sinks, triggers
 
@@ -99,3 +100,17 @@ def test_rank_all_ranks_rows_without_a_bucket_last(spark):
     rows = frame(spark, [("g", i, i // 10 if i < 50 else None) for i in range(60)], "g string, i int, b int")
     got = {r["i"]: r["rank"] for r in skew.rank_all(rows, ["g"], F.col("b"), [F.desc("i")]).collect()}
     assert got == {**{i: 50 - i for i in range(50)}, **{i: 110 - i for i in range(50, 60)}}
+
+
+def test_every_dropping_kind_invalidates(spark, tmp_path):
+    """Saved and inserted documents lose their stored text, like trashed ones; other changes keep it."""
+    kinds = ["signup", "click", "error", "view", "purchase"]
+    pages = [(i, f"https://www.shop.com/en/p{i}", f"<title>T{i}</title>") for i in range(6)]
+    events = [(i, T0, i, kind, 1.0) for i, kind in enumerate(kinds)]
+    docs = [(i, f"text {i}", "en", "s", 6) for i in range(6)]
+    for name, rows, schema in (("pages", pages, "page_id long, url string, html string"),
+                               ("events", events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"),
+                               ("documents", docs, "doc_id long, text string, lang string, source string, n_chars long")):
+        frame(spark, rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    left = QUERIES["markdown_invalidate"](spark, str(tmp_path)).collect()
+    assert sorted(r["content_id"] for r in left) == [4, 5, 6]
