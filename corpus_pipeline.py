@@ -30,14 +30,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate group.
+    """One row of each near-duplicate group: that with the smallest doc_id (null last), then the smallest hash of the row.
 
-    Rows that repeat a doc_id are one document, of which one row stays.  A group of rows without
-    doc_id stays as one row, too.
+    Rows that share a doc_id, or have none, but are in different groups are each kept.  Rows that are
+    equal in all columns are one.
     """
-    kept = (simhash.near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    named = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    kept = simhash.grouped(named, ["doc_id", "_row"]).groupBy("_group").agg(first.alias("_first")).select("_first._row")
+    return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -212,15 +212,23 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found.filter("piece IS NULL").select("a", "b").unionByName(rest)
 
 
+def grouped(docs: DataFrame, keys: list[str], radius: int = RADIUS, shingle: int = SHINGLE_WORDS) -> DataFrame:
+    """keys, print and _group (a fingerprint of the group) of every row; a written table.
+
+    A null text has no words, so it is linked to all others without words.  Only narrow rows move;
+    links stay distributed.
+    """
+    prints = saved(fingerprints(docs, keys, shingle), "simhash-prints")
+    groups = components(links(prints, radius))
+    return saved(prints.join(groups, prints["print"] == groups["node"], "left")
+                 .select(*keys, "print", F.coalesce("component", "print").alias("_group")), "simhash-groups")
+
+
 def near_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, print and component_id, the smallest doc_id that links reach, itself included.
 
-    A null text has no words, so it is linked to all others without words.  Rows that repeat a doc_id
-    are each kept.  Only narrow rows move; links stay distributed.
+    Rows that repeat a doc_id are each kept.
     """
-    prints = saved(fingerprints(docs, ["doc_id"], shingle), "simhash-prints")
-    groups = components(links(prints, radius))
-    placed = saved(prints.join(groups, prints["print"] == groups["node"], "left")
-                   .select("doc_id", "print", F.coalesce("component", "print").alias("_group")), "simhash-groups")
+    placed = grouped(docs, ["doc_id"], radius, shingle)
     least = placed.groupBy("_group").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "_group").select("doc_id", "print", "component_id")

@@ -54,3 +54,16 @@ def test_odd_tables(spark, nobody, odd):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 7, 8]
     assert corpus_pipeline.line_dedup(spark, odd, SF).count() == 5
     assert corpus_pipeline.mix_sources(spark, odd, SF).columns == corpus_pipeline.COLUMNS
+
+
+def test_shared_and_missing_ids_lose_no_group(spark):
+    """One row of each group stays, whether or not rows have a doc_id of their own."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    rows = [(None, text(1), "en", "a", 1), (None, text(2), "en", "a", 2), (None, text(2), "en", "a", 2), (None, text(3), "en", "b", 3),
+            (5, text(4), "en", "a", 4), (5, text(5), "en", "a", 5), (9, text(4), "en", "a", 4), (3, text(6), "en", "a", 6),
+            (5, text(6), "en", "a", 6), (None, text(6), "en", "a", 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(0, text(1)), (0, text(2)), (0, text(3)), (5, text(4)), (5, text(5)), (3, text(6))])
+    for n in (1, 4):
+        kept = corpus_pipeline.near_dedup(spark, frame.repartition(n), SF).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == want
