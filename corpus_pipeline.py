@@ -33,7 +33,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that with the smallest doc_id (null last), then the smallest hash of the row.
 
     Rows that share a doc_id, or have none, but are in different groups are each kept.  Rows that are
-    equal in all columns are one.
+    equal in all columns are one.  Near-duplicates are what op4 calls so: SimHash of four-word shingles,
+    4 of 64 bits, linked in chains, with no bound on shingle Jaccard.  That leaves in most pairs of 0.8
+    to 0.95 on five-word shingles; the README has the measured shares.
     """
     named = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
