@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lucidex.llm import bpe, lines, lm, mixture, quality, repeats, rules, secrets, simhash, spotsigs
+from lucidex.llm import bpe, lines, lm, mixture, quality, ranked, repeats, rules, secrets, simhash, spotsigs
 from lucidex.llm.common import table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,4 +156,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture(table(spark, sf_dir, "documents"))
 
 
+SEARCH_SQL = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT *, CAST(len(terms) AS BIGINT) AS n FROM texts WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs),
+sized AS (SELECT row, doc_id, terms, 25 + (75 * n * n_docs) // n_terms AS m FROM docs, totals),
+items AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT item_id, term, count(*) AS repeats FROM items GROUP BY item_id, term),
+occurrences AS (SELECT row, doc_id, m, unnest(terms) AS term FROM sized),
+postings AS (SELECT row, doc_id, m, term, count(*) AS tf FROM occurrences WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+    FROM postings, totals GROUP BY term),
+scores AS (
+    SELECT item_id, row, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+    FROM asked JOIN postings USING (term) JOIN weights USING (term) GROUP BY item_id, row, doc_id),
+ranked AS (
+    SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+    FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
