@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lucidex.llm import bpe, lines, lm, mixture, quality, ranked, repeats, rules, secrets, simhash, spotsigs
+from lucidex.llm import alignment, bpe, chat, lines, lm, mixture, quality, ranked, repeats, rules, secrets, simhash, spotsigs
 from lucidex.llm.common import table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -187,4 +188,31 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_TAILS = "|".join(re.escape(c[1:]) for c in chat.CONTROLS)
+CHAT_SQL = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+sized AS (
+    SELECT *, CAST(length('<|im_start|>') + length(regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'),
+                   '([<\[])(\\*)({_TAILS})', '\1\\\2\3', 'g')) + 1
+              + length(regexp_replace(text, '([<\[])(\\*)({_TAILS})', '\1\\\2\3', 'g')) + length('<|im_end|>') + 1 AS BIGINT) AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op12_chat_formatting", CHAT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_all(spark, table(spark, sf_dir, "conversations"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -14,7 +14,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     return con
 
 
@@ -23,7 +24,8 @@ def test_query(spark, duck, name):
     frame = contract.queries()[name](spark, SF)
     columns = sorted(frame.columns)
     got = sorted([tuple(r[c] for c in columns) for r in frame.collect()], key=str)
-    assert len(got) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    if not name.startswith(("op11", "op12")):
+        assert len(got) == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     if name in ORACLES:
         result = duck.sql(ORACLES[name])
         place = {c: i for i, c in enumerate(result.columns)}
@@ -33,4 +35,4 @@ def test_query(spark, duck, name):
 
 def test_numbers():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"}
-    assert numbers == set(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == set(range(1, 14)) and "pipeline" in QUERIES
