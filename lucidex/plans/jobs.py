@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lucidex import schemas
 from lucidex.operators import audit, conversion, site_index, store
 from lucidex.operators.exposure import with_exposure, with_profile
+from lucidex.operators.fetch import fetch_rows
 from lucidex.sources.tables import append_change, read_changing, write_by_site
+from lucidex.sources.work import release, written
 
 KEY = ["site_id", "content_id"]
 
@@ -20,13 +22,26 @@ def missing_conversions(content: DataFrame, stored: DataFrame,
                         version: str = conversion.CONVERTER_VERSION) -> DataFrame:
     """Documents whose current hash has no stored conversion of this version.
 
-    Keys and hashes are compared, and only the documents that miss are fetched by their key: the
-    pages themselves are not shuffled while these are few.  Tables bucketed by the key are not
-    shuffled at all.
+    One plan, for tables bucketed by the key: these are not shuffled.  Other tables are better read
+    by :func:`fetch_missing`, as this join may move the pages.
     """
+    return content.join(_missing_keys(content, stored, version), KEY)
+
+
+def _missing_keys(content: DataFrame, stored: DataFrame, version: str) -> DataFrame:
     hashed = content.select(*KEY, store.content_hash().alias("content_hash"))
-    missing = store.plan_conversion(hashed, stored, version).filter("action = 'miss'").drop("action")
-    return content.join(missing, KEY)
+    return store.plan_conversion(hashed, stored, version).filter("action = 'miss'").drop("action")
+
+
+def fetch_missing(content: DataFrame, stored: DataFrame, version: str = conversion.CONVERTER_VERSION,
+                  broadcast_keys: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents that :func:`missing_conversions` finds, and the work table of their keys.
+
+    Keys and hashes are compared and the keys that miss are written, so that their number is known; then
+    only their pages are fetched.  No other page is in an exchange, however large the tables are.
+    """
+    keys = written(_missing_keys(content, stored, version), "missing")
+    return fetch_rows(content, keys, KEY, broadcast_keys), keys
 
 
 def refresh_conversions(spark: SparkSession, content: DataFrame, root: str, now: str) -> int:
@@ -38,13 +53,16 @@ def refresh_conversions(spark: SparkSession, content: DataFrame, root: str, now:
     stored = read_changing(spark, root, schemas.STORE)
     gone = stored.select(*KEY).join(content.select(*KEY), KEY, "left_anti")
     append_change(gone, root, "drop", schemas.STORE)
-    done = conversion.convert(missing_conversions(content, stored), [*KEY, "content_hash"])
+    pages, keys = fetch_missing(content, stored)
+    done = conversion.convert(pages, [*KEY, "content_hash"])
     rows = done.withColumns({
         "signals": F.to_json("signals"),
         "generated_at": F.to_timestamp_ntz(F.lit(now)),
         "converter_version": F.lit(conversion.CONVERTER_VERSION),
     })
-    return append_change(rows, root, "put", schemas.STORE)
+    seq = append_change(rows, root, "put", schemas.STORE)
+    release(keys)
+    return seq
 
 
 def publish_indexes(content: DataFrame, profile: DataFrame, meta: DataFrame, robots: DataFrame,
