@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lucidex import schemas
 from lucidex.operators import audit, conversion, site_index, store
-from lucidex.operators.exposure import with_exposure, with_profile
 from lucidex.operators.fetch import fetch_rows
+from lucidex.operators.exposure import with_exposure, with_profile
+from lucidex.sources import snapshots
 from lucidex.sources.tables import append_change, read_changing, write_by_site
 from lucidex.sources.work import release, written
 
@@ -86,6 +87,31 @@ def publish_indexes(content: DataFrame, profile: DataFrame, meta: DataFrame, rob
     write_by_site(full, f"{out}/full")
 
 
+#: Tables of a published index.
+INDEX_TABLES = ("lines", "parts", "full")
+
+
+def publish_snapshot(root: str, run: str, content: DataFrame, *inputs: DataFrame, stamp: str = "",
+                     base: int | None = None) -> snapshots.Snapshot:
+    """:func:`publish_indexes` as one version of the index at *root*: readers see all of it or none.
+
+    *run* names the run, such as ``daily-2024-02-01``; a run that is published is not published again, and
+    one that failed starts anew beside what readers use.
+    """
+    def write(folder: str) -> tuple[str, ...]:
+        publish_indexes(content, *inputs, out=folder)
+        return INDEX_TABLES
+
+    return snapshots.publish(content.sparkSession, root, run, write, stamp, base)
+
+
+def daily_rebuild(root: str, day: str, content: DataFrame, *inputs: DataFrame, keep: int = 3) -> snapshots.Snapshot:
+    """The full rebuild of a day (``yyyy-MM-dd``), once however often it is started; old versions expire."""
+    made = publish_snapshot(root, f"daily-{day}", content, *inputs, stamp=day)
+    snapshots.expire(content.sparkSession, root, keep)
+    return made
+
+
 def audit_sites(signals: DataFrame, out: str, stamp: str) -> None:
     """Write ``sub_scores`` and ``overall`` under *out*, stamped with the run."""
     spark = signals.sparkSession

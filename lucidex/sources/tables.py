@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from lucidex.operators.skew import latest_per_key
+from lucidex.sources.work import create_if_absent, delete, files_in
 
 KEY = ["site_id", "content_id"]
 
@@ -55,13 +57,21 @@ def commits(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _finish(spark: SparkSession, root: str, seq: int, kind: str, run: str) -> int:
-    spark.createDataFrame([(seq, kind, run)], COMMIT).coalesce(1).write.mode("append").json(f"{root}/_commits")
+    row = json.dumps({"seq": seq, "kind": kind, "run": run})
+    create_if_absent(spark, f"{root}/_commits/{seq:012d}-{uuid.uuid4().hex}.json", row + "\n")
     return seq
 
 
-def next_seq(spark: SparkSession, root: str) -> int:
+def claim_seq(spark: SparkSession, root: str, run: str) -> int:
+    """The next free number, for this run alone: of two writers that claim at once one gets the next.
+
+    The greater number wins where two changes touch a document, so which one does is settled here.
+    """
     last = commits(spark, root).agg(F.max("seq")).first()[0]
-    return 0 if last is None else last + 1
+    seq = 0 if last is None else last + 1
+    while not create_if_absent(spark, f"{root}/_claims/{seq:012d}", run):
+        seq += 1
+    return seq
 
 
 def append_change(rows: DataFrame, root: str, op: str, schema: str, run: str | None = None) -> int:
@@ -75,22 +85,27 @@ def append_change(rows: DataFrame, root: str, op: str, schema: str, run: str | N
     known = commits(spark, root).filter(F.col("run") == run).agg(F.max("seq")).first()[0]
     if known is not None:
         return known
-    seq = next_seq(spark, root)
     names = StructType.fromDDL(schema)
     full = rows.select(*[
         (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in names.fields])
-    full.withColumns({"_op": F.lit(op), "_seq": F.lit(seq).cast("bigint"), "_run": F.lit(run)}).write.mode("overwrite").parquet(
-        f"{root}/log/seq={seq}-{run}")
-    return _finish(spark, root, seq, "log", run)
+    while True:
+        seq = claim_seq(spark, root, run)
+        full.withColumns({"_op": F.lit(op), "_seq": F.lit(seq).cast("bigint"), "_run": F.lit(run)}).write.mode("overwrite").parquet(
+            f"{root}/log/seq={seq}-{run}")
+        # A compaction may have given this claim up; then the change takes a later number.
+        if create_if_absent(spark, f"{root}/_ends/{seq:012d}", run):
+            return _finish(spark, root, seq, "log", run)
 
 
-def read_changing(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """The table as of the last finished write.
+def read_changing(spark: SparkSession, root: str, schema: str, upto: int | None = None) -> DataFrame:
+    """The table as of the last finished write, or as of write *upto*.
 
     The log since the base is read at once.  Its newest row of each key replaces the key's row in the
     base, which is found by its key: no text of the base is compared or sorted.
     """
     done = commits(spark, root)
+    if upto is not None:
+        done = done.filter(F.col("seq") <= upto)
     base = done.filter("kind = 'base'").agg(F.max(F.struct("seq", "run"))).first()[0]
     since = done.filter("kind = 'log'").filter(F.col("seq") > (-1 if base is None else base["seq"]))
     # As many rows as writes since the base; compaction sets them back to none.
@@ -106,11 +121,29 @@ def read_changing(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return kept.select(*names).unionByName(changed.filter(F.col("_op") == "put").select(*names))
 
 
-def compact(spark: SparkSession, root: str, schema: str) -> int:
-    """Write the table as a new base, which ends the log before it."""
-    seq, run = next_seq(spark, root), uuid.uuid4().hex
-    read_changing(spark, root, schema).write.mode("overwrite").parquet(f"{root}/base/seq={seq}-{run}")
-    return _finish(spark, root, seq, "base", run)
+def compact(spark: SparkSession, root: str, schema: str, patience: float = 3600.0) -> int:
+    """Write the table as a new base, which ends the log before it.
+
+    A base reaches up to the first number that a writer has claimed and not finished.  Claims older than
+    *patience* seconds are given up, so that a writer that died doesn't hold the log; one that is only slow
+    takes a new number.
+    """
+    finished = {row["seq"] for row in commits(spark, root).select("seq").distinct().collect()}
+    upto = max(finished, default=-1)
+    for name, age in sorted(files_in(spark, f"{root}/_claims").items()):
+        if int(name) in finished:
+            continue
+        if age < patience or not create_if_absent(spark, f"{root}/_ends/{name}", "given up"):
+            upto = min(upto, int(name) - 1)
+            break
+    run = uuid.uuid4().hex
+    read_changing(spark, root, schema, upto).write.mode("overwrite").parquet(f"{root}/base/seq={upto}-{run}")
+    _finish(spark, root, upto, "base", run)
+    for seq in finished:
+        if seq <= upto:
+            delete(spark, f"{root}/_claims/{seq:012d}")
+            delete(spark, f"{root}/_ends/{seq:012d}")
+    return upto
 
 
 def write_by_site(rows: DataFrame, path: str, buckets: int = 256) -> None:
