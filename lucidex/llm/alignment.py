@@ -6,6 +6,10 @@ how many), and the product of the token-group matrices has one for each pair in
 cut at the byte offsets at which tokens of both sides end.  Products go row by row after Gustavson: the rows
 of the second matrix that an entry of the first one names are gathered and merged.
 
+Texts are split at spaces between words, which no token of either side crosses; all that is said of a text is
+a sum, a join or a union over its pieces, so each distinct piece of a batch is encoded and aligned once.  (Where
+a vocabulary allows no such cut, a text is one piece.)
+
 A task packs its documents into blocks: results of each document, and its id pairs as numbers into the
 block's distinct pairs.  How many documents of the whole table hold a pair is a sum over the blocks' pairs;
 the sums are joined back to the blocks and not to every link.
@@ -40,6 +44,12 @@ SLICE_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
 #: A text is encoded in pieces of about this many characters, cut where no token of either side can cross.
 PIECE_CHARS = 1 << 18
 
+#: Where a text is split: a space between two characters that are no white space.
+BETWEEN_WORDS = r"(?U)(?<=\S) (?=\S)"
+
+#: Links of a run of texts that are worked on at a time.
+RUN_LINKS = 1 << 20
+
 #: Links that are put in one batch.
 BATCH_LINKS = 1 << 20
 
@@ -236,8 +246,8 @@ def _numerals(size_a: int, size_b: int) -> pa.Array:
     return pa.array([f"{i}{mark}" for size, marks in ((size_a, ",|"), (size_b, ",;")) for i in range(size) for mark in marks])
 
 
-def _group_digests(found: Slice, size_a: int, size_b: int) -> list[str]:
-    """The digest of each text's groups, written as ``a1,a2|b1;a3|b2,b3``; without tokens ''."""
+def _group_texts(found: Slice, size_a: int, size_b: int) -> pa.Array:
+    """Each text's groups, written as ``a1,a2|b1;a3|b2,b3;``."""
     (ids_a, ids_b), (groups_a, groups_b) = found.ids, found.groups
     last = [np.concatenate([g[1:] != g[:-1], [True]]) if len(g) else np.zeros(0, bool) for g in found.groups]
     before = [np.concatenate([[0], np.cumsum(np.bincount(g, minlength=found.n_groups))]) for g in found.groups]
@@ -245,12 +255,9 @@ def _group_digests(found: Slice, size_a: int, size_b: int) -> list[str]:
     order[np.arange(len(ids_a)) + before[1][groups_a]] = 2 * ids_a + last[0]
     order[np.arange(len(ids_b)) + before[0][groups_b + 1]] = 2 * size_a + 2 * ids_b + last[1]
     text = _numerals(size_a, size_b).take(pa.array(order))
-    if not len(text):
-        return [""] * len(found.sizes[0])
-    ends = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4)
-    written = memoryview(text.buffers()[2])
+    ends = np.frombuffer(text.buffers()[1], np.int32, len(text) + 1, text.offset * 4) if len(text) else np.zeros(1, np.int32)
     upto = np.concatenate([[0], np.cumsum(found.sizes[0] + found.sizes[1])])
-    return [hashlib.sha256(written[ends[x]:ends[y] - 1]).hexdigest() if x < y else "" for x, y in zip(upto[:-1], upto[1:])]
+    return pa.StringArray.from_buffers(len(upto) - 1, pa.py_buffer(np.ascontiguousarray(ends[upto])), text.buffers()[2] if len(text) else pa.py_buffer(b""))
 
 
 def _per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -258,20 +265,74 @@ def _per_text(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(sizes)])])
 
 
-def _measure(found: Slice, size_a: int, size_b: int) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Per text its counts and digest; then (text, pair) with how often it is linked, sorted."""
-    of_a = np.repeat(np.arange(len(found.sizes[0])), found.sizes[0])
-    per_token = np.diff(found.links.starts)
-    in_group, per_group = found.group_matrices()
-    shared = product(in_group, Csr(np.arange(found.n_groups + 1), np.zeros(found.n_groups, np.int64), np.diff(per_group.starts)), 1)
-    ends_group = np.concatenate([found.groups[0][1:] != found.groups[0][:-1], [True]]) if len(of_a) else np.zeros(0, bool)
-    counts = [found.sizes[0], found.sizes[1], _per_text(ends_group.astype(np.int64), found.sizes[0]),
-              _per_text(per_token, found.sizes[0]), _per_text(shared.values, found.sizes[0])]
-    link_a = found.links.row_of()
-    pair = found.ids[0][link_a] * size_b + found.ids[1][found.links.columns]
-    space = size_a * size_b
-    both, times = np.unique(of_a[link_a] * space + pair, return_counts=True)
-    return counts, _group_digests(found, size_a, size_b), both // space, both % space, times
+@dataclass
+class Pieces:
+    """Distinct pieces: if tokens on both sides spell them, counts, groups as text, and the id pair of each link."""
+
+    good: np.ndarray
+    counts: list[np.ndarray]
+    groups: pa.Array
+    pairs: pa.ListArray
+
+    @classmethod
+    def of(cls, pieces: pa.Array, a: Side, b: Side) -> Pieces:
+        lengths = pc.binary_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = [cls._of_slice(pieces.slice(first, size).to_pylist(), a, b) for first, size in _runs(lengths, SLICE_BYTES)]
+        if not parts:
+            return cls._of_slice([], a, b)
+        return cls(np.concatenate([p.good for p in parts]), [np.concatenate(c) for c in zip(*(p.counts for p in parts))],
+                   pa.concat_arrays([p.groups for p in parts]), pa.concat_arrays([p.pairs for p in parts]))
+
+    @classmethod
+    def _of_slice(cls, pieces: list[str], a: Side, b: Side) -> Pieces:
+        found = align(pieces, a, b, None)
+        per_token = np.diff(found.links.starts)
+        in_group, per_group = found.group_matrices()
+        shared = product(in_group, Csr(np.arange(found.n_groups + 1), np.zeros(found.n_groups, np.int64), np.diff(per_group.starts)), 1)
+        ends = np.concatenate([found.groups[0][1:] != found.groups[0][:-1], [True]]) if len(found.ids[0]) else np.zeros(0, bool)
+        n_links = _per_text(per_token, found.sizes[0])
+        counts = [found.sizes[0], found.sizes[1], _per_text(ends.astype(np.int64), found.sizes[0]), n_links, _per_text(shared.values, found.sizes[0])]
+        pair = found.ids[0][found.links.row_of()] * b.size + found.ids[1][found.links.columns]
+        starts = np.concatenate([[0], np.cumsum(n_links)]).astype(np.int32)
+        return cls(found.sizes[0] > 0, counts, _group_texts(found, a.size, b.size), pa.ListArray.from_arrays(pa.array(starts), pa.array(pair, pa.int64())))
+
+
+def _runs(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts rows with such lengths into runs of about *limit*: first row and number of rows."""
+    upto, first = np.cumsum(lengths, dtype=np.int64), 0
+    while first < len(lengths):
+        last = max(int(np.searchsorted(upto, upto[first] - lengths[first] + limit, "right")), first + 1)
+        yield first, last - first
+        first = last
+
+
+def _measure(lists: pa.ListArray, a: Side, b: Side) -> Iterator[tuple[int, list[np.ndarray], list[str], np.ndarray, np.ndarray]]:
+    """Texts as lists of pieces, in runs: the number of texts, their counts and digests, and their id pairs with how often each is linked.
+
+    Pairs come text by text and ascend in each; the last of the counts is how many a text has.
+    """
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    table, codes = Pieces.of(coded.dictionary, a, b), coded.indices.to_numpy(zero_copy_only=False)
+    offsets, space = offsets - offsets[0], a.size * b.size
+    links = np.concatenate([[0], np.cumsum(table.counts[3][codes])])[offsets] if len(codes) else offsets
+    for first, size in _runs(np.diff(links), RUN_LINKS):
+        upto = offsets[first:first + size + 1]
+        own = codes[upto[0]:upto[-1]]
+        sizes = np.diff(upto)
+        bad = _per_text((~table.good[own]).astype(np.int64), sizes) > 0
+        own = own[np.repeat(~bad, sizes)]
+        sizes = np.where(bad, 0, sizes)
+        counts = [_per_text(c[own], sizes) for c in table.counts]
+        written = table.groups.take(pa.array(own))
+        digests = [""] * size
+        if len(written):
+            ends = np.frombuffer(written.buffers()[1], np.int32, len(written) + 1, written.offset * 4)
+            text, at = memoryview(written.buffers()[2]), np.concatenate([[0], np.cumsum(sizes)])
+            digests = [hashlib.sha256(text[ends[x]:ends[y] - 1]).hexdigest() if x < y else "" for x, y in zip(at[:-1], at[1:])]
+        taken = table.pairs.take(pa.array(own)).flatten().to_numpy()
+        both, times = np.unique(np.repeat(np.arange(size), counts[3]) * space + taken, return_counts=True)
+        yield size, counts + [np.bincount(both // space, minlength=size)], digests, both % space, times
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -308,40 +369,37 @@ def _close(keys: list[pa.Table], pairs: list[np.ndarray], times: list[np.ndarray
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Rows in runs of about SLICE_BYTES of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    upto, first = np.cumsum(lengths, dtype=np.int64), 0
-    while first < batch.num_rows:
-        base = upto[first] - lengths[first]
-        last = max(int(np.searchsorted(upto, base + SLICE_BYTES, "right")), first + 1)
-        yield batch.slice(first, last - first)
-        first = last
+    for first, size in _runs(lengths, SLICE_BYTES):
+        yield batch.slice(first, size)
 
 
-def blocks_of(docs: DataFrame, key: str, tokenizer: str, pieces: str, piece_chars: int, block_bytes: int) -> DataFrame:
+def blocks_of(docs: DataFrame, key: str, tokenizer: str, pieces: str, split: bool, block_bytes: int) -> DataFrame:
     """Aligned documents packed into blocks.  Names of blocks hold only for this execution: save the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_level(tokenizer), pieces_of(pieces)
-        limit = piece_chars if can_cut(tokenizer, pieces) else None
         task = TaskContext.get()
         prefix, made = (task.partitionId() if task else 0) << 24, 0
         keys, pairs, times, held = [], [], [], 0
         for batch in batches:
-            for rows in _slices(batch):
-                counts, digests, of_text, pair, often = _measure(align(rows.column("text").to_pylist(), a, b, limit), a.size, b.size)
-                columns = counts + [np.bincount(of_text, minlength=rows.num_rows)]
+            at = 0
+            for size, counts, digests, pair, often in _measure(batch.column("pieces"), a, b):
                 keys.append(pa.Table.from_arrays(
-                    [rows.column(key).take(pa.array(np.arange(rows.num_rows)))] + [pa.array(c, pa.int64()) for c in columns] + [pa.array(digests, pa.string())],
+                    [batch.column(key).take(pa.array(np.arange(at, at + size)))] + [pa.array(c, pa.int64()) for c in counts] + [pa.array(digests, pa.string())],
                     ["key", "n_a", "n_b", "n_groups", "n_links", "n_shared", "n_pairs", "groups_sha256"]))
                 pairs.append(pair)
                 times.append(often.astype(np.int32))
-                held += rows.column("text").nbytes
-                if held >= block_bytes:
-                    yield _close(keys, pairs, times, prefix + made, b.size)
-                    keys, pairs, times, held, made = [], [], [], 0, made + 1
+                at += size
+            held += batch.column("pieces").nbytes
+            if held >= block_bytes:
+                yield _close(keys, pairs, times, prefix + made, b.size)
+                keys, pairs, times, held, made = [], [], [], 0, made + 1
         if keys:
             yield _close(keys, pairs, times, prefix + made, b.size)
 
-    return docs.select(F.col(key), "text").mapInArrow(run, BLOCK)
+    cut_up = F.split("text", BETWEEN_WORDS) if split else F.array("text")
+    whole = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, cut_up).otherwise(F.array().cast("array<string>"))
+    return docs.select(F.col(key), whole.alias("pieces")).mapInArrow(run, BLOCK)
 
 
 def _finish(key: str, schema: pa.Schema):
@@ -369,16 +427,17 @@ def _finish(key: str, schema: pa.Schema):
 
 
 def aligned(docs: DataFrame, tokenizer: str | None = None, pieces: str | None = None, key: str = "doc_id",
-            piece_chars: int | None = None, block_bytes: int | None = None) -> DataFrame:
+            split: bool = True, block_bytes: int | None = None) -> DataFrame:
     """Per document the key, token, group and link counts, n_best, count_sum and groups_sha256.
 
-    n_shared is the number of pairs of tokens that share a group.
+    n_shared is the number of pairs of tokens that share a group.  Without *split*, or where the tokenizers
+    don't allow it, texts are encoded as wholes, with the same results.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    blocks = saved(blocks_of(docs, key, tokenizer or default_tokenizer(), pieces or default_pieces(),
-                             piece_chars or PIECE_CHARS, block_bytes or BLOCK_BYTES), "aligned-blocks")
+    tokenizer, pieces = tokenizer or default_tokenizer(), pieces or default_pieces()
+    blocks = saved(blocks_of(docs, key, tokenizer, pieces, split and can_cut(tokenizer, pieces), block_bytes or BLOCK_BYTES), "aligned-blocks")
     own = blocks.select("block", F.posexplode(F.arrays_zip("pair_a", "pair_b", "held")).alias("number", "p")).select(
         "block", "number", F.col("p.pair_a").alias("a"), F.col("p.pair_b").alias("b"), F.col("p.held").alias("held"))
     counts = saved(own.groupBy("a", "b").agg(F.sum("held").alias("count")), "aligned-counts")

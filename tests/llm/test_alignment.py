@@ -70,11 +70,13 @@ EXTRA = ["▁ piece sign", "\u0000 zero", "ends in space ", "  two before", "na
          "é combining", "ﬁ ligature", "a b", "1234567890 12345 3.14159", "don't we'll I'm"]
 
 
-@pytest.mark.parametrize("block_bytes", [None, 2000])
-def test_against_brute_force(spark, rows, block_bytes):
+@pytest.mark.parametrize("block_bytes, split", [(None, True), (2000, True), (None, False)])
+def test_against_brute_force(spark, rows, monkeypatch, block_bytes, split):
+    if block_bytes:
+        monkeypatch.setattr(alignment, "RUN_LINKS", 100)
     table = [r[:2] + (r[2], r[3], r[4]) for r in rows] + [(10_000 + i, t, "en", "x", len(t)) for i, t in enumerate(EXTRA)]
     docs = spark.createDataFrame(table, SCHEMA).repartition(3)
-    got = {r["doc_id"]: tuple(r)[1:] for r in alignment.aligned(docs, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in alignment.aligned(docs, split=split, block_bytes=block_bytes).collect()}
     wanted = plain([r[1] for r in table])
     assert got == {r[0]: w for r, w in zip(table, wanted)}
     assert sum(w[0] > 0 for w in wanted) > 60 and any(r[1] and not w[0] for r, w in zip(table, wanted))
