@@ -63,7 +63,7 @@ def index_entries(gated: DataFrame, descriptions: DataFrame, store: DataFrame,
         pairs = [F.lit(part) for pair in labels.items() for part in pair]
         label = F.coalesce(F.try_element_at(F.create_map(*pairs), label), label)
     entries = rows.select(
-        *KEY, "post_type", "type_order", "type_rank",
+        *KEY, "post_type", "type_order", "type_rank", "published_at",
         label.alias("label"),
         shown_title(F.col("title")).alias("title"),
         url.alias("url"),

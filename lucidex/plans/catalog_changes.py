@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lucidex.operators import index_chunks as ic, site_index
 from lucidex.plans import jobs, statements as st
 from lucidex.plans.inputs import Inputs
 from lucidex.plans.registry import query
+from lucidex.sources import samples
+from lucidex.sources.work import written
 
 KEY = ["site_id", "content_id"]
 
@@ -34,3 +37,87 @@ def conversion_fetch(spark, folder):
 def conversion_fetch_filtered(spark, folder):
     """The way for more keys than are broadcast."""
     return _fetched(spark, folder, 0)
+
+
+# --- index parts ---------------------------------------------------------------------
+
+#: Lines of a part on average, so that the samples have many parts.
+AVERAGE = 8
+
+
+def _latest_kinds(spark, folder):
+    """The kind of the last event of each document."""
+    events = samples.table(spark, folder, "events")
+    return events.groupBy((F.col("user_id") + 1).alias("content_id")).agg(F.max_by("event_type", "event_id").alias("last_kind"))
+
+
+def _index_lines(spark, folder):
+    """Curated lines, and lines of entries with the last change of their documents."""
+    inputs = Inputs(spark, folder)
+    curated = site_index.index_lines(site_index.curated_rows(inputs.editorial))
+    entries = site_index.index_lines(inputs.entries).join(_latest_kinds(spark, folder), "content_id", "left")
+    return inputs, curated, entries.withColumn("last_kind", F.coalesce("last_kind", F.lit("")))
+
+
+_LINES_SQL = """
+latest AS (SELECT user_id + 1 AS content_id, arg_max(event_type, event_id) AS kind FROM events GROUP BY 1),
+keyed AS (
+ SELECT l.site_id, label, CAST(entry_kind AS INTEGER) AS entry_kind, CASE entry_kind WHEN 1 THEN CAST(group_pos AS BIGINT) ELSE 0 END AS group_pos,
+  CASE entry_kind WHEN 1 THEN -epoch_us(published_at) ELSE entry_pos END AS spot, CASE entry_kind WHEN 1 THEN -l.content_id ELSE 0 END AS spot_id,
+  CASE entry_kind WHEN 1 THEN CAST(l.content_id AS VARCHAR) ELSE entry_pos || ' ' || l.url END AS entry_key, line, coalesce(kind, '') AS kind
+ FROM lined l LEFT JOIN content c ON c.site_id = l.site_id AND c.content_id = l.content_id LEFT JOIN latest ON latest.content_id = l.content_id),
+"""
+
+
+def _parts_sql(name: str, rows: str) -> str:
+    return f"""
+{name} AS (
+ SELECT site_id, label, entry_kind, group_pos, coalesce(mark.a, CAST('-9223372036854775808' AS BIGINT)) AS start,
+  coalesce(mark.b, CAST('-9223372036854775808' AS BIGINT)) AS start_id, count(*) AS lines, min(spot) AS first_at,
+  string_agg(line, chr(10) ORDER BY spot, spot_id, entry_key) || chr(10) AS body
+ FROM (SELECT *, last_value(CASE WHEN CAST('0x' || substr(md5(site_id || '/' || entry_kind || '/' || entry_key), 1, 8) AS BIGINT) % {AVERAGE} = 0
+   THEN {{'a': CAST(spot AS BIGINT), 'b': CAST(spot_id AS BIGINT)}} END IGNORE NULLS) OVER (PARTITION BY site_id, label, entry_kind, group_pos ORDER BY spot, spot_id, entry_key) AS mark
+  FROM ({rows})) GROUP BY ALL)"""
+
+
+@query("index_chunks", st.statement("""
+SELECT site_id, label, entry_kind, group_pos, start, start_id, lines, sha1(body) AS body_sha1 FROM whole""", "lined", "content").replace(
+    "\nSELECT site_id, label, entry_kind, group_pos, start,", "," + _LINES_SQL + _parts_sql("whole", "SELECT * EXCLUDE (kind) FROM keyed")
+    + "\nSELECT site_id, label, entry_kind, group_pos, start,", 1))
+def index_chunks(spark, folder):
+    _, curated, entries = _index_lines(spark, folder)
+    parts = ic.parts_of(ic.with_parts(ic.entry_lines(curated, entries), AVERAGE))
+    return parts.select(*ic.GROUP, *ic.START, "lines", F.sha1("body").alias("body_sha1"))
+
+
+@query("index_chunk_bodies", st.statement("SELECT site_id, body, lines FROM site_bodies", "site_bodies"))
+def index_chunk_bodies(spark, folder):
+    """The same texts as index_body gives, from parts that survive edits."""
+    inputs, curated, entries = _index_lines(spark, folder)
+    parts = written(ic.parts_of(ic.with_parts(ic.entry_lines(curated, entries), AVERAGE)), "index-parts")
+    ordered = F.array_sort(F.collect_list(F.struct("place", "body")))
+    texts = ic.text_rows(parts, inputs.profile).groupBy("site_id").agg(F.array_join(F.transform(ordered, lambda p: p["body"]), "").alias("body"))
+    counts = parts.groupBy("site_id").agg(F.sum("lines").alias("lines"))
+    return texts.join(counts, "site_id", "left").select("site_id", "body", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
+@query("index_parts_delta", st.statement("""
+SELECT site_id, label, entry_kind, group_pos, start, start_id, CASE WHEN n.body IS NULL THEN 'drop' ELSE 'put' END AS change, n.lines, sha1(n.body) AS body_sha1
+FROM now_parts n FULL JOIN old_parts o USING (site_id, label, entry_kind, group_pos, start, start_id)
+WHERE n.body IS DISTINCT FROM o.body""", "lined", "content").replace(
+    "\nSELECT site_id, label, entry_kind, group_pos, start,", "," + _LINES_SQL
+    + _parts_sql("old_parts", "SELECT * EXCLUDE (kind) FROM keyed WHERE kind <> 'signup'") + ","
+    + _parts_sql("now_parts", "SELECT * EXCLUDE (kind) REPLACE (CASE kind WHEN 'click' THEN line || ' (edited)' ELSE line END AS line) FROM keyed WHERE kind <> 'error'")
+    + "\nSELECT site_id, label, entry_kind, group_pos, start,", 1))
+def index_parts_delta(spark, folder):
+    """The index stood without the documents inserted last; then these came, some were edited and some went."""
+    _, curated, entries = _index_lines(spark, folder)
+    lines = written(entries, "index-entries")
+    placed = written(ic.with_parts(ic.entry_lines(curated, lines.filter("last_kind <> 'signup'")), AVERAGE), "index-placed")
+    parts = written(ic.parts_of(placed), "index-parts")
+    edited = lines.filter("last_kind IN ('signup', 'click')").withColumn(
+        "line", F.when(F.col("last_kind") == "click", F.concat("line", F.lit(" (edited)"))).otherwise(F.col("line")))
+    puts = ic.entry_lines(curated.limit(0), edited)
+    drops = ic.entry_lines(curated.limit(0), lines.filter("last_kind = 'error'"))
+    change = ic.change_parts(placed, parts, puts, drops, AVERAGE)
+    return change.parts.select(*ic.GROUP, *ic.START, "change", "lines", F.sha1("body").alias("body_sha1"))
