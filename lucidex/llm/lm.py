@@ -29,14 +29,18 @@ from lucidex.llm.common import ascii_lower, saved, whole_text, words_of, work_pa
 #: The end of a text as a word; no word has a space.
 END = " end"
 
-#: About how many words or pairs a piece of the model holds, and how many tokens are scored at a time.
+#: About how many words or pairs a piece of the model holds (a task sorts a piece's pairs of all blocks at once),
+#: and how many tokens are scored at a time.
 PIECE_WORDS = 1 << 20
-PIECE_PAIRS = 1 << 22
+PIECE_PAIRS = 1 << 20
 SLICE_TOKENS = 1 << 19
 
 #: Bytes of words in a block: all of a block's pairs are sorted at once.
 BLOCK_BYTES = 32 << 20
 
+#: Numbers of words in a pair have 32 bits, of which one value is the start of a text.
+MOST_WORDS = (1 << 32) - 1
+
 _U = np.uint64
 
 
@@ -237,6 +241,8 @@ def train(blocks: DataFrame) -> Model:
                            F.sum(F.when(F.col("is_end"), F.col("n"))).alias("documents")).first()
     if found["words"] != found["kinds"]:
         raise ValueError("two words of the corpus share a 64-bit hash")
+    if found["words"] >= MOST_WORDS:
+        raise ValueError(f"a pair holds two word numbers of 32 bits; the corpus has {found['words']} distinct words")
     word_bits = _bits(found["words"], PIECE_WORDS)
 
     def keep_words(group: pa.Table) -> pa.Table:
@@ -275,30 +281,38 @@ def train(blocks: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(pieces, pa.int32()), pa.array([len(part(mixed, p)) for p in pieces], pa.int64()),
                     pa.array([_pack(np.diff(part(mixed, p), prepend=_U(0))) for p in pieces], pa.binary()),
-                    pa.array([_pack(part(counts, p).astype(np.uint32)) for p in pieces], pa.binary())], ["piece", "size", "keys", "counts"])
+                    pa.array([_pack(part(counts, p)) for p in pieces], pa.binary())], ["piece", "size", "keys", "counts"])
 
     def keep_pairs(group: pa.Table) -> pa.Table:
         """Writes a piece; returns its figures by piece of words: (piece, what, numbers, values)."""
         sizes_, packed = group.column("size").to_pylist(), group.column("keys")
         mixed = np.concatenate([np.cumsum(_unpack(k.as_py(), n, _U), dtype=_U) for k, n in zip(packed, sizes_)])
-        counts = np.concatenate([_unpack(c.as_py(), n, np.uint32) for c, n in zip(group.column("counts"), sizes_)])
+        counts = np.concatenate([_unpack(c.as_py(), n, np.int64) for c, n in zip(group.column("counts"), sizes_)])
+        del packed
         order = np.argsort(mixed, kind="stable")
         mixed, counts = mixed[order], counts[order]
+        del order
         first = np.flatnonzero(np.concatenate([[True], mixed[1:] != mixed[:-1]]))
-        mixed, counts = mixed[first], np.add.reduceat(counts, first, dtype=np.int64)
+        mixed, counts = mixed[first], np.add.reduceat(counts, first)
+        del first
         piece = group.column("piece")[0].as_py()
         write_array(folder, f"pairs-{piece}", mixed)
-        write_array(folder, f"counts-{piece}", counts.astype(np.uint32))
+        write_array(folder, f"counts-{piece}", counts)
         plain = unmix(mixed)
+        del mixed
         before, now = (plain >> _U(32)).astype(np.int64) - 1, (plain & _U(0xFFFFFFFF)).astype(np.int64) - 1
+        del plain
         rows = {"piece": [], "ending": [], "size": [], "numbers": [], "values": []}
         for numbers, values, ending in ((now, [np.ones(len(now), np.int64)], True),
                                         (before, [counts, counts == 1, counts == 2, counts >= 3], False)):
             kinds, at = np.unique(numbers, return_inverse=True)
-            sums = np.stack([np.bincount(at, weights=v, minlength=len(kinds)) for v in values]).astype(np.uint32)
+            # Sums in order of the number; whole numbers throughout, as floats would round great ones.
+            order = np.argsort(at, kind="stable")
+            begins = np.searchsorted(at[order], np.arange(len(kinds)))
+            sums = np.stack([np.add.reduceat(v[order].astype(np.int64), begins) for v in values])
+            del order, at
             cuts = np.searchsorted(kinds, starts)
             if not ending and len(kinds) and kinds[0] == -1:  # the start of a text, which is no word
-                cuts = np.concatenate([cuts])
                 rows["piece"].append(-1)
                 rows["ending"].append(False)
                 rows["size"].append(1)
@@ -331,7 +345,7 @@ def train(blocks: DataFrame) -> Model:
             table[:, 0] = open_array(folder, f"n-{piece}")
         for ending, size, numbers, values in zip(*(group.column(c).to_pylist() for c in ("ending", "size", "numbers", "values"))):
             at = _unpack(numbers, size, np.uint32)
-            told = _unpack(values, size * (1 if ending else 4), np.uint32).reshape(-1, size)
+            told = _unpack(values, size * (1 if ending else 4), np.int64).reshape(-1, size)
             if ending:
                 table[at, 1] += told[0]
             else:
