@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidex.functions import text as tx
 from lucidex.functions.safety import instruction_flags
 from lucidex.functions.urls import markdown_url, mirror_path, url_host
+from lucidex.operators import digest
 from lucidex.operators.audit import ENGINE_NAME
 from lucidex.operators.skew import top_per_group
 
@@ -225,6 +226,30 @@ def mirror_delta(content: DataFrame, present: DataFrame, newest: int | None = No
     return joined.select(*KEY, wanted.alias("path"), stored.alias("present_path"), action.alias("action"))
 
 
+#: Mirrored documents as they should be and as they are, kept by bucket of the key.
+WANTED = "site_id string, content_id bigint, path string, modified_at timestamp_ntz, has_twin boolean"
+PRESENT = "site_id string, content_id bigint, present_path string, written_at timestamp_ntz"
+
+
+def save_mirror_states(content: DataFrame, present: DataFrame, wanted_path: str, present_path: str,
+                       tops: int = digest.TOPS, lows: int = digest.LOWS) -> None:
+    """Both sides with digests that are equal where every file is as it should be.
+
+    Only documents with a twin are compared: one without is either absent on both sides, or present and so different.
+    """
+    wanted = content.select(*KEY, "path", "modified_at", F.coalesce("has_twin", F.lit(False)).alias("has_twin"))
+    digest.save(wanted, wanted_path, KEY, ["path", "modified_at"], F.col("has_twin"), tops, lows)
+    digest.save(present.select(*KEY, "present_path", "written_at"), present_path, KEY, ["present_path", "written_at"], None, tops, lows)
+
+
+def mirror_digest_delta(spark: SparkSession, wanted_path: str, present_path: str) -> DataFrame:
+    """The files to write, move, rewrite or delete, as :func:`mirror_delta` finds them; only buckets that differ are read."""
+    buckets = digest.differing_buckets(spark, wanted_path, present_path)
+    wanted = digest.read_buckets(spark, wanted_path, WANTED, buckets)
+    present = digest.read_buckets(spark, present_path, PRESENT, buckets)
+    return mirror_delta(wanted, present).filter(~F.col("action").isin("keep", "none"))
+
+
 # --- status --------------------------------------------------------------------------
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lucidex.operators import index_chunks as ic, site_index
-from lucidex.plans import jobs, statements as st
+from lucidex.functions import text as tx
+from lucidex.operators import audit, index_chunks as ic, measures, publish, site_index
+from lucidex.plans import catalog_sites, jobs, statements as st
 from lucidex.plans.inputs import Inputs
 from lucidex.plans.registry import query
-from lucidex.sources import samples
-from lucidex.sources.work import written
+from lucidex.sources import samples, snapshots
+from lucidex.sources.work import work_path, written
 
 KEY = ["site_id", "content_id"]
 
@@ -121,3 +122,100 @@ def index_parts_delta(spark, folder):
     drops = ic.entry_lines(curated.limit(0), lines.filter("last_kind = 'error'"))
     change = ic.change_parts(placed, parts, puts, drops, AVERAGE)
     return change.parts.select(*ic.GROUP, *ic.START, "change", "lines", F.sha1("body").alias("body_sha1"))
+
+
+# --- measures that follow the log ----------------------------------------------------
+
+_CHANGED_SQL = """
+kinds AS (
+ SELECT user_id + 1 AS content_id, arg_max(event_type, event_id) FILTER (WHERE event_id < (SELECT max(event_id) // 2 FROM events)) AS k1,
+  arg_max(event_type, event_id) FILTER (WHERE event_id >= (SELECT max(event_id) // 2 FROM events)) AS k2 FROM events GROUP BY 1),
+changed AS (
+ SELECT * REPLACE (CASE k WHEN 'click' THEN (coalesce(quality_score, 0) + 37) % 101 ELSE quality_score END AS quality_score) FROM (
+  SELECT j.*, n_chars > 600 AS described, coalesce(CASE WHEN k2 IN ('error', 'click', 'signup') THEN k2 WHEN k1 IN ('error', 'click', 'signup') THEN k1 END, '') AS k
+  FROM judged j JOIN documents d ON d.doc_id + 1 = j.content_id LEFT JOIN kinds ON kinds.content_id = j.content_id) WHERE k <> 'error')
+"""
+
+
+def _with_changed(body: str) -> str:
+    whole = st.statement("SELECT 0 AS placeholder", "judged")
+    return whole.replace("\nSELECT 0 AS placeholder", "," + _CHANGED_SQL + body, 1)
+
+
+def _followed(spark, folder):
+    """All stored bodies, then two batches: documents that went, came again, or got another score."""
+    docs = samples.table(spark, folder, "documents").select((F.col("doc_id") + 1).alias("content_id"), "n_chars")
+    bodies = Inputs(spark, folder).bodies.join(docs, "content_id")
+    listed = tx.present(F.col("markdown")).isNotNull()
+    facts = written(measures.facts_of(bodies, listed, F.col("n_chars") > 600), "measure-facts")
+    now, start = measures.measure(facts, reserve=8), facts
+    now = measures.Measures(written(now.sites, "measure-sites"), written(now.worst, "measure-worst"))
+    events = samples.table(spark, folder, "events")
+    middle = events.agg(F.floor(F.max("event_id") / 2)).first()[0] or 0
+    halves = written(events.groupBy((F.col("user_id") + 1).alias("content_id"), (F.col("event_id") >= middle).alias("late"))
+                     .agg(F.max_by("event_type", "event_id").alias("kind")), "measure-kinds")
+    for late in (False, True):
+        batch = start.join(halves.filter(F.col("late") == late), "content_id")
+        again = F.when(F.col("kind") == "click", (F.coalesce("quality_score", F.lit(0)) + 37) % 101).otherwise(F.col("quality_score"))
+        puts = batch.filter("kind IN ('click', 'signup')").withColumn("quality_score", again.cast("int")).select(*facts.columns)
+        now, facts = measures.follow(now, facts, puts, batch.filter("kind = 'error'"), reserve=8)
+        now = measures.Measures(written(now.sites, "measure-sites"), written(now.worst, "measure-worst"))
+        facts = written(facts, "measure-facts")
+    return now
+
+
+@query("site_measures_delta", _with_changed("""
+SELECT site_id, count(*) AS rows_total, count(quality_score) AS rows_with_score, round(coalesce(avg(quality_score), 0), 9) AS mean_quality,
+ count(CASE WHEN quality_score >= 70 THEN 1 END) AS rows_above_threshold, round(avg(is_empty::INT), 9) AS empty_ratio, round(avg(is_noisy::INT), 9) AS noisy_ratio,
+ count(CASE WHEN """ + st.trim("coalesce(markdown, '')") + """ <> '' THEN 1 END) AS total_entries,
+ count(CASE WHEN """ + st.trim("coalesce(markdown, '')") + """ <> '' AND described THEN 1 END) AS entries_with_description
+FROM changed GROUP BY site_id"""))
+def site_measures_delta(spark, folder):
+    told = _followed(spark, folder).report()
+    return told.withColumns({c: F.round(c, 9) for c in ("mean_quality", "empty_ratio", "noisy_ratio")})
+
+
+@query("worst_documents_delta", _with_changed("""
+SELECT site_id, content_id, quality_score, CAST(rank AS INTEGER) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY quality_score, content_id) AS rank FROM changed WHERE quality_score IS NOT NULL) WHERE rank <= 5"""))
+def worst_documents_delta(spark, folder):
+    return _followed(spark, folder).shown(audit.WORST_LIMIT).select(*KEY, "quality_score", "rank")
+
+
+# --- mirror by digests ---------------------------------------------------------------
+
+
+@query("mirror_digest_delta", f"SELECT * FROM ({catalog_sites._mirror_sql('')}) WHERE action NOT IN ('keep', 'none')")
+def mirror_digest_delta(spark, folder):
+    wanted, present = catalog_sites.mirror_states(Inputs(spark, folder))
+    paths = work_path(spark, "mirror-wanted"), work_path(spark, "mirror-present")
+    publish.save_mirror_states(wanted, present, *paths, tops=8, lows=8)
+    return publish.mirror_digest_delta(spark, *paths)
+
+
+# --- published versions --------------------------------------------------------------
+
+
+@query("index_snapshot", st.statement("""
+SELECT version, version = 2 AS current, site_id, count(*) AS lines, sha1(string_agg(url, ',' ORDER BY url)) AS urls_sha1
+FROM (SELECT unnest([1, 2]) AS version), keyed
+WHERE version = 1 OR kind <> 'error' GROUP BY version, site_id""", "lined", "content").replace(
+    "\nSELECT version, version = 2", "," + _LINES_SQL.rstrip().rstrip(",").replace("line, coalesce(kind, '') AS kind", "line, l.url, coalesce(kind, '') AS kind")
+    + "\nSELECT version, version = 2", 1))
+def index_snapshot(spark, folder):
+    """A version of all documents, one without those that went last, and a run that fails: readers have the second."""
+    inputs, root = Inputs(spark, folder), work_path(spark, "index-versions")
+    content = inputs.content.join(_latest_kinds(spark, folder), "content_id", "left")
+    tables = (inputs.profile, inputs.sample("content_meta"), inputs.sample("robots"), inputs.descriptions, inputs.editorial, inputs.store)
+    first = jobs.publish_snapshot(root, "first", content.drop("last_kind"), *tables)
+    jobs.publish_snapshot(root, "second", content.filter("coalesce(last_kind, '') <> 'error'").drop("last_kind"), *tables, base=first.version)
+    try:
+        jobs.publish_snapshot(root, "third", content.drop("last_kind"), *tables, base=first.version)
+    except snapshots.Conflict:  # it started from a version that isn't current any more
+        pass
+    now = snapshots.latest(spark, root)
+    urls = F.array_join(F.array_sort(F.collect_list("url")), ",")
+    shown = [s.table("lines").groupBy("site_id").agg(F.count(F.lit(1)).alias("lines"), F.sha1(urls).alias("urls_sha1"))
+             .select(F.lit(s.version).alias("version"), F.lit(s == now).alias("current"), "site_id", "lines", "urls_sha1")
+             for s in (snapshots.open_version(spark, root, v) for v in snapshots.versions(spark, root))]
+    return shown[0].unionByName(shown[1])

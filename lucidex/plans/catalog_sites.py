@@ -705,7 +705,8 @@ def document_preview(spark, folder):
     return publish.document_preview(rows)
 
 
-def _mirror(inputs: Inputs, newest):
+def mirror_states(inputs: Inputs):
+    """Mirrored documents as they should be, and files as they are."""
     rows = publish.mirror_wanted(inputs.gated()).filter(~F.coalesce("reason", F.lit("")).isin("cpt", "status"))
     cid = F.col("content_id")
     wanted = rows.select(*KEY, "path", "modified_at", F.col("reason").isNull().alias("has_twin"))
@@ -713,7 +714,11 @@ def _mirror(inputs: Inputs, newest):
         *KEY, F.when(cid % 5 == 0, F.lit("old.md")).otherwise(F.col("path")).alias("present_path"),
         F.when(cid % 4 == 0, F.col("modified_at") - F.make_dt_interval(F.lit(1))).otherwise(F.col("modified_at"))
         .alias("written_at"))
-    return publish.mirror_delta(wanted, present, newest)
+    return wanted, present
+
+
+def _mirror(inputs: Inputs, newest):
+    return publish.mirror_delta(*mirror_states(inputs), newest)
 
 
 def _mirror_sql(limit: str) -> str:
