@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lucidex.functions import text as tx
-from lucidex.operators import audit, index_chunks as ic, measures, publish, site_index
+from lucidex.operators import audit, index_chunks as ic, measures, publish, site_index, text_index
 from lucidex.plans import catalog_sites, jobs, statements as st
 from lucidex.plans.inputs import Inputs
 from lucidex.plans.registry import query
@@ -219,3 +219,26 @@ def index_snapshot(spark, folder):
              .select(F.lit(s.version).alias("version"), F.lit(s == now).alias("current"), "site_id", "lines", "urls_sha1")
              for s in (snapshots.open_version(spark, root, v) for v in snapshots.versions(spark, root))]
     return shown[0].unionByName(shown[1])
+
+
+# --- search by postings --------------------------------------------------------------
+
+#: Terms of one to thirty characters, with and without hits.
+TERMS = ("z", "<p", "The", "</title>", "no such words in any text here")
+
+_HELD = " OR ".join(f"contains(lower({c}), lower(term))" for c in ("title", "excerpt", "body_html"))
+
+
+@query("content_search_indexed", st.statement(f"""
+SELECT term, site_id, content_id, title, CAST(position AS INTEGER) AS position, total FROM (
+ SELECT *, row_number() OVER (PARTITION BY term, site_id ORDER BY published_at DESC, content_id DESC) AS position,
+  count(*) OVER (PARTITION BY term, site_id) AS total
+ FROM content, (SELECT unnest({list(TERMS)}) AS term) WHERE status = 'publish' AND ({_HELD})) WHERE position <= 50""", "content"))
+def content_search_indexed(spark, folder):
+    path = work_path(spark, "text-index")
+    text_index.build(Inputs(spark, folder).content, path)
+    found = None
+    for term in TERMS:
+        own = text_index.search(spark, path, term, page=1, size=0).select(F.lit(term).alias("term"), *KEY, "title", "position", "total")
+        found = own if found is None else found.unionByName(own)
+    return found
