@@ -34,7 +34,7 @@ WINDOW = LENGTH - SEED_LENGTH + 1
 
 #: Bytes of text in a block, bytes named at a time (which then stay in a processor's cache), and bytes
 #: of corpus for each piece of the names.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SLICE_BYTES = 1 << 18
 PIECE_BYTES = 24 << 20
 
@@ -248,34 +248,54 @@ def _send_seeds(bits: int, name_bits: int):
     return run
 
 
-def _strings(texts: Texts, told: _Told, name_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of strings of 50 bytes with an anchor that several documents have, and their names."""
-    used = texts.known & ~told.copies(texts)
-    found = list(anchors(texts, used))
-    kinds, at = np.unique(np.concatenate([np.zeros(0, _U), *[f[1] for f in found]]) >> _U(64 - name_bits), return_inverse=True)
-    shared = told.flags["shared"][at] if len(kinds) else np.zeros(0, bool)
-    starts, names, done = [np.zeros(0, np.int64)], [np.zeros(0, _U)], 0
-    for (first, last), (positions, _) in zip(texts.slices(), found):
-        own = positions[shared[done:done + len(positions)]]
-        done += len(positions)
-        begin, end = texts.starts[first], texts.starts[last]
-        doc = np.searchsorted(texts.starts, own, "right") - 1
-        low = np.maximum(own - WINDOW + 1, texts.starts[doc])
-        high = np.minimum(own, texts.starts[doc + 1] - LENGTH) + 1
-        cover = np.zeros(end - begin + 1, np.int32)
-        ok = low < high
-        np.add.at(cover, low[ok] - begin, 1)
-        np.add.at(cover, high[ok] - begin, -1)
-        s = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-        if not len(s):
-            continue
-        sixteen = _doubled(texts, int(begin), int(end))[1][_PAD:]
-        skip = LENGTH - 32
-        left = _name(sixteen[s], sixteen[s + 16])
-        right = _name(sixteen[s + skip], sixteen[s + skip + 16])
-        starts.append(s + begin)
-        names.append(_name(left, right))
-    return np.concatenate(starts), np.concatenate(names)
+class _Strings:
+    """Strings of 50 bytes of a block with an anchor that several documents have, in order of their names.
+
+    ``starts`` are in order of the text; ``order`` sorts them by name, ``docs`` are the documents in that order,
+    ``kinds`` the distinct names, ``group`` which of these each string has, and ``first`` the first document of each.
+    Documents stand in the order of their ids, so the first has the smallest.
+    """
+
+    def __init__(self, texts: Texts, told: _Told, name_bits: int):
+        used = texts.known & ~told.copies(texts)
+        found = list(anchors(texts, used))
+        kinds, at = np.unique(np.concatenate([np.zeros(0, _U), *[f[1] for f in found]]) >> _U(64 - name_bits), return_inverse=True)
+        shared = told.flags["shared"][at] if len(kinds) else np.zeros(0, bool)
+        del kinds, at
+        starts, names, done = [np.zeros(0, np.int32)], [np.zeros(0, _U)], 0
+        for (first, last), (positions, _) in zip(texts.slices(), found):
+            own = positions[shared[done:done + len(positions)]]
+            done += len(positions)
+            begin, end = texts.starts[first], texts.starts[last]
+            doc = np.searchsorted(texts.starts, own, "right") - 1
+            low = np.maximum(own - WINDOW + 1, texts.starts[doc])
+            high = np.minimum(own, texts.starts[doc + 1] - LENGTH) + 1
+            cover = np.zeros(end - begin + 1, np.int32)
+            ok = low < high
+            np.add.at(cover, low[ok] - begin, 1)
+            np.add.at(cover, high[ok] - begin, -1)
+            s = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            if not len(s):
+                continue
+            sixteen = _doubled(texts, int(begin), int(end))[1][_PAD:]
+            skip = LENGTH - 32
+            left = _name(sixteen[s], sixteen[s + 16])
+            right = _name(sixteen[s + skip], sixteen[s + skip + 16])
+            starts.append((s + begin).astype(np.int32 if texts.starts[-1] < 1 << 31 else np.int64))
+            names.append(_name(left, right))
+        del found, shared
+        self.starts = np.concatenate(starts)
+        joined = np.concatenate(names)
+        del starts, names
+        self.order = np.argsort(joined)
+        joined = joined[self.order]
+        new = np.concatenate([[True], joined[1:] != joined[:-1]]) if len(joined) else np.zeros(0, bool)
+        self.kinds = joined[new]
+        del joined
+        self.group = np.cumsum(new, dtype=np.int32) - 1
+        self.docs = (np.searchsorted(texts.starts, self.starts, "right") - 1).astype(np.int32)[self.order]
+        begins = np.flatnonzero(new)
+        self.first = np.minimum.reduceat(self.docs, begins) if len(begins) else np.zeros(0, np.int32)
 
 
 def _send_strings(bits: int, name_bits: int):
@@ -283,13 +303,8 @@ def _send_strings(bits: int, name_bits: int):
         if not blocks.num_rows:
             return pa.table({f: pa.array([], t) for f, t in _SENT_TYPES.items()})
         block, texts = _block(blocks)
-        starts, names = _strings(texts, _Told(told), name_bits)
-        order = np.argsort(names, kind="stable")
-        names = names[order]
-        begins = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
-        # Documents stand in the order of their ids, so the first of equal names has the smallest.
-        least = texts.ids[np.searchsorted(texts.starts, starts[order[begins]], "right") - 1]
-        return _send(block, names[begins], least, bits, 64)
+        strings = _Strings(texts, _Told(told), name_bits)
+        return _send(block, strings.kinds, texts.ids[strings.first], bits, 64)
 
     return run
 
@@ -306,15 +321,15 @@ def _remove(name_bits: int, with_kept: bool):
         if blocks.num_rows:
             _, texts = _block(blocks)
             known = _Told(told)
-            starts, names = _strings(texts, known, name_bits)
-            kinds, at = np.unique(names, return_inverse=True)
-            doc = np.searchsorted(texts.starts, starts, "right") - 1
-            least = np.full(len(kinds), np.iinfo(np.int64).max)
-            np.minimum.at(least, at, texts.ids[doc])
-            again = known.flags["earlier"][at] | (texts.ids[doc] > least[at]) if len(kinds) else np.zeros(0, bool)
             cover = np.zeros(len(texts.bytes) + 1, np.int32)
-            np.add.at(cover, starts[again], 1)
-            np.add.at(cover, starts[again] + LENGTH, -1)
+            strings = _Strings(texts, known, name_bits)
+            again = np.empty(len(strings.starts), bool)
+            if len(again):
+                again[strings.order] = known.flags["earlier"][strings.group] | (texts.ids[strings.docs] > texts.ids[strings.first][strings.group])
+            starts = strings.starts[again]
+            del strings, again
+            cover[starts] += 1  # no start stands twice
+            cover[starts + LENGTH] -= 1
             gone = np.cumsum(cover[:-1]) > 0
             copies = known.copies(texts)
             for i in range(len(texts.ids)):
