@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lucidex.functions import text as tx
-from lucidex.operators import audit, index_chunks as ic, measures, publish, site_index, text_index
+from lucidex.operators import audit, index_chunks as ic, measures, paging, publish, site_index, text_index
 from lucidex.plans import catalog_sites, jobs, statements as st
 from lucidex.plans.inputs import Inputs
 from lucidex.plans.registry import query
@@ -242,3 +242,17 @@ def content_search_indexed(spark, folder):
         own = text_index.search(spark, path, term, page=1, size=0).select(F.lit(term).alias("term"), *KEY, "title", "position", "total")
         found = own if found is None else found.unionByName(own)
     return found
+
+
+# --- deep pages ----------------------------------------------------------------------
+
+
+@query("description_deep_page", st.statement(f"""
+SELECT site_id, content_id, CAST(position AS INTEGER) AS position, total, CAST(ceil(total / 5) AS BIGINT) AS pages FROM (
+ SELECT g.site_id, g.content_id, row_number() OVER (PARTITION BY site_id ORDER BY g.published_at DESC, content_id DESC) AS position,
+  count(*) OVER (PARTITION BY site_id) AS total
+ FROM {catalog_sites._CONSIDERED} g) WHERE position BETWEEN 31 AND 35""", "gate", "described"))
+def description_deep_page(spark, folder):
+    rows = Inputs(spark, folder).eligible.select(*KEY, "published_at")
+    shown = paging.deep_page_of(rows, page=7, size=5, rank_rows=3)
+    return shown.select(*KEY, "position", "total", "pages")
