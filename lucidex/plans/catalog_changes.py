@@ -11,6 +11,7 @@ from lucidex.plans.inputs import Inputs
 from lucidex.plans.registry import query
 from lucidex.sources import samples, snapshots
 from lucidex.sources.work import work_path, written
+from lucidex.streaming import triggers
 
 KEY = ["site_id", "content_id"]
 
@@ -256,3 +257,29 @@ def description_deep_page(spark, folder):
     rows = Inputs(spark, folder).eligible.select(*KEY, "published_at")
     shown = paging.deep_page_of(rows, page=7, size=5, rank_rows=3)
     return shown.select(*KEY, "position", "total", "pages")
+
+
+# --- capped queue --------------------------------------------------------------------
+
+#: Jobs pending on a site at a time, and seconds until a job is done.
+CAP, DELAY = 3, 90
+
+
+@query("queue_admissions", st.statement(f"""
+SELECT site_id, content_id, second, outcome, due AS due_second FROM decided""", "feed").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\nSELECT site_id, content_id, second, outcome", f""",
+asked AS (
+ SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY second, content_id) AS i FROM (SELECT DISTINCT site_id, content_id, second FROM feed)),
+decided AS (
+ SELECT site_id, content_id, second, i, 'queued' AS outcome, second + {DELAY} AS due, [{{'doc': content_id, 'due': second + {DELAY}}}] AS waiting FROM asked WHERE i = 1
+ UNION ALL
+ SELECT site_id, content_id, second, i, CASE WHEN held IS NOT NULL THEN 'pending' WHEN len(alive) >= {CAP} THEN 'refused' ELSE 'queued' END,
+  CASE WHEN held IS NOT NULL THEN held WHEN len(alive) < {CAP} THEN second + {DELAY} END,
+  CASE WHEN held IS NOT NULL OR len(alive) >= {CAP} THEN alive ELSE list_append(alive, {{'doc': content_id, 'due': second + {DELAY}}}) END FROM (
+   SELECT *, list_filter(alive, lambda p: p.doc = content_id)[1].due AS held FROM (
+    SELECT a.site_id, a.content_id, a.second, a.i, list_filter(d.waiting, lambda p: p.due > a.second) AS alive
+    FROM decided d JOIN asked a ON a.site_id = d.site_id AND a.i = d.i + 1)))
+SELECT site_id, content_id, second, outcome""", 1))
+def queue_admissions(spark, folder):
+    feed = Inputs(spark, folder).sample("changes")
+    return triggers.queue_admissions(feed, CAP, DELAY)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lucidex.functions.text import let
@@ -149,7 +150,64 @@ def stream_triggers(changes: DataFrame, wait: int = REBUILD_WAIT, watermark: str
         GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_queue(requests: DataFrame, cap: int = QUEUE_CAP, watermark: str = "10 minutes") -> DataFrame:
+def busy_periods(seconds: DataFrame, delay: int) -> DataFrame:
+    """The distinct seconds of each site (site_id, second) with the ``begin`` of their busy period.
+
+    A period begins where no job of an earlier second can still be pending.  A site's feed isn't read in
+    one task: gaps are found inside hours, and one row per hour carries the last second and the last begin on.
+    """
+    hour = F.floor(F.col("second") / F.lit(CHUNK)).cast("bigint")
+    placed = seconds.select("site_id", F.col("second").cast("bigint").alias("second")).distinct().withColumn("hour", hour)
+    ends = placed.groupBy("site_id", "hour").agg(F.max("second").alias("_end"))
+    hours = Window.partitionBy("site_id").orderBy("hour")
+    before = ends.withColumn("_before", F.lag("_end").over(hours)).drop("_end")
+    inside = Window.partitionBy("site_id", "hour").orderBy("second")
+    joined = placed.join(before, ["site_id", "hour"])
+    previous = F.coalesce(F.lag("second").over(inside), F.col("_before"))
+    marked = joined.withColumn("_begin", F.when(previous.isNull() | (F.col("second") - previous >= delay), F.col("second")))
+    own = marked.withColumn("_begin", F.last("_begin", ignorenulls=True).over(inside)).drop("_before")
+    carried = own.groupBy("site_id", "hour").agg(F.max("_begin").alias("_last"))
+    ahead = hours.rowsBetween(Window.unboundedPreceding, -1)
+    entered = carried.select("site_id", "hour", F.last("_last", ignorenulls=True).over(ahead).alias("_carried"))
+    return own.join(entered, ["site_id", "hour"]).select("site_id", "second", F.coalesce("_begin", "_carried").alias("begin"))
+
+
+def queue_admissions(requests: DataFrame, cap: int = QUEUE_CAP, delay: int = QUEUE_DELAY) -> DataFrame:
+    """What :func:`stream_queue` decides, for a whole feed of ``site_id, content_id, second``.
+
+    The queue is surely empty where a busy period begins, so periods are decided apart, side by side.
+    In a period requests go by second and document; a task reads its sorted periods one row at a time and
+    holds at most *cap* pending jobs.  A site without any pause of *delay* seconds is one period.
+    """
+    asked = requests.select("site_id", "content_id", F.col("second").cast("bigint").alias("second")).distinct()
+    placed = asked.join(busy_periods(asked, delay), ["site_id", "second"])
+    ordered = placed.repartition("site_id", "begin").sortWithinPartitions("site_id", "begin", "second", "content_id")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        period, pending = None, {}
+        for batch in batches:
+            outcomes, dues = [], []
+            columns = [batch.column(c).to_pylist() for c in ("site_id", "begin", "second", "content_id")]
+            for site, begin, second, doc in zip(*columns):
+                if (site, begin) != period:
+                    period, pending = (site, begin), {}
+                pending = {d: due for d, due in pending.items() if due > second}
+                if doc in pending:
+                    outcomes.append("pending")
+                elif len(pending) >= cap:
+                    outcomes.append("refused")
+                else:
+                    pending[doc] = second + delay
+                    outcomes.append("queued")
+                dues.append(pending.get(doc))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("site_id"), batch.column("content_id"), batch.column("second"), pa.array(outcomes, pa.string()), pa.array(dues, pa.int64())],
+                ["site_id", "content_id", "second", "outcome", "due_second"])
+
+    return ordered.mapInArrow(decide, "site_id string, content_id bigint, second bigint, outcome string, due_second bigint")
+
+
+def stream_queue(requests: DataFrame, cap: int = QUEUE_CAP, watermark: str = "10 minutes", delay: int = QUEUE_DELAY) -> DataFrame:
     """Per-document jobs with a cap on how many are pending per site.
 
     A document already pending is not queued again; with *cap* pending a request is
@@ -174,7 +232,7 @@ def stream_queue(requests: DataFrame, cap: int = QUEUE_CAP, watermark: str = "10
                 elif len(pending) >= cap:
                     out.append((key[0], doc, "refused", None))
                 else:
-                    pending[doc] = second + QUEUE_DELAY
+                    pending[doc] = second + delay
                     out.append((key[0], doc, "queued", pending[doc]))
             yield pd.DataFrame(out, columns=["site_id", "content_id", "outcome", "due_second"]).astype(
                 {"due_second": "Int64"})
