@@ -374,7 +374,7 @@ def markdown_upsert(spark, folder):
 
 @query("markdown_invalidate", st.statement("""
 SELECT s.site_id, s.content_id FROM stored s WHERE content_id NOT IN (
- SELECT user_id + 1 FROM events WHERE event_type = 'error')""", "stored"))
+ SELECT user_id + 1 FROM events WHERE event_type IN ('signup', 'click', 'error'))""", "stored"))
 def markdown_invalidate(spark, folder):
     inputs = Inputs(spark, folder)
     gone = inputs.sample("changes").filter(F.col("kind").isin(*sinks.INVALIDATING_KINDS))

@@ -107,7 +107,11 @@ def statement(body: str, *needs: str) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({CTES[name][1]})" for name in order) + "\n" + body
 
 
-_define("content", (), r"""
+_define("sited", (), """
+SELECT *, doc_id + 1 AS content_id, coalesce(source, 'none') || CASE coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0) % 3
+ WHEN 0 THEN '.com' WHEN 1 THEN '.net' ELSE '.org' END AS site_id FROM documents""")
+
+_define("content", ("sited",), r"""
 SELECT *, modified_base + to_days(CAST(content_id % 7 AS INTEGER)) AS modified_at FROM (
  SELECT regexp_extract(url, '^[a-z]+://[^/?#:]*?([^./?#:]+\.[^./?#:]+)(?:[:/?#]|$)', 1) AS site_id,
   page_id + 1 AS content_id,
@@ -122,7 +126,10 @@ SELECT *, modified_base + to_days(CAST(content_id % 7 AS INTEGER)) AS modified_a
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id + 1) AS published_at,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(page_id + 1) AS modified_base,
   regexp_extract(url, '^[a-z]+://[^/?#]+/([a-z]{2})/', 1) AS lang
- FROM pages)""")
+ FROM (SELECT page_id, url, html FROM pages UNION ALL SELECT doc_id,
+  'https://' || site_id || '/' || coalesce(lang, 'en') || '/d' || doc_id,
+  '<title>Doc ' || doc_id || ' ' || regexp_extract(coalesce(text, ''), '^[A-Za-z ]{0,40}') || '</title><div class="ad">'
+   || regexp_extract(coalesce(text, ''), '^[A-Za-z ,.\n]{0,80}') || '</div><p>' || coalesce(text, '') || '</p>' FROM sited))""")
 
 _define("profile", ("content",), """
 SELECT site_id, right(site_id, 4) AS ending,
@@ -167,11 +174,7 @@ SELECT *, CASE
   WHEN denied THEN 'excluded' WHEN sample THEN 'sample' END AS reason
 FROM flags""")
 
-_define("dealt", (), """
-SELECT *, doc_id % (SELECT greatest(count(*), 1) FROM pages) + 1 AS content_id FROM documents
-QUALIFY row_number() OVER (PARTITION BY doc_id % (SELECT greatest(count(*), 1) FROM pages) ORDER BY doc_id DESC) = 1""")
-
-_define("described", ("content", "dealt"), """
+_define("described", ("content", "sited"), """
 SELECT c.site_id, c.content_id, c.modified_at, c.published_at,
  CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 29 = 1 THEN '  ' ELSE text END AS auto,
  CASE WHEN doc_id % 7 = 0 THEN ' ' || text WHEN doc_id % 7 = 1 THEN '   ' END AS manual,
@@ -179,19 +182,19 @@ SELECT c.site_id, c.content_id, c.modified_at, c.published_at,
  CASE WHEN doc_id % 11 = 0 THEN '0' ELSE '1' END AS generator_version,
  CASE doc_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'needs-retry' WHEN 2 THEN 'failed' WHEN 3 THEN 'done'
    WHEN 4 THEN '' ELSE 'skipped' END AS job_status
-FROM dealt d JOIN content c USING (content_id)""")
+FROM sited d JOIN content c USING (site_id, content_id)""")
 
 _define("hashed", ("content",), """
 SELECT *, sha1(body_html || excerpt || strftime(modified_at, '%Y-%m-%d %H:%M:%S') || title) AS hash FROM content""")
 
-_define("stored", ("hashed", "dealt"), """
+_define("stored", ("hashed", "sited"), """
 SELECT c.site_id, c.content_id,
  CASE WHEN doc_id % 4 = 0 THEN 'outdated' ELSE c.hash END AS content_hash,
  CASE WHEN doc_id % 9 = 0 THEN '  ' || chr(10) ELSE text END AS markdown,
  CASE WHEN doc_id % 6 = 0 THEN '4' ELSE '5' END AS converter_version,
  c.published_at AS generated_at,
  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(doc_id % 101 AS INTEGER) END AS quality_score
-FROM dealt d JOIN hashed c USING (content_id)""")
+FROM sited d JOIN hashed c USING (site_id, content_id)""")
 
 _define("bodies", (), """
 SELECT source AS site_id, doc_id + 1 AS content_id,

@@ -1,6 +1,7 @@
 """Adapters: the sample tables as the engine's input tables.
 
-Every rule is fixed and simple, so that SQL can repeat it.  All rows are used.
+Every rule is fixed and simple, so that SQL can repeat it.  All rows are used: pages are content of the site that
+their address names, and documents are content of a site of their own source.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ RETIRED_META_KEYS = ["cleanup_status", "cleanup_hash", "cleanup_output", "cleanu
 
 PUBLISHED = "(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(content_id AS int)))"
 MODIFIED = f"({PUBLISHED} + make_dt_interval(cast(content_id % 7 AS int)))"
+#: A source is a site; a document is a page of it, with the start of its text as title and notice.
+DOCUMENT_SITE = ("(coalesce(source, 'none') || CASE coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int), 0) % 3 "
+                 "WHEN 0 THEN '.com' WHEN 1 THEN '.net' ELSE '.org' END)")
+DOCUMENT_URL = f"'https://' || {DOCUMENT_SITE} || '/' || coalesce(lang, 'en') || '/d' || doc_id"
+DOCUMENT_HTML = ("'<title>Doc ' || doc_id || ' ' || regexp_extract(coalesce(text, ''), '^[A-Za-z ]{0,40}', 0) || '</title><div class=\"ad\">' || "
+                 "regexp_extract(coalesce(text, ''), '^[A-Za-z ,.\\n]{0,80}', 0) || '</div><p>' || coalesce(text, '') || '</p>'")
 SCORE = "CASE WHEN doc_id % 13 = 0 THEN cast(NULL AS int) ELSE cast(doc_id % 101 AS int) END"
 
 
@@ -42,8 +49,9 @@ class Samples:
 
     @cached_property
     def content(self) -> DataFrame:
-        """Pages as content rows of the site named by the last two host labels."""
-        named = self.table("pages").select(
+        """Pages, and documents as pages, as content rows of the site named by the last two host labels."""
+        documents = self.table("documents").selectExpr("doc_id AS page_id", f"{DOCUMENT_URL} AS url", f"{DOCUMENT_HTML} AS html")
+        named = self.table("pages").select("page_id", "url", "html").unionByName(documents).select(
             registered_site(F.col("url")).alias("site_id"),
             F.expr("page_id + 1").alias("content_id"), "url", "html",
             F.expr(r"regexp_extract(url, r'^[a-z]+://[^/?#]+([^?#]*)', 1)").alias("path"),
@@ -76,7 +84,7 @@ class Samples:
 
     @cached_property
     def keys(self) -> DataFrame:
-        """Site and id of every page, from the address column alone."""
+        """Site and id of every page and document, without their texts."""
         return self.content.select("site_id", "content_id")
 
     @cached_property
@@ -154,17 +162,14 @@ class Samples:
         return self.table("documents").withColumn("content_id", F.col("doc_id") + 1)
 
     @cached_property
-    def page_documents(self) -> DataFrame:
-        """Documents dealt to the pages in turn; the last one dealt to a page is its current version."""
-        pages = self.keys.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0]
-        dealt = self.table("documents").withColumn("content_id", F.col("doc_id") % pages + 1)
-        newest = dealt.groupBy("content_id").agg(F.max("doc_id").alias("doc_id"))
-        return dealt.join(newest, ["content_id", "doc_id"], "left_semi")
+    def sited_documents(self) -> DataFrame:
+        """Every document with its key as content."""
+        return self.numbered_documents.withColumn("site_id", F.expr(DOCUMENT_SITE))
 
     @cached_property
     def descriptions(self) -> DataFrame:
-        """Documents as description records of the pages they are dealt to."""
-        return self.page_documents.join(self.keys, "content_id").selectExpr(
+        """Documents as description records of their own content; pages have none."""
+        return self.sited_documents.selectExpr(
             "site_id", "content_id",
             "CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 29 = 1 THEN '  ' ELSE text END AS auto",
             "CASE WHEN doc_id % 7 = 0 THEN ' ' || text WHEN doc_id % 7 = 1 THEN '   ' END AS manual",
@@ -177,9 +182,9 @@ class Samples:
 
     @cached_property
     def page_store(self) -> DataFrame:
-        """Documents as stored conversions of the pages they are dealt to."""
+        """Documents as stored conversions of their own content; pages have none."""
         keyed = self.content.select("site_id", "content_id", content_hash().alias("_hash"))
-        return self.page_documents.join(keyed, "content_id").selectExpr(
+        return self.sited_documents.join(keyed, ["site_id", "content_id"]).selectExpr(
             "site_id", "content_id",
             "CASE WHEN doc_id % 4 = 0 THEN 'outdated' ELSE _hash END AS content_hash",
             "CASE WHEN doc_id % 9 = 0 THEN '  \\n' ELSE text END AS markdown",
@@ -231,7 +236,7 @@ class Samples:
     def changes(self) -> DataFrame:
         """Events as a change feed; a minute of events is a second of the feed.
 
-        Users are documents.  A user without a page changes a document that no site has.
+        Users are documents: an event changes what has the user's number on every site.
         """
         fed = self.table("events").withColumn("content_id", F.col("user_id") + 1)
         sites = self.keys.join(fed.select("content_id").distinct(), "content_id", "left_semi")
