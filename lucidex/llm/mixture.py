@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lucidex.llm.common import WORD, saved, whole_text
 
 #: Bits of the hash that a level of the histogram looks at, and the number of levels.
-LEVEL_BITS = 10
-LEVELS = 4
+LEVEL_BITS = 12
+LEVELS = 5
 HASH_BITS = LEVEL_BITS * LEVELS
 
 
 def row_hash(*columns: str) -> Column:
-    """The first 40 bits of an MD5 over the columns."""
+    """The first 60 bits of an MD5 over the columns; a null is empty."""
     joined = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.md5(joined), 1, HASH_BITS // 4), 16, 10).cast("long")
 
@@ -79,7 +79,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
             & (rows["hash"] >= F.col("_below")) & (rows["hash"] < F.col("_below") + unit * (1 << LEVEL_BITS)))
         bars = (inside.groupBy(F.col("source").alias("_source"), F.expr(f"hash div {unit}").alias("_bar"))
                 .agg(F.sum("size").alias("_size")))
-        # At most 1,024 bars a source.
+        # At most 4,096 bars a source.
         upto = Window.partitionBy("_source").orderBy("_bar").rowsBetween(Window.unboundedPreceding, 0)
         sums = bars.withColumn("_upto", F.sum("_size").over(upto))
         last = level == LEVELS - 1
@@ -121,8 +121,23 @@ def mix(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and hash of every document, as a narrow work table."""
-    return saved(docs.select("doc_id", "source", word_count(whole_text()).alias("size"), row_hash("doc_id").alias("hash")), "mix-sizes")
+    """doc_id, source, size and hash of every document, as a narrow work table.
+
+    The hash is one of doc_id, text and, where rows agree in both, their number among these, so rows with
+    a null or repeated doc_id are taken one by one like any others.  Equal rows are counted in the part
+    of the table that holds them, and one row per part says how many are in the parts before: no group
+    of equal rows meets in one task.  Which of them gets which number doesn't show in the result.
+    """
+    text = whole_text()
+    name = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
+    rows = saved(docs.select("doc_id", "source", word_count(text).alias("size"), name.alias("_name")), "mix-rows").withColumn("_part", F.spark_partition_id())
+    counts = rows.groupBy("_name", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.select("_name", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy("_name", "_part").orderBy("source", "size")
+    numbered = rows.withColumn("_at", F.row_number().over(inside) - 1).join(ahead, ["_name", "_part"])
+    numbered = numbered.withColumn("_at", F.col("_at") + F.col("_ahead"))
+    return saved(numbered.select("doc_id", "source", "size", row_hash("_name", "_at").alias("hash")), "mix-sizes")
 
 
 def mixture(docs: DataFrame) -> DataFrame:

@@ -121,8 +121,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
 WITH sizes AS (
     SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-           CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 10) AS BIGINT) AS hash
-    FROM documents),
+           CAST('0x' || substr(md5(name || '|' || (row_number() OVER (PARTITION BY name) - 1)), 1, 15) AS BIGINT) AS hash
+    FROM (SELECT *, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS name FROM documents)),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
 weighed AS (
     SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight

@@ -54,3 +54,24 @@ def test_odd_tables(nobody, odd):
     assert mixture.mixture(nobody).count() == 0
     got = mixture.mixture(odd).collect()
     assert len(got) == 5 and all(r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_rows_without_or_with_repeated_ids_are_taken_one_by_one(spark):
+    """Null and repeated ids, and rows that are equal throughout: each source is within a document of its target."""
+    from tests.llm.samples import SCHEMA
+
+    rows = [(i, f"own text {i} " * 3, "en", "a", 0) for i in range(300)]
+    rows += [(None, f"other text {i} " * 3, "en", "b", 0) for i in range(300)] + [(7, "same words here", "en", "c", 0)] * 300
+    taken, target, size = defaultdict(int), {}, defaultdict(int)
+    runs = []
+    for parts in (1, 6):
+        got = mixture.mix(mixture.sized(spark.createDataFrame(rows, SCHEMA).repartition(parts))).collect()
+        runs.append(sorted((str(r["doc_id"]), r["source"], r["size"], r["copies"]) for r in got))
+    for r in got:
+        taken[r["source"]] += r["size"] * r["copies"]
+        size[r["source"]] += r["size"]
+        target[r["source"]] = r["target"]
+    assert runs[0] == runs[1] and len(got) == 900
+    wanted = targets_by_hand(size)
+    assert target == pytest.approx(wanted)
+    assert all(abs(taken[s] - wanted[s]) <= 9 for s in "abc")
