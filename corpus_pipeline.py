@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; a copy has the same doc_id."""
-    taken = mixture.mix(docs.withColumns({"size": mixture.word_count(F.coalesce("text", F.lit(""))), "hash": mixture.row_hash("doc_id")}))
+    taken = mixture.mix(docs.withColumns({"size": mixture.word_count(F.coalesce("text", F.lit(""))), "hash": mixture.row_hash(*COLUMNS)}))
     return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
