@@ -120,6 +120,11 @@ def mix(rows: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
             .drop("_source", "whole", "below"))
 
 
+def row_name(text: Column) -> Column:
+    """What a row is told apart by: its doc_id and text."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and hash of every document, as a narrow work table.
 
@@ -129,8 +134,7 @@ def sized(docs: DataFrame) -> DataFrame:
     of equal rows meets in one task.  Which of them gets which number doesn't show in the result.
     """
     text = whole_text()
-    name = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
-    rows = saved(docs.select("doc_id", "source", word_count(text).alias("size"), name.alias("_name")), "mix-rows").withColumn("_part", F.spark_partition_id())
+    rows = saved(docs.select("doc_id", "source", word_count(text).alias("size"), row_name(text).alias("_name")), "mix-rows").withColumn("_part", F.spark_partition_id())
     counts = rows.groupBy("_name", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select("_name", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))

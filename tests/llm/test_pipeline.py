@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from lucidex.llm import mixture, rules
 from lucidex.llm.common import table
-from tests.llm import test_bpe, test_lines, test_simhash
+from tests.llm import test_bpe, test_lines, test_shingles
 from tests.llm.test_rules import by_hand as rules_by_hand
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +33,7 @@ def test_each_stage_against_brute_force(spark):
 
     frame = spark.createDataFrame(cut, docs.schema)
     single = rows_of(corpus_pipeline.near_dedup(spark, frame, SF))
-    groups = test_simhash.groups_by_hand({r[0]: test_simhash.by_hand(r[1]) for r in cut})
+    groups = test_shingles.groups_by_hand({r[0]: r[1] for r in cut})
     assert sorted(single) == sorted(r for r in cut if groups[r[0]] == r[0])
 
     frame = spark.createDataFrame(single, docs.schema)
