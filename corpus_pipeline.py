@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lucidex.llm import bpe, lines, mixture, rules, simhash
+from lucidex.llm import bpe, lines, mixture, rules, shingles, simhash
 from lucidex.llm.common import saved, table
 
 #: The columns of documents, which all stages but the last return.
@@ -33,19 +33,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that with the smallest doc_id (null last), then the smallest hash of the row.
 
     Rows that share a doc_id, or have none, but are in different groups are each kept.  Rows that are
-    equal in all columns are one.  Near-duplicates are what op4 calls so: SimHash of four-word shingles,
-    4 of 64 bits, linked in chains, with no bound on shingle Jaccard.  That leaves in most pairs of 0.8
-    to 0.95 on five-word shingles; the README has the measured shares.
+    equal in all columns are one.  Near-duplicates are what op4 calls so (SimHash of four-word shingles, 4 of
+    64 bits), and texts that share four fifths of their five-word shingles, both linked in chains.
     """
     named = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
+    placed = simhash.grouped(named, ["doc_id", "_row"]).dropDuplicates(["_row"])
+    groups = shingles.regrouped(placed, named.select("_row", "text").dropDuplicates(["_row"]), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    kept = simhash.grouped(named, ["doc_id", "_row"]).groupBy("_group").agg(first.alias("_first")).select("_first._row")
+    kept = placed.select("doc_id", "_row").join(groups, "_row").groupBy("_group").agg(first.alias("_first")).select("_first._row")
     return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a copy has the same doc_id."""
-    taken = mixture.mix(docs.withColumns({"size": mixture.word_count(F.coalesce("text", F.lit(""))), "hash": mixture.row_hash(*COLUMNS)}))
+    """Each document as often as the mix takes it; a copy has the same doc_id.
+
+    Rows that agree in doc_id and text, of which the stage before leaves none, are taken together.
+    """
+    text = F.coalesce("text", F.lit(""))
+    named = docs.withColumns({"size": mixture.word_count(text), "_name": mixture.row_name(text), "_at": F.lit(0)})
+    taken = mixture.mix(named.withColumn("hash", mixture.row_hash("_name", "_at")))
     return taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
