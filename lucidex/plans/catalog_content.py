@@ -183,17 +183,15 @@ def description_normalise(spark, folder):
         "doc_id", tx.normalise_description(raw).alias("description"))
 
 
-_REPLY = """CASE doc_id % 5 WHEN 0 THEN 'Summary: This page is about ' || text WHEN 1 THEN ' EMPTY ' WHEN 2 THEN '  ' ELSE text END"""
-
-
 @query("generated_normalise", f"""
 SELECT doc_id, CASE WHEN line = '' OR lower(line) = 'empty' THEN NULL ELSE {st.cap('line', 160, '...', 157)} END AS description
 FROM (SELECT doc_id, {st.collapse(st.strip(
-    "CASE doc_id % 5 WHEN 1 THEN 'EMPTY' WHEN 2 THEN '' ELSE " + st.trim('text') + " END"))} AS line FROM documents)""")
+    "CASE doc_id % 5 WHEN 1 THEN 'EMPTY <!-- ' || text || ' -->' WHEN 2 THEN '<script>' || text || '</script>' ELSE " + st.trim('text') + " END"))} AS line FROM documents)""")
 def generated_normalise(spark, folder):
-    doc = F.col("doc_id") % 5
-    raw = (F.when(doc == 0, F.concat(F.lit("Summary: This page is about "), F.col("text")))
-           .when(doc == 1, F.lit(" EMPTY ")).when(doc == 2, F.lit("  ")).otherwise(F.col("text")))
+    doc, text = F.col("doc_id") % 5, F.col("text")
+    raw = (F.when(doc == 0, F.concat(F.lit("Summary: This page is about "), text))
+           .when(doc == 1, F.concat(F.lit(" EMPTY <!-- "), text, F.lit(" --> ")))
+           .when(doc == 2, F.concat(F.lit("  <script>"), text, F.lit("</script> "))).otherwise(text))
     return samples.table(spark, folder, "documents").select("doc_id", tx.normalise_generated(raw).alias("description"))
 
 
@@ -293,17 +291,23 @@ def field_text(spark, folder):
     return conversion.field_html(conversion.field_rows(Inputs(spark, folder).content, key), key)
 
 
-@query("source_choice", """
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '<p>fields</p>' || chr(10) || '<p> </p>' WHEN 2 THEN '<p>region</p>'
- WHEN 3 THEN '<b>short</b>' || chr(10) || '<p> </p>' ELSE text END AS source_html FROM documents""")
+_BLANK = {part: f"{st.strip(part)} = ''" for part in ("fronted", "fields", "whole", "region")}
+
+
+@query("source_choice", f"""
+SELECT doc_id, CASE WHEN {_BLANK['whole']} AND NOT ({_BLANK['region']}) THEN {st.trim('region')} ELSE whole END AS source_html FROM (
+ SELECT *, CASE WHEN {_BLANK['fronted']} AND NOT ({_BLANK['fields']}) THEN {st.trim("(fields || chr(10) || fronted)")} ELSE fronted END AS whole FROM (
+  SELECT doc_id, CASE WHEN kind IN (0, 4) THEN text WHEN kind = 3 AND {st.trim("('<b>' || text || '</b>')")} <> '' THEN '<b>' || text || '</b>' || chr(10) || '<p> </p>' ELSE '<p> </p>' END AS fronted,
+   CASE kind WHEN 1 THEN '<p>' || text || '</p>' ELSE '<p></p>' END AS fields, CASE kind WHEN 2 THEN ' <p>' || text || '</p> ' ELSE '<p>unused</p>' END AS region
+  FROM (SELECT *, doc_id % 5 AS kind FROM documents)))""")
 def source_choice(spark, folder):
-    kind = F.col("doc_id") % 5
+    kind, text = F.col("doc_id") % 5, F.col("text")
     docs = samples.table(spark, folder, "documents").select(
-        "doc_id", F.when(kind.isin(0, 4), F.col("text")).otherwise(F.lit("<p> </p>")).alias("body"),
-        F.when(kind == 1, F.lit("<p>fields</p>")).otherwise(F.lit("<p></p>")).alias("fields"),
-        F.when(kind == 2, F.lit(" <p>region</p> ")).otherwise(F.lit("<p>unused</p>")).alias("region"),
+        "doc_id", F.when(kind.isin(0, 4), text).otherwise(F.lit("<p> </p>")).alias("body"),
+        F.when(kind == 1, F.concat(F.lit("<p>"), text, F.lit("</p>"))).otherwise(F.lit("<p></p>")).alias("fields"),
+        F.when(kind == 2, F.concat(F.lit(" <p>"), text, F.lit("</p> "))).otherwise(F.lit("<p>unused</p>")).alias("region"),
         F.when(kind == 3, F.lit("product")).otherwise(F.lit("post")).alias("post_type"),
-        F.when(kind == 3, F.lit("<b>short</b>")).otherwise(F.lit("unused")).alias("short_text"))
+        F.when(kind == 3, F.concat(F.lit("<b>"), text, F.lit("</b>"))).otherwise(F.lit("unused")).alias("short_text"))
     chosen = conversion.source_html(*[F.col(c) for c in ("body", "fields", "region", "post_type", "short_text")])
     return docs.select("doc_id", chosen.alias("source_html"))
 

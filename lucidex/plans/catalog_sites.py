@@ -585,11 +585,17 @@ SELECT site_id, name, list_aggregate(list_sort(list_distinct(list_concat(nums, l
   WHEN 'exposure_safety' THEN list_concat([CAST(types AS VARCHAR), CAST(risky AS VARCHAR)], [])
   WHEN 'integration_health' THEN [wanted::INT::VARCHAR, client::INT::VARCHAR, CAST(conflicts AS VARCHAR)]
   WHEN 'content_readability' THEN [CAST(total_entries AS VARCHAR), CAST(least(described, total_entries) AS VARCHAR), CAST(pct AS VARCHAR), wanted::INT::VARCHAR]
-  WHEN 'schema_coverage' THEN [native::INT::VARCHAR] END)) AS nums
- FROM sub JOIN scored_sites USING (site_id) WHERE name IN ('exposure_safety', 'integration_health', 'content_readability', 'schema_coverage'))""", "sub"))
+  WHEN 'schema_coverage' THEN [native::INT::VARCHAR]
+  WHEN 'discoverability' THEN list_concat([populated::INT::VARCHAR, CAST(types AS VARCHAR), CAST(entry_count AS VARCHAR), rewritten::INT::VARCHAR,
+    static_robots::INT::VARCHAR, advertised::INT::VARCHAR], regexp_extract_all(site_id, '[0-9]+'))
+  WHEN 'md_conversion_quality' THEN list_concat([CAST(rows_total AS VARCHAR), CAST(rows_with_score AS VARCHAR), '70'], CASE WHEN has_scores THEN
+    list_concat([CAST(mean_int AS VARCHAR), '100', CAST(rows_above AS VARCHAR), CAST(above_pct AS VARCHAR), CAST(n AS VARCHAR), CAST(empty_pct AS VARCHAR), CAST(noisy_pct AS VARCHAR)],
+     CASE WHEN k % 2 = 1 THEN ['17'] ELSE [] END) ELSE ['0'] END)
+  ELSE list_concat([populated::INT::VARCHAR, (k % 2 = 0)::INT::VARCHAR, layer::INT::VARCHAR, (k % 5 < 3)::INT::VARCHAR, openapi::INT::VARCHAR, CAST(channels AS VARCHAR)],
+    CASE WHEN channels > 0 THEN ['4'] ELSE [] END) END)) AS nums
+ FROM sub JOIN scored_sites USING (site_id))""", "sub"))
 def allowlist(spark, folder):
-    names = ["exposure_safety", "integration_health", "content_readability", "schema_coverage"]
-    scores = audit.sub_scores(Inputs(spark, folder).signals, only=names)
+    scores = audit.sub_scores(Inputs(spark, folder).signals)
     return scores.select("site_id", "name", F.array_join(F.sort_array(guard.allowed_numbers()), " ").alias("numbers"))
 
 
