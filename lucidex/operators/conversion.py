@@ -8,6 +8,7 @@ tasks.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,7 +44,7 @@ def _map_documents(rows: DataFrame, key: list[str], source: str, outputs: list[t
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            done = [work(text or "") for text in batch[source]]
+            done = [work(text) for text in batch[source]]
             out = batch[key].copy()
             for i, name in enumerate(names):
                 out[name] = [row[i] for row in done]
@@ -52,6 +53,11 @@ def _map_documents(rows: DataFrame, key: list[str], source: str, outputs: list[t
     return slim.mapInPandas(run, schema)
 
 
+#: Markup, with scripts and styles as a whole, and what counts as text outside of it.
+_TAGS = re.compile(r"(?is)<(script|style|noscript)\b.*?(?:</\1\s*>|\Z)|<!--.*?-->|<[^>]*>")
+_HAS_TEXT = re.compile(r"\w")
+
+
 def _render(source: str) -> tuple:
     if not source:
         return ("",) + (0,) * len(_COUNTERS)
@@ -117,28 +123,36 @@ def score_rows(rows: DataFrame, markdown: str = "markdown") -> DataFrame:
 def convert(rows: DataFrame, key: list[str], html: str = "body_html") -> DataFrame:
     """Markdown, signals and score of each document.
 
-    Empty and oversize inputs give an empty text and a score of 100.
+    Empty and oversize inputs give an empty text and a score of 100.  ``status`` says why a text is empty:
+    ``empty`` (no input), ``oversize``, ``failed`` (nested deeper than the walk goes) or ``nothing_kept`` (the
+    input has text and none of it was kept, as deep inside other elements); else it is ``ok``.
     """
     source = F.col(html)
     fits = (source != "") & (F.octet_length(source) <= MAX_INPUT_BYTES)
-    prepared = rows.select(*key, F.when(fits, tx.prepare_html(source)).otherwise(F.lit("")).alias("_prepared"))
-    outputs = [("_markdown", T.StringType()), ("_has_input", T.BooleanType())]
+    oversize = F.octet_length(source) > MAX_INPUT_BYTES
+    prepared = rows.select(*key, F.when(fits, tx.prepare_html(source)).when(oversize, F.lit(None)).otherwise(F.lit("")).alias("_prepared"))
+    outputs = [("_markdown", T.StringType()), ("_has_input", T.BooleanType()), ("_status", T.StringType())]
     outputs += [(name, T.IntegerType()) for name in _COUNTERS]
 
-    def work(text: str) -> tuple:
-        markdown, *counts = _render(text)
-        return (markdown, text != "", *counts)
+    def work(text: str | None) -> tuple:
+        if not text:
+            return ("", False, "oversize" if text is None else "empty") + (0,) * len(_COUNTERS)
+        try:
+            markdown, *counts = _render(text)
+        except RecursionError:
+            return ("", False, "failed") + (0,) * len(_COUNTERS)
+        return (markdown, True, "ok" if markdown.strip() or not _HAS_TEXT.search(_TAGS.sub("", text)) else "nothing_kept", *counts)
 
-    rendered = _map_documents(prepared, key, "_prepared", outputs, work)
+    rendered = _map_documents(prepared, key, "_prepared", outputs, work)  # an oversize input stays in the JVM
     final = F.when(F.col("_has_input"), tidy(F.col("_markdown"))).otherwise(F.lit(""))
     return (score_rows(rendered.withColumn("markdown", final))
-            .select(*key, "markdown", "quality_score", "signals", *_COUNTERS))
+            .select(*key, "markdown", "quality_score", "signals", *_COUNTERS, F.col("_status").alias("status")))
 
 
 def main_regions(rows: DataFrame, key: list[str], html: str = "body_html") -> DataFrame:
     """Inner HTML of the main region of each page."""
     return _map_documents(rows, key, html, [("region_html", T.StringType())],
-                          lambda text: (html_tree.main_region(text),))
+                          lambda text: (html_tree.main_region(text or ""),))
 
 
 def signal_totals(converted: DataFrame) -> DataFrame:
@@ -186,13 +200,9 @@ def _field_rows(fields_json: str) -> list[tuple[int, str, str]]:
     """(ordinal, type, trimmed text) of every text field, in field order."""
     import json
 
-    def flatten(field: dict, value):
+    def below(field: dict, value) -> list[tuple[dict, object]]:
+        """The fields under one, with their values, in order."""
         kind = field.get("type")
-        if kind in TEXT_FIELDS:
-            text = value.strip(html_tree._TRIM) if isinstance(value, str) else ""
-            if text:
-                yield kind, text
-            return
         row_sets = []
         if kind in ("group", "clone") and isinstance(value, dict):
             row_sets = [(field.get("sub_fields"), value)]
@@ -204,19 +214,25 @@ def _field_rows(fields_json: str) -> list[tuple[int, str, str]]:
                        if isinstance(one, dict)}
             rows = value.values() if isinstance(value, dict) else value
             row_sets = [(layouts.get(row.get("acf_fc_layout")), row) for row in rows if isinstance(row, dict)]
-        for sub_fields, row in row_sets:
-            if isinstance(row, dict):
-                for sub in sub_fields or []:
-                    if isinstance(sub, dict) and "name" in sub:
-                        yield from flatten(sub, row.get(str(sub["name"])))
+        return [(sub, row.get(str(sub["name"]))) for sub_fields, row in row_sets if isinstance(row, dict)
+                for sub in sub_fields or [] if isinstance(sub, dict) and "name" in sub]
 
     try:
         fields = json.loads(fields_json) if fields_json else {}
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or deeper than a parser goes
         return []
     fields = fields.values() if isinstance(fields, dict) else fields
-    found = (pair for field in fields if isinstance(field, dict) for pair in flatten(field, field.get("value")))
-    return [(i, kind, text) for i, (kind, text) in enumerate(found)]
+    waiting = [(field, field.get("value")) for field in fields if isinstance(field, dict)][::-1]
+    found = []
+    while waiting:
+        field, value = waiting.pop()
+        if field.get("type") in TEXT_FIELDS:
+            text = value.strip(html_tree._TRIM) if isinstance(value, str) else ""
+            if text:
+                found.append((len(found), field["type"], text))
+        else:
+            waiting.extend(below(field, value)[::-1])
+    return found
 
 
 def field_rows(rows: DataFrame, key: list[str], fields: str = "fields_json") -> DataFrame:

@@ -56,16 +56,27 @@ def refresh_conversions(spark: SparkSession, content: DataFrame, root: str, now:
     append_change(gone, root, "drop", schemas.STORE)
     pages, keys = fetch_missing(content, stored)
     done = conversion.convert(pages, [*KEY, "content_hash"])
-    rows = done.withColumns({
+    done = written(done, "converted")
+    stamp = F.to_timestamp_ntz(F.lit(now))
+    reasons = done.filter("status <> 'ok'").select(*KEY, "status", stamp.alias("generated_at"))
+    again = done.filter("status = 'ok'").select(*KEY)
+    append_change(gone.unionByName(again), f"{root}-status", "drop", schemas.STATUS)
+    append_change(reasons, f"{root}-status", "put", schemas.STATUS)
+    rows = done.drop("status").withColumns({
         "signals": F.to_json("signals"),
-        "generated_at": F.to_timestamp_ntz(F.lit(now)),
+        "generated_at": stamp,
         "converter_version": F.lit(conversion.CONVERTER_VERSION),
     })
     seq = append_change(rows, root, "put", schemas.STORE)
-    release(keys)
+    release(keys, done)
     return seq
 
 
+def conversion_status(spark: SparkSession, root: str) -> DataFrame:
+    """Documents whose stored text is empty, and why (site_id, content_id, status, generated_at)."""
+    return read_changing(spark, f"{root}-status", schemas.STATUS)
+
+
 def publish_indexes(content: DataFrame, profile: DataFrame, meta: DataFrame, robots: DataFrame,
                     descriptions: DataFrame, editorial: DataFrame, stored: DataFrame, out: str,
                     labels: dict[str, str] | None = None) -> None:

@@ -21,6 +21,7 @@ STORE = (
     "site_id string, content_id bigint, content_hash string, markdown string, generated_at timestamp_ntz, "
     "converter_version string, quality_score int, signals string"
 )
+STATUS = "site_id string, content_id bigint, status string, generated_at timestamp_ntz"
 PROFILE = (
     "site_id string, exposed_types array<string>, exposed_statuses array<string>, excluded_ids array<string>, "
     "excluded_slugs array<string>, excluded_term_ids array<string>, excluded_term_slugs array<string>, "
