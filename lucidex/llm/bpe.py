@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidex.llm.blocks import read_block, token_blocks
-from lucidex.llm.common import STEP_SETTINGS, release, saved, settings, whole_text, work_path
+from lucidex.llm.common import release, saved, settings, step_settings, whole_text, work_path
 
 #: How byte-level BPE cuts a text into words, and the token that stands for itself.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,14 +141,16 @@ def _joined(keys: list[str], with_ids: bool, schema: pa.Schema):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, keys: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, keys: tuple[str, ...] = ("doc_id",), with_ids: bool = False,
+           block_bytes: int | None = None, batch_bytes: int | None = None) -> DataFrame:
     """Per document its keys, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids.
 
     A null text is an empty one: no tokens, the digests of nothing.  Repeated rows are encoded each.
     Columns other than the keys and ``text`` are not read.
 
     The packed texts are written bucketed by block, so that they don't move again: the ids of a
-    block's distinct words are shuffled to them.
+    block's distinct words are shuffled to them.  Smaller blocks (*block_bytes*) and Arrow batches
+    (*batch_bytes*) take less memory of a worker and more disk, as blocks share words.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -157,8 +159,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, keys: tuple[str, ...]
     keys = list(keys)
     name = f"lucidex_blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with settings(spark, STEP_SETTINGS):
-        (token_blocks(docs, keys, split_words(whole_text())).write.option("path", work_path(spark, "bpe-blocks"))
+    with settings(spark, step_settings(batch_bytes)):
+        (token_blocks(docs, keys, split_words(whole_text()), block_bytes).write.option("path", work_path(spark, "bpe-blocks"))
          .option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name))
     blocks = spark.table(name)
     placed = blocks.select("block", F.posexplode("words").alias("number", "word"))

@@ -82,14 +82,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(rows: DataFrame, name: str) -> DataFrame:
+def step_settings(batch_bytes: int | None = None) -> dict[str, str]:
+    """:data:`STEP_SETTINGS`, with another bound of an Arrow batch where one is given."""
+    return STEP_SETTINGS | ({"spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)} if batch_bytes else {})
+
+
+def saved(rows: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """The rows written to a work table and read again, which ends their lineage.
 
     A lost executor then costs its running tasks only, and a step that two others read runs once.
     """
     spark = rows.sparkSession
     path = work_path(spark, name)
-    with settings(spark, STEP_SETTINGS):
+    with settings(spark, step_settings(batch_bytes)):
         rows.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(rows.schema).parquet(path)
     again._work_path = path

@@ -33,6 +33,9 @@ BANDS, ROWS = 16, 5
 #: By how much the share of equal least hashes may fall short of the threshold: over four standard deviations.
 SLACK = 0.2
 
+#: Bytes of an Arrow batch of shingle hashes.
+BATCH_BYTES = 4 << 20
+
 _U = np.uint64
 
 
@@ -101,7 +104,7 @@ def regrouped(placed: DataFrame, texts: DataFrame, key: str, shingle: int = SHIN
 
     *texts* has the key, unique and not null, and text.  Empty tables and texts without words merge nothing.
     """
-    sketches = saved(bands(texts, key, shingle).join(placed.select(key, "_group"), key).withColumnRenamed(key, "row"), "near-sketches")
+    sketches = saved(bands(texts, key, shingle).join(placed.select(key, "_group"), key).withColumnRenamed(key, "row"), "near-sketches", BATCH_BYTES)
     marks = sketches.select("row", "marks")
     # Rows of one group need not meet again, so to each bucket a group sends its least row.
     sent = saved(sketches.select("row", "_group", F.posexplode("bands").alias("band", "bits")).groupBy("band", "bits", "_group")
