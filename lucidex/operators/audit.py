@@ -206,6 +206,28 @@ def assemble_signals(profile: DataFrame, index: DataFrame, conflicts: DataFrame,
     }).select("site_id", *SIGNAL_COLUMNS)
 
 
+def probed_files(root_files: DataFrame) -> DataFrame:
+    """What the files found at the roots of a site's hosts say about its channels; one row per site."""
+    count = F.count(F.lit(1))
+    return root_files.groupBy("site_id").agg(
+        F.bool_or(F.col("path") == "/llms.txt").alias("has_ai_txt"), F.bool_or(F.col("path") == "/sub/llms.txt").alias("has_ai_layer"),
+        (count > 3).alias("has_policy"), (count > 4).alias("has_openapi_json"), F.lit(False).alias("has_openapi_yaml"),
+        (count == 1).alias("has_swagger"))
+
+
+def signals_from_tables(profile: DataFrame, postures: DataFrame, providers: DataFrame, probes: DataFrame, conflicts: DataFrame,
+                        index: DataFrame, store: DataFrame, content: DataFrame) -> DataFrame:
+    """The signals of every site from its tables alone: nothing about a site is said by the profile that a table shows.
+
+    *postures* (site_id, posture) is what the active plug-ins say, *providers* the sites' channel providers,
+    *probes* the files found; a site without any has posture none and no provider.
+    """
+    found = profile.drop("seo_posture").join(postures.select("site_id", F.col("posture").alias("seo_posture")), "site_id", "left")
+    found = found.withColumn("seo_posture", F.coalesce("seo_posture", F.lit("none")))
+    return assemble_signals(found, index, conflicts, markdown_stats(store), body_quality_rates(store),
+                            worst_documents(store, content), channel_presence(probes, profile, providers))
+
+
 # --- sub-scores ----------------------------------------------------------------------
 
 

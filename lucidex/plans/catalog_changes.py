@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lucidex.functions import text as tx
-from lucidex.operators import audit, index_chunks as ic, measures, paging, publish, site_index, text_index
+from lucidex.operators import audit, conflicts as cf, exposure, index_chunks as ic, measures, paging, publish, site_index, text_index
 from lucidex.plans import catalog_sites, jobs, statements as st
 from lucidex.plans.inputs import Inputs
 from lucidex.plans.registry import query
@@ -283,3 +283,98 @@ SELECT site_id, content_id, second, outcome""", 1))
 def queue_admissions(spark, folder):
     feed = Inputs(spark, folder).sample("changes")
     return triggers.queue_admissions(feed, CAP, DELAY)
+
+
+# --- audit from tables ---------------------------------------------------------------
+
+_SITE = r"regexp_extract(site_id, '([^.]+[.][^.]+)$', 1)"
+
+st._define("table_signals", ("profile", "lined", "entries", "stored", "conflicted", "plugins", "hosted"), rf"""
+SELECT p.site_id, exposed_types, exposed_statuses, len(exposed_types)::INTEGER AS types, len(list_filter(exposed_statuses, lambda s: s <> 'publish'))::INTEGER AS risky,
+ descriptions_enabled AS wanted, advertise_enabled AS advertised, structured_data_enabled AS native, p.ending = '.net' AS static_robots, client_configured AS client,
+ home_url || 'llms.txt' AS index_url, coalesce(l.n, 0) > 0 AS populated, coalesce(l.n, 0) AS entry_count, coalesce(c.kinds, '') AS kinds, coalesce(c.n, 0)::BIGINT AS conflicts,
+ coalesce(c.rewritten, false) AS rewritten, coalesce(s.n, 0) AS rows_total, coalesce(s.scored, 0) AS rows_with_score, coalesce(s.mean, 0.0) AS mean_quality,
+ coalesce(s.above, 0) AS rows_above, coalesce(q.n, 0) AS n, coalesce(q.empties, 0.0) AS empty_ratio, coalesce(q.noises, 0.0) AS noisy_ratio,
+ coalesce(w.titles, '') AS worst_titles, coalesce(w.refs, '') AS worst_refs,
+ CASE g.o WHEN 0 THEN 'yoast' WHEN 1 THEN 'rank_math' WHEN 2 THEN 'aioseo' ELSE '' END AS plugin,
+ coalesce(e.total, 0) AS total_entries, coalesce(e.described, 0) AS described,
+ channels_enabled OR coalesce(f.a, false) AS ai_txt, channels_enabled OR coalesce(f.b, false) OR coalesce(g.provided, false) AS layer,
+ channels_enabled OR coalesce(f.n, 0) > 3 AS policy, coalesce(f.n, 0) > 4 OR coalesce(f.n, 0) = 1 AS openapi, coalesce(g.provided, false) AS provided, true AS provider_url,
+ (coalesce(l.n, 0) > 0)::INT + (channels_enabled OR coalesce(f.a, false))::INT + (channels_enabled OR coalesce(f.b, false) OR coalesce(g.provided, false))::INT
+  + (channels_enabled OR coalesce(f.n, 0) > 3)::INT AS channels, home_url
+FROM profile p
+LEFT JOIN (SELECT site_id, count(*) AS n FROM lined GROUP BY 1) l USING (site_id)
+LEFT JOIN (SELECT site_id, count(*) AS total, count(CASE WHEN description <> '' THEN 1 END) AS described FROM entries GROUP BY 1) e USING (site_id)
+LEFT JOIN (SELECT site_id, count(*) AS n, count(quality_score) AS scored, avg(quality_score) AS mean, count(CASE WHEN quality_score >= 70 THEN 1 END) AS above FROM stored GROUP BY 1) s USING (site_id)
+LEFT JOIN (SELECT site_id, count(*) AS n, avg(is_empty::INT) AS empties, avg(is_noisy::INT) AS noises FROM ({st.CTES['judged'][1].replace('FROM bodies', 'FROM stored')}) GROUP BY 1) q USING (site_id)
+LEFT JOIN (SELECT site_id, string_agg(title, '|' ORDER BY quality_score, content_id) AS titles, string_agg(content_id || ' ' || permalink, '|' ORDER BY quality_score, content_id) AS refs FROM (
+ SELECT * FROM stored JOIN content USING (site_id, content_id) WHERE quality_score IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY quality_score, content_id) <= 5) GROUP BY 1) w USING (site_id)
+LEFT JOIN (SELECT {_SITE} AS site_id, count(*) AS n, bool_or(kind = 'rewrite') AS rewritten,
+ concat_ws(',', CASE WHEN bool_or(kind = 'plugin') THEN 'plugin' END, CASE WHEN bool_or(kind = 'filesystem') THEN 'filesystem' END, CASE WHEN bool_or(kind = 'rewrite') THEN 'rewrite' END) AS kinds
+ FROM conflicted GROUP BY 1) c USING (site_id)
+LEFT JOIN (SELECT {_SITE} AS site_id, bool_or(page_id % 6 = 0) AS a, bool_or(page_id % 6 = 1) AS b, count(*) AS n FROM hosted GROUP BY 1) f USING (site_id)
+LEFT JOIN (SELECT {_SITE} AS site_id, bool_or(split_part(slug, '/', 1) = 'ai-layer') AS provided,
+ min(CASE split_part(slug, '/', 1) WHEN 'wordpress-seo' THEN 0 WHEN 'seo-by-rank-math' THEN 1 WHEN 'all-in-one-seo-pack' THEN 2 END) AS o FROM plugins GROUP BY 1) g USING (site_id)""")
+
+
+def table_signals(spark, folder):
+    """The audit input of every site, from its tables."""
+    inputs = Inputs(spark, folder)
+    by_site = lambda rows: rows.withColumn("site_id", F.regexp_extract("site_id", r"([^.]+\.[^.]+)$", 1))
+    plugins = by_site(inputs.sample("active_plugins")).distinct()
+    return audit.signals_from_tables(
+        inputs.profile, cf.seo_posture(plugins), cf.active_provider(plugins, inputs.profile), audit.probed_files(by_site(inputs.sample("root_files"))),
+        by_site(inputs.conflicts), site_index.index_measures(inputs.rows), inputs.store, inputs.content)
+
+
+@query("site_signals_all", st.statement("""
+SELECT site_id, array_to_string(exposed_types, ',') AS exposed_types, array_to_string(exposed_statuses, ',') AS exposed_statuses, wanted AS descriptions_enabled,
+ advertised AS advertise_enabled, native AS structured_data_enabled, populated AS index_populated, entry_count, kinds AS conflict_kinds, conflicts AS conflict_count,
+ static_robots, index_url, rows_total, rows_with_score, round(mean_quality, 9) AS mean_quality, rows_above AS rows_above_threshold, n AS sampled,
+ round(empty_ratio, 9) AS empty_ratio, round(noisy_ratio, 9) AS noisy_ratio, worst_titles, worst_refs, plugin AS seo_plugin, client AS client_configured,
+ total_entries, described AS entries_with_description, ai_txt AS ai_txt_present, layer AS ai_layer_present, policy AS policy_present, openapi AS openapi_present,
+ CASE WHEN provided THEN 'ai_layer' END AS provider_slug, CASE WHEN provided THEN 'AI Layer' END AS provider_name,
+ CASE WHEN provided THEN home_url || 'wp-admin/admin.php?page=ai-layer' END AS provider_config_url
+FROM table_signals""", "table_signals"))
+def site_signals_all(spark, folder):
+    signals = table_signals(spark, folder)
+    lists = {c: "|" if c.startswith("worst") else "," for c in ("exposed_types", "exposed_statuses", "conflict_kinds", "worst_titles", "worst_refs")}
+    return signals.withColumns({
+        **{c: F.array_join(c, mark) for c, mark in lists.items()},
+        **{c: F.round(c, 9) for c in ("mean_quality", "empty_ratio", "noisy_ratio")}})
+
+
+st._define("table_scored", ("table_signals",), st.CTES["scored_sites"][1].replace("FROM signals", "FROM table_signals").replace(
+    "CAST(floor(rows_above * 100 / rows_with_score) AS INTEGER)", "CASE WHEN rows_with_score > 0 THEN CAST(floor(rows_above * 100 / rows_with_score) AS INTEGER) END"))
+st._define("table_sub", ("table_scored",), st.CTES["sub"][1].replace("FROM scored_sites", "FROM table_scored"))
+
+
+@query("site_audit", st.statement("""
+SELECT site_id, name, CAST(value AS INTEGER) AS value, CAST(weight AS INTEGER) AS weight, codes,
+ CAST(floor(sum(value * weight) OVER (PARTITION BY site_id) / 100) AS INTEGER) AS overall FROM table_sub""", "table_sub"))
+def site_audit(spark, folder):
+    """All sub-scores of every site with their reasons and the overall score, from the tables."""
+    scores = audit.sub_scores(written(table_signals(spark, folder), "audit-signals"))
+    codes = F.array_join(F.transform("reasons", lambda r: r["code"]), ",")
+    overall = audit.overall(scores).select("site_id", "overall")
+    return scores.select("site_id", "name", "value", "weight", codes.alias("codes")).join(overall, "site_id")
+
+
+@query("structured_gap", st.statement(r"""
+SELECT site_id, content_id, gap FROM (
+ SELECT f.site_id, f.content_id, array_to_string(list_filter(CASE WHEN o = 0 THEN [] WHEN o = 1 THEN ['WebPage', 'Article'] ELSE ['WebSite', 'Organization', 'WebPage', 'Article'] END,
+  lambda t: t IN ('WebSite', 'Organization') OR (weak AND t = CASE post_type WHEN 'post' THEN 'Article' ELSE 'WebPage' END)), '|') AS gap
+ FROM (SELECT *, list_contains(exposed_types, post_type) AND list_contains(exposed_statuses, status) AS weak FROM flags WHERE structured_data_enabled) f
+ LEFT JOIN (SELECT regexp_extract(site_id, '([^.]+[.][^.]+)$', 1) AS site_id,
+  min(CASE split_part(slug, '/', 1) WHEN 'wordpress-seo' THEN 0 WHEN 'seo-by-rank-math' THEN 1 WHEN 'all-in-one-seo-pack' THEN 2 END) AS o FROM plugins GROUP BY 1) g USING (site_id))
+WHERE gap <> ''""", "flags", "plugins"))
+def structured_gap(spark, folder):
+    """Node types of each document that its site's active SEO plug-in leaves open."""
+    inputs = Inputs(spark, folder)
+    plugins = inputs.sample("active_plugins").withColumn("site_id", F.regexp_extract("site_id", r"([^.]+\.[^.]+)$", 1))
+    gaps = cf.seo_posture(plugins.distinct()).select("site_id", "posture")
+    rows = inputs.sited().join(gaps, "site_id", "left").withColumn("gap", cf.coverage_gap(F.coalesce("posture", F.lit("none")), matrix=catalog_sites._PARTIAL))
+    nodes = publish.structured_data(rows.withColumn("weakly_exposed", exposure.weakly_exposed()))
+    types = F.regexp_extract_all("json_ld", F.lit('"@context":"https://schema.org","@type":"([A-Za-z]+)"'), F.lit(1))
+    return nodes.select(*KEY, F.array_join(types, "|").alias("gap"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lucidex import schemas
-from lucidex.operators import audit, conversion, site_index, store
+from lucidex.operators import audit, conflicts, conversion, site_index, store
 from lucidex.operators.fetch import fetch_rows
 from lucidex.operators.exposure import with_exposure, with_profile
 from lucidex.sources import snapshots
@@ -123,6 +123,19 @@ def daily_rebuild(root: str, day: str, content: DataFrame, *inputs: DataFrame, k
     return made
 
 
+def audit_tables(profile: DataFrame, plugins: DataFrame, root_files: DataFrame, found_conflicts: DataFrame, index_rows: DataFrame,
+                 stored: DataFrame, content: DataFrame, out: str, stamp: str) -> None:
+    """From the tables to the scores: ``signals``, ``sub_scores`` and ``overall`` under *out*.
+
+    *plugins*, *root_files* and *found_conflicts* are keyed by site; posture and provider follow from the plug-ins.
+    """
+    signals = audit.signals_from_tables(
+        profile, conflicts.seo_posture(plugins), conflicts.active_provider(plugins, profile), audit.probed_files(root_files),
+        found_conflicts, site_index.index_measures(index_rows), stored, content)
+    signals.withColumn("computed_at", F.lit(stamp)).write.mode("overwrite").parquet(f"{out}/signals")
+    audit_sites(profile.sparkSession.read.parquet(f"{out}/signals").drop("computed_at"), out, stamp)
+
+
 def audit_sites(signals: DataFrame, out: str, stamp: str) -> None:
     """Write ``sub_scores`` and ``overall`` under *out*, stamped with the run."""
     spark = signals.sparkSession
