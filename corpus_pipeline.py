@@ -56,8 +56,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each row with the digests that op6 gives."""
-    return bpe.encode(docs, keys=("doc_id", "lang", "source"), with_ids=True)
+    """Token ids of each row with the digests that op6 gives; in small blocks, as the stages before leave heaps full."""
+    return bpe.encode(docs, keys=("doc_id", "lang", "source"), with_ids=True, block_bytes=16 << 20, batch_bytes=4 << 20)
 
 
 STAGES = [

@@ -11,7 +11,7 @@ from lucidex.plans.inputs import Inputs
 from lucidex.plans.registry import query
 from lucidex.sources import samples, snapshots
 from lucidex.sources.work import work_path, written
-from lucidex.streaming import triggers
+from lucidex.streaming import retries, triggers
 
 KEY = ["site_id", "content_id"]
 
@@ -378,3 +378,26 @@ def structured_gap(spark, folder):
     nodes = publish.structured_data(rows.withColumn("weakly_exposed", exposure.weakly_exposed()))
     types = F.regexp_extract_all("json_ld", F.lit('"@context":"https://schema.org","@type":"([A-Za-z]+)"'), F.lit(1))
     return nodes.select(*KEY, F.array_join(types, "|").alias("gap"))
+
+
+# --- retries -------------------------------------------------------------------------
+
+
+@query("retry_schedule", """
+WITH RECURSIVE log AS (
+ SELECT sha1('Describe page ' || (user_id % 97) || chr(31) || '{}') AS job, CAST(floor(floor(epoch(ts)) / 60) AS BIGINT) AS second,
+  CASE event_type WHEN 'error' THEN 'network' WHEN 'view' THEN 'rate_limit' WHEN 'click' THEN 'unknown' END AS failure FROM events
+ WHERE event_type IN ('error', 'view', 'click')),
+marks AS (SELECT job, second, min(failure) AS failure FROM log GROUP BY job, second),
+fires AS (SELECT job, min(second) AS second FROM marks GROUP BY job
+ UNION ALL SELECT f.job, (SELECT min(m.second) FROM marks m WHERE m.job = f.job AND m.second >= f.second + 300) AS second
+ FROM fires f WHERE EXISTS (SELECT 1 FROM marks m WHERE m.job = f.job AND m.second >= f.second + 300))
+SELECT job, second + 300 AS due_second, failure AS first_failure FROM fires JOIN marks USING (job, second)""")
+def retry_schedule(spark, folder):
+    """All retries of the feed: a failure after one opens a new wait."""
+    failure = samples.case_of(F.col("event_type"), {"error": "network", "view": "rate_limit", "click": "unknown"}, "permanent")
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    log = samples.table(spark, folder, "events").select(
+        F.concat(F.lit("Describe page "), (F.col("user_id") % 97).cast("string")).alias("prompt"), F.lit("{}").alias("options"), failure.alias("failure"),
+        F.floor(F.timestamp_diff("SECOND", epoch, F.col("ts").cast("timestamp_ntz")) / 60).cast("bigint").alias("second"))
+    return retries.retry_schedule(log)
