@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lucidex.llm.blocks import read_block, token_blocks
-from lucidex.llm.common import release, saved, settings, step_settings, whole_text, work_path
+from lucidex.llm.common import give_back, release, saved, settings, step_settings, whole_text, work_path
 
 #: How byte-level BPE cuts a text into words, and the token that stands for itself.
 SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -66,6 +66,7 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), pa.array(ids, pa.list_(pa.int32())),
                  pa.array([np.array(one, "<u4").tobytes() for one in ids], pa.binary())], ["word", "ids", "stream"])
+        give_back()
 
     return words.select("word").mapInArrow(run, "word string, ids array<int>, stream binary")
 
@@ -136,6 +137,8 @@ def _joined(keys: list[str], with_ids: bool, schema: pa.Schema):
             if with_ids:
                 columns.append(pa.array(results[3], pa.list_(pa.int32())))
             out.append(pa.Table.from_arrays(columns, schema=schema))
+            del results, columns, block, decoded
+        give_back()
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run

@@ -7,6 +7,8 @@ those that stand within a scope of a complementary part.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lucidex.llm.common import saved, whole_text
 
-#: Characters between the starts of two parts of one credential.
+#: Characters between the end of one part of a credential and the start of the next.
 SCOPE = 240
 
 #: Order of kinds among spans with one start: the base kinds, then the linked ones.
@@ -47,6 +49,23 @@ def _mixed(token: str) -> bool:
     return any(map(str.isdigit, token)) and any(map(str.isupper, token)) and any(map(str.islower, token))
 
 
+def _lettered(token: str) -> bool:
+    """Letters of any case and digits, as keys in one case, UUIDs and base32 have."""
+    return any(map(str.isdigit, token)) and any(map(str.isalpha, token))
+
+
+def _overlaps(spans: list[tuple[str, int, int]]):
+    """A test if a span overlaps one of these, in the logarithm of their number."""
+    ordered = sorted((start, end) for _, start, end in spans)
+    starts, reach = [start for start, _ in ordered], list(itertools.accumulate((end for _, end in ordered), max))
+
+    def test(start: int, end: int) -> bool:
+        before = bisect.bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > start
+
+    return test
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the certain patterns, by start, then kind."""
     low = text.lower()
@@ -60,15 +79,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Candidates that no base span overlaps."""
+    """Candidates that no base span overlaps.
+
+    A string in one case is no candidate inside an identifier or an address, where paths look like that.
+    """
     low = text.lower()
     found = []
     if any(h in low for h in HINTS["identifier"]):
         found += [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)]
-    found += [("secret", *m.span()) for m in SECRET.finditer(text) if _mixed(m[0])]
     if any(h in low for h in HINTS["endpoint"]):
         found += [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-    return [s for s in found if not any(s[1] < b[2] and b[1] < s[2] for b in base)]
+    inside, certain = _overlaps(found), _overlaps(base)
+    found += [("secret", *m.span()) for m in SECRET.finditer(text) if _mixed(m[0]) or (_lettered(m[0]) and not inside(*m.span()))]
+    return [s for s in found if not certain(s[1], s[2])]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +126,11 @@ def link_parts(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     parts = scanned.select("row", F.explode(F.concat("base", "weak")).alias("_s")).select(
         "row", "_s.*", (F.col("_s.kind").isin("secret", "assign", "hex")).alias("_secret"))
     weak = parts.filter(F.col("kind").isin("identifier", "secret", "endpoint"))
-    near = weak.withColumn("_bin", F.explode(F.expr(f"sequence(start div {scope} - 1, start div {scope} + 1)")))
-    other = parts.select(F.col("row").alias("_row"), F.col("start").alias("_start"), F.col("_secret").alias("_is"),
-                         F.expr(f"start div {scope}").alias("_at"))
-    met = near.join(other, (F.col("row") == F.col("_row")) & (F.col("_bin") == F.col("_at"))
-                    & (F.abs(F.col("start") - F.col("_start")) <= scope) & (F.col("_secret") != F.col("_is")), "left_semi")
+    near = weak.withColumn("_bin", F.explode(F.expr(f"sequence(greatest(start - {scope}, 0) div {scope}, (end + {scope}) div {scope})")))
+    other = parts.select(F.col("row").alias("_row"), F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("_secret").alias("_is"),
+                         F.explode(F.expr(f"sequence(start div {scope}, end div {scope})")).alias("_at"))
+    met = near.join(other, (F.col("row") == F.col("_row")) & (F.col("_bin") == F.col("_at")) & (F.col("_secret") != F.col("_is"))
+                    & (F.greatest("start", "_start") - F.least("end", "_end") <= scope), "left_semi")
     return met.select("row", "kind", "start", "end").distinct()
 
 

@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lucidex.llm.chat import meet
-from lucidex.llm.common import release, saved
+from lucidex.llm.common import give_back, release, saved
 from lucidex.llm.graph import components
 from lucidex.llm.simhash import shingle_hashes
+from lucidex.operators.fetch import fetch_rows
 
 SHINGLE_WORDS = 5
 LIKENESS = 0.8
@@ -68,6 +69,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         others = [c for c in batch.schema.names if c != "hashes"]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], lists_of(keys.view(np.int64), BANDS), lists_of(marks, BANDS * ROWS)],
                                          [*others, "bands", "marks"])
+    give_back()
 
 
 def bands(docs: DataFrame, key: str, shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -90,19 +92,20 @@ def _near(pairs: DataFrame, marks: DataFrame, texts: DataFrame, key: str, shingl
         return meet(meet(pairs, one("low", "_a"), ["low"]), one("high", "_b"), ["high"])
 
     share = F.size(F.array_intersect("_a", "_b")) / (BANDS * ROWS)
-    likely = saved(both(pairs, marks, "marks").filter(share >= threshold - SLACK).select("low", "high"), "near-likely")
-    rows = likely.select(F.col("low").alias(key)).unionByName(likely.select(F.col("high").alias(key))).distinct()
-    hashes = shingle_hashes(texts.join(rows, key, "left_semi"), [key], shingle)
-    sets = saved(hashes.select(F.col(key).alias("row"), F.array_distinct(F.transform("hashes", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).alias("own")), "near-sets")
+    likely = saved(both(pairs, marks, "marks").filter(share >= threshold - SLACK).select("low", "high").distinct(), "near-likely")
+    rows = saved(likely.select(F.col("low").alias(key)).unionByName(likely.select(F.col("high").alias(key))).distinct(), "near-rows")
+    hashes = shingle_hashes(fetch_rows(texts.select(key, "text"), rows, [key]), [key], shingle)
+    own = F.array_distinct(F.transform("hashes", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    sets = saved(hashes.select(F.col(key).alias("row"), own.alias("own")).dropDuplicates(["row"]), "near-sets")
     near = saved(both(likely, sets, "own").filter(likeness(F.col("_a"), F.col("_b")) >= threshold).select("low", "high"), "near-pairs")
-    release(sets, likely)
+    release(sets, likely, rows)
     return near
 
 
 def regrouped(placed: DataFrame, texts: DataFrame, key: str, shingle: int = SHINGLE_WORDS, threshold: float = LIKENESS) -> DataFrame:
     """key and ``_group`` of every row, groups of *placed* (key, _group) merged where rows of them are near.
 
-    *texts* has the key, unique and not null, and text.  Empty tables and texts without words merge nothing.
+    *placed* has each key once.  *texts* has the key, not null, and text; rows that share a key are equal.  Empty tables and texts without words merge nothing.
     """
     sketches = saved(bands(texts, key, shingle).join(placed.select(key, "_group"), key).withColumnRenamed(key, "row"), "near-sketches", BATCH_BYTES)
     marks = sketches.select("row", "marks")
