@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     named = docs.withColumn("_row", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
     placed = simhash.grouped(named, ["doc_id", "_row"]).dropDuplicates(["_row"])
-    groups = shingles.regrouped(placed, named.select("_row", "text").dropDuplicates(["_row"]), "_row")
+    groups = shingles.regrouped(placed, named.select("_row", "text"), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     kept = placed.select("doc_id", "_row").join(groups, "_row").groupBy("_group").agg(first.alias("_first")).select("_first._row")
     return named.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
