@@ -5,10 +5,11 @@ radius that masks can cover.  So rows that SimHash has grouped already are compa
 of their shingles under some permutations go in bands, rows that share a band are candidates, and a
 candidate is linked if the shingle sets themselves agree.
 
-In a bucket rows meet leaders (its least rows that nothing covers yet) and not each other; rows that are not
-near one meet twice as many in the next round, until each row is a leader or near one.  Equal and near copies,
-however many, so take one round.  Pairs are judged by their least hashes first, and only those that come near
-by these are compared by their shingles.
+In a bucket rows meet leaders and not each other.  A leader is the row of a group that shares most buckets with
+most others, as the text does that copies were made from.  Groups that are near are merged after each round; a
+group that had a leader in a bucket has no other there, and twice as many groups lead in the next round, until
+all groups of a bucket have led or are one.  Copies of a text, however many, so take one round.  Pairs are
+judged by their least hashes first, and only those that come near by these are compared by their shingles.
 """
 
 from __future__ import annotations
@@ -105,35 +106,42 @@ def _near(pairs: DataFrame, marks: DataFrame, texts: DataFrame, key: str, shingl
 def regrouped(placed: DataFrame, texts: DataFrame, key: str, shingle: int = SHINGLE_WORDS, threshold: float = LIKENESS) -> DataFrame:
     """key and ``_group`` of every row, groups of *placed* (key, _group) merged where rows of them are near.
 
-    *placed* has each key once.  *texts* has the key, not null, and text; rows that share a key are equal.  Empty tables and texts without words merge nothing.
+    *placed* has each key once, and ``print``, which rows share only if their texts are alike.  *texts* has the key, not null, and text; rows that share a key are equal.  Empty tables and texts without words merge nothing.
     """
-    sketches = saved(bands(texts, key, shingle).join(placed.select(key, "_group"), key).withColumnRenamed(key, "row"), "near-sketches", BATCH_BYTES)
+    sketches = saved(bands(texts, key, shingle).join(placed.select(key, "_group", "print"), key).withColumnRenamed(key, "row"), "near-sketches", BATCH_BYTES)
     marks = sketches.select("row", "marks")
-    # Rows of one group need not meet again, so to each bucket a group sends its least row.
-    sent = saved(sketches.select("row", "_group", F.posexplode("bands").alias("band", "bits")).groupBy("band", "bits", "_group")
-                 .agg(F.min("row").alias("row")), "near-bands")
+    # Of equal fingerprints one row is sent to a bucket.  Others of its group are sent too: the text that copies were made from is one of them.
+    sent = saved(sketches.select("row", "_group", "print", F.posexplode("bands").alias("band", "bits")).groupBy("band", "bits", "_group", "print")
+                 .agg(F.min("row").alias("row")).drop("print"), "near-bands")
     bucket = ["band", "bits"]
-    shared = sent.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*bucket)
-    open_ = saved(sent.join(shared, bucket, "left_semi").withColumn("covered", F.lit(False)), "near-open")
+    groups = (F.min("_group").alias("_low"), F.max("_group").alias("_high"))
+    shared = sent.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), *groups).filter("_low <> _high").drop("_low", "_high")
+    counted = sent.join(shared, bucket)
+    # Of near copies the one that they were made from shares most buckets with most of them.
+    degree = counted.groupBy("row").agg(F.sum("_n").alias("degree"))
+    open_ = saved(counted.drop("_n").join(degree, "row").withColumns({"led": F.lit(False), "covered": F.lit(False)}), "near-open")
     release(sent)
     links, leaders = None, 1
     while not open_.isEmpty():
-        order = Window.partitionBy(*bucket).orderBy("row")
-        first = open_.filter("NOT covered").withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= leaders)
+        order = [F.desc("degree"), F.asc("row")]
+        waiting = open_.filter("NOT covered").withColumn("_own", F.row_number().over(Window.partitionBy(*bucket, "_group").orderBy(*order))).filter("_own = 1")
+        first = saved(waiting.withColumn("_at", F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))).filter(F.col("_at") <= leaders)
+                      .select(*bucket, "row", "_group"), "near-leaders")
         told = first.groupBy(*bucket).agg(F.collect_list(F.struct(F.col("row").alias("leader"), F.col("_group").alias("of_leader"))).alias("_leaders"))
-        met = saved(meet(open_, told, bucket).select("row", "_group", *bucket, "covered", F.inline("_leaders"))
-                    .withColumns({"low": F.least("row", "leader"), "high": F.greatest("row", "leader")}), "near-met")
-        pairs = saved(met.filter("row <> leader").select("low", "high").distinct(), "near-candidates")
-        near = _near(pairs, marks, texts, key, shingle, threshold)
-        found = met.join(near.withColumn("near", F.lit(True)), ["low", "high"], "left")
-        merged = found.filter("near").select(F.col("_group").alias("a"), F.col("of_leader").alias("b")).distinct()
+        met = (meet(open_.select("row", "_group", *bucket), told, bucket).select("row", "_group", F.inline("_leaders")).filter("_group <> of_leader")
+               .select(F.least("row", "leader").alias("low"), F.greatest("row", "leader").alias("high"),
+                       F.least("_group", "of_leader").alias("a"), F.greatest("_group", "of_leader").alias("b")).distinct())
+        met = saved(met, "near-met")
+        near = _near(met.select("low", "high").distinct(), marks, texts, key, shingle, threshold)
+        merged = met.join(near, ["low", "high"], "left_semi").select("a", "b").distinct()
         links = saved(merged if links is None else links.unionByName(merged), "near-links")
-        done = found.groupBy("row", "_group", *bucket).agg(
-            F.bool_or(F.col("covered") | F.coalesce("near", F.lit(False)) | (F.col("row") == F.col("leader"))).alias("covered"))
-        done = saved(done, "near-done")
-        alive = done.filter("NOT covered").select(*bucket).distinct()
-        before, open_ = open_, saved(done.join(alive, bucket, "left_semi"), "near-open")
-        release(before, met, pairs, near, done)
+        whole = saved(components(links), "near-components")
+        led = open_.join(first.select(*bucket, "row", F.lit(True).alias("_now")), [*bucket, "row"], "left").withColumn("led", F.col("led") | F.coalesce("_now", F.lit(False))).drop("_now")
+        named = led.join(whole, led["_group"] == whole["node"], "left").withColumn("_group", F.coalesce("component", "_group")).drop("node", "component")
+        done = saved(named.withColumn("covered", F.max("led").over(Window.partitionBy(*bucket, "_group"))), "near-done")
+        alive = done.groupBy(*bucket).agg(F.bool_and("covered").alias("_all"), *groups).filter("NOT _all AND _low <> _high")
+        before, open_ = open_, saved(done.join(alive.select(*bucket), bucket, "left_semi"), "near-open")
+        release(before, met, near, first, done, whole)
         leaders *= 2
     release(sketches, open_)
     if links is None:

@@ -90,6 +90,21 @@ def test_many_near_copies_take_few_rounds(spark, monkeypatch):
     assert sum(pairs) < 30 * len(texts)
 
 
+def test_copies_that_are_near_their_source_only(spark, monkeypatch):
+    """Copies near one text and not each other: that text leads, so they are one group without meeting each other."""
+    rng = random.Random(8)
+    base = " ".join(f"w{i}" for i in range(200))
+    texts = {500: base} | {i: edited(base, 0.02, rng) for i in range(300)}
+    sets = {i: grams(t) for i, t in texts.items()}
+    near = [i for i in range(300) if len(sets[i] & sets[500]) / len(sets[i] | sets[500]) >= 0.8]
+    made = []
+    plain = shingles._near
+    monkeypatch.setattr(shingles, "_near", lambda met, *rest: (made.append(met.count()), plain(met, *rest))[1])
+    got = run(spark, texts)
+    assert len(near) > 250 and sum(got[i] == got[500] for i in near) >= 0.98 * len(near)
+    assert sum(made) < 30 * len(texts)
+
+
 def test_empty_and_odd(spark):
     assert run(spark, {1: "only one text of some words"}).keys() == {1}
     none = spark.createDataFrame([], "doc_id long, text string")
