@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +79,41 @@ def test_empty_tables(spark, tmp_path):
     assert ti.hits(spark, path, "").count() == 0 and ti.hits(spark, path, "word").count() == 0
     ti.build(content_of(spark, ["only"]), path)
     assert ti.hits(spark, path, "absent").count() == 0
+
+
+def test_postings_have_a_row_for_each_gram_of_a_unit(spark, tmp_path):
+    """Many blocks of the same words take a row for each gram and not for each gram and block."""
+    path = str(tmp_path / "index")
+    ti.build(content_of(spark, ["the same words " * 500] * 40).coalesce(1).withColumn("status", F.lit("publish")), path)
+    rows = spark.read.parquet(f"{path}/postings").filter("gram IS NOT NULL")
+    blocks = rows.select(F.sum(F.size("places"))).first()[0]
+    assert blocks > 40 * 8 * 30 and rows.count() < blocks / 20
+    assert ti.hits(spark, path, "same").count() == 40
+
+
+@pytest.mark.parametrize("most, total", [(1 << 20, 1 << 10), (1 << 40, 1 << 40)])
+def test_pairs_are_distinct_and_in_order(most, total):
+    codes, places = [3, 1, 3, (1 << 20) - 1, 1, 3], [5, 2, 5, 1023, 0, 4]
+    own, held = ti._distinct(np.array(codes), np.array(places), most, total)
+    assert list(zip(own.tolist(), held.tolist())) == sorted(set(zip(codes, places)))
+
+
+def test_units_end_between_texts(spark, tmp_path, monkeypatch):
+    """Terms over the edges of blocks are found whatever the units are, and none over the edges of texts."""
+    monkeypatch.setattr(ti, "BLOCK_CHARS", 4)
+    bodies = ["abcdefgh🙂ij" * 3, None, "", "xyabc", "defgh"] * 5
+    content = content_of(spark, bodies).withColumns({"status": F.lit("publish"), "title": F.lit("abc"), "excerpt": F.lit("def")}).cache()
+    for unit in (1, 40, 1 << 20):
+        batch = pa.RecordBatch.from_pydict({"seq": list(range(25)), "a": ["abc"] * 25, "b": ["def"] * 25, "c": [b or "" for b in bodies]})
+        monkeypatch.setattr(ti, "UNIT_BYTES", unit)
+        units = list(ti._units(batch))
+        assert [s for u in units for s in u.column(0).to_pylist()] == list(range(25))
+        rows = [r for u in units for b in ti._postings_of(u, 4) for r in b.to_pylist()]
+        owners = {r["unit"]: r["owners"] for r in rows if r["gram"] is None}
+        assert {owners[r["unit"]][p] for r in rows if r["gram"] == "🙂ij" for p in r["places"]} == {0, 5, 10, 15, 20}
+    path = str(tmp_path / "index")
+    ti.build(content, path)
+    for term in ("h🙂i", "cde", "ijab", "z"):
+        assert found(ti.search(spark, path, term, 1, 20)) == found(ds.search(content, term, 1, 20)), term
+    assert ti.candidates(spark, path, "bcde").count() == 5
+    content.unpersist()
