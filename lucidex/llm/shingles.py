@@ -85,8 +85,15 @@ def likeness(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def _near(pairs: DataFrame, marks: DataFrame, texts: DataFrame, key: str, shingle: int, threshold: float) -> DataFrame:
-    """Those pairs (low, high) whose shingle sets agree; only texts of pairs that may be are read and moved."""
+def _sets(texts: DataFrame, rows: DataFrame, key: str, shingle: int) -> DataFrame:
+    """row and ``own``, the distinct shingles of the texts of *rows* (row), which alone are read and moved."""
+    hashes = shingle_hashes(fetch_rows(texts.select(key, "text"), rows.withColumnRenamed("row", key), [key]), [key], shingle)
+    own = F.array_distinct(F.transform("hashes", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    return saved(hashes.select(F.col(key).alias("row"), own.alias("own")).dropDuplicates(["row"]), "near-sets")
+
+
+def _near(pairs: DataFrame, marks: DataFrame, texts: DataFrame, key: str, shingle: int, threshold: float, sets: DataFrame | None = None) -> DataFrame:
+    """Those pairs (low, high) whose shingle sets agree; without *sets* they are made for the rows of pairs that may be."""
 
     def both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         one = lambda side, name: table.select(F.col("row").alias(side), F.col(value).alias(name))
@@ -94,15 +101,31 @@ def _near(pairs: DataFrame, marks: DataFrame, texts: DataFrame, key: str, shingl
 
     share = F.size(F.array_intersect("_a", "_b")) / (BANDS * ROWS)
     likely = saved(both(pairs, marks, "marks").filter(share >= threshold - SLACK).select("low", "high").distinct(), "near-likely")
-    rows = saved(likely.select(F.col("low").alias(key)).unionByName(likely.select(F.col("high").alias(key))).distinct(), "near-rows")
-    hashes = shingle_hashes(fetch_rows(texts.select(key, "text"), rows, [key]), [key], shingle)
-    own = F.array_distinct(F.transform("hashes", lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    sets = saved(hashes.select(F.col(key).alias("row"), own.alias("own")).dropDuplicates(["row"]), "near-sets")
-    near = saved(both(likely, sets, "own").filter(likeness(F.col("_a"), F.col("_b")) >= threshold).select("low", "high"), "near-pairs")
-    release(sets, likely, rows)
+    rows = saved(likely.select(F.col("low").alias("row")).unionByName(likely.select(F.col("high").alias("row"))).distinct(), "near-rows")
+    own = _sets(texts, rows, key, shingle) if sets is None else sets
+    near = saved(both(likely, own, "own").filter(likeness(F.col("_a"), F.col("_b")) >= threshold).select("low", "high"), "near-pairs")
+    release(likely, rows, *([own] if sets is None else []))
     return near
 
 
+def rarest(sets: DataFrame, threshold: float = LIKENESS) -> DataFrame:
+    """row, size, token and heads of the rarest shingles of each set (row, own).
+
+    Of two sets with a likeness of *threshold* or more, one of the first ``size - 2t/(1+t) size + 1`` shingles of the
+    smaller (``heads``) is among the first ``size - t size + 1`` of the greater, in whatever common order.
+    """
+    tokens = sets.select("row", F.size("own").alias("size"), F.explode("own").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
+    known = tokens.join(counts, "token", "left").withColumn("_df", F.coalesce("_df", F.lit(1)))
+    # Shingles of one set only come first and meet nothing: their number tells where the others stand.
+    ordered = known.groupBy("row", "size").agg(F.count_if(F.col("_df") == 1).alias("_alone"),
+                                               F.array_sort(F.collect_list(F.when(F.col("_df") > 1, F.struct("_df", "token")))).alias("_shared"))
+    kept = lambda share: (F.col("size") - F.ceil(F.col("size") * F.lit(share) - F.lit(1e-6)) + 1 - F.col("_alone")).cast("int")
+    taken = ordered.withColumn("_head", kept(2 * threshold / (1 + threshold))).withColumn("_shared", F.slice("_shared", 1, F.greatest(kept(threshold), F.lit(0))))
+    return taken.select("row", "size", "_head", F.posexplode("_shared").alias("_at", "_s")).select(
+        "row", "size", F.col("_s.token").alias("token"), (F.col("_at") < F.col("_head")).alias("heads"))
+
+
 def regrouped(placed: DataFrame, texts: DataFrame, key: str, shingle: int = SHINGLE_WORDS, threshold: float = LIKENESS) -> DataFrame:
     """key and ``_group`` of every row, groups of *placed* (key, _group) merged where rows of them are near.
 
@@ -119,31 +142,41 @@ def regrouped(placed: DataFrame, texts: DataFrame, key: str, shingle: int = SHIN
     counted = sent.join(shared, bucket)
     # Of near copies the one that they were made from shares most buckets with most of them.
     degree = counted.groupBy("row").agg(F.sum("_n").alias("degree"))
-    open_ = saved(counted.drop("_n").join(degree, "row").withColumns({"led": F.lit(False), "covered": F.lit(False)}), "near-open")
+    open_ = saved(counted.drop("_n").join(degree, "row").withColumns({"led": F.lit(False), "covered": F.lit(False), "heads": F.lit(True), "size": F.lit(1)}), "near-open")
     release(sent)
-    links, leaders = None, 1
+    links, leaders, sets = None, 1, None
     while not open_.isEmpty():
         order = [F.desc("degree"), F.asc("row")]
-        waiting = open_.filter("NOT covered").withColumn("_own", F.row_number().over(Window.partitionBy(*bucket, "_group").orderBy(*order))).filter("_own = 1")
+        waiting = open_.filter("heads AND NOT covered").withColumn("_own", F.row_number().over(Window.partitionBy(*bucket, "_group").orderBy(*order))).filter("_own = 1")
         first = saved(waiting.withColumn("_at", F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))).filter(F.col("_at") <= leaders)
-                      .select(*bucket, "row", "_group"), "near-leaders")
-        told = first.groupBy(*bucket).agg(F.collect_list(F.struct(F.col("row").alias("leader"), F.col("_group").alias("of_leader"))).alias("_leaders"))
-        met = (meet(open_.select("row", "_group", *bucket), told, bucket).select("row", "_group", F.inline("_leaders")).filter("_group <> of_leader")
+                      .select(*bucket, "row", "_group", "size"), "near-leaders")
+        told = first.groupBy(*bucket).agg(F.collect_list(F.struct(F.col("row").alias("leader"), F.col("_group").alias("of_leader"), F.col("size").alias("of_size"))).alias("_leaders"))
+        fitting = F.least("size", "of_size") >= F.greatest("size", "of_size") * F.lit(threshold - 1e-6)
+        met = (meet(open_.select("row", "_group", "size", *bucket), told, bucket).select("row", "_group", "size", F.inline("_leaders"))
+               .filter("_group <> of_leader").filter(fitting)
                .select(F.least("row", "leader").alias("low"), F.greatest("row", "leader").alias("high"),
                        F.least("_group", "of_leader").alias("a"), F.greatest("_group", "of_leader").alias("b")).distinct())
         met = saved(met, "near-met")
-        near = _near(met.select("low", "high").distinct(), marks, texts, key, shingle, threshold)
+        near = _near(met.select("low", "high").distinct(), marks, texts, key, shingle, threshold, sets)
         merged = met.join(near, ["low", "high"], "left_semi").select("a", "b").distinct()
         links = saved(merged if links is None else links.unionByName(merged), "near-links")
         whole = saved(components(links), "near-components")
         led = open_.join(first.select(*bucket, "row", F.lit(True).alias("_now")), [*bucket, "row"], "left").withColumn("led", F.col("led") | F.coalesce("_now", F.lit(False))).drop("_now")
         named = led.join(whole, led["_group"] == whole["node"], "left").withColumn("_group", F.coalesce("component", "_group")).drop("node", "component")
         done = saved(named.withColumn("covered", F.max("led").over(Window.partitionBy(*bucket, "_group"))), "near-done")
-        alive = done.groupBy(*bucket).agg(F.bool_and("covered").alias("_all"), *groups).filter("NOT _all AND _low <> _high")
+        alive = done.groupBy(*bucket).agg(F.bool_and(~F.col("heads") | F.col("covered")).alias("_all"), *groups).filter("NOT _all AND _low <> _high")
         before, open_ = open_, saved(done.join(alive.select(*bucket), bucket, "left_semi"), "near-open")
         release(before, met, near, first, done, whole)
         leaders *= 2
-    release(sketches, open_)
+        if sets is None and not open_.isEmpty():
+            left = saved(open_.groupBy("row").agg(F.min("_group").alias("_group"), F.max("degree").alias("degree")), "near-left")
+            sets = _sets(texts, left.select("row"), key, shingle)
+            parts = saved(left.join(rarest(sets, threshold), "row"), "near-parts")
+            bucket, leaders = ["token"], 1
+            met_by = parts.groupBy(*bucket).agg(F.bool_or("heads").alias("_heads"), *groups).filter("_heads AND _low <> _high").select(*bucket)
+            before, open_ = open_, saved(parts.join(met_by, bucket).withColumns({"led": F.lit(False), "covered": F.lit(False)}), "near-open")
+            release(before, left, parts)
+    release(sketches, open_, *([sets] if sets is not None else []))
     if links is None:
         return placed.select(key, "_group")
     whole = components(links)

@@ -111,3 +111,34 @@ def test_empty_and_odd(spark):
     assert shingles.regrouped(simhash.grouped(none, ["doc_id"]), none, "doc_id").count() == 0
     got = run(spark, {1: None, 2: "", 3: " \n", 4: "a"})
     assert got[1] == got[2] == got[3] != got[4]
+
+
+def test_copies_that_are_near_nothing_do_not_meet_each_other(spark, monkeypatch):
+    """Copies with so many edits that they share bands but not four fifths: pairs grow with them and not with their square."""
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(4000)}" for _ in range(300))
+    texts = {i: edited(base, 0.055, rng) for i in range(150)}
+    for i in range(150, 170):  # near one of these copies, which leads nowhere in the first round
+        texts[i] = edited(texts[i - 150], 0.01, rng)
+    made, plain = [], shingles._near
+    monkeypatch.setattr(shingles, "_near", lambda met, *rest: (made.append(met.count()), plain(met, *rest))[1])
+    found = run(spark, texts)
+    assert partition(found) == partition(groups_by_hand(texts))
+    assert sum(made) < 14 * len(texts)
+
+
+def test_rarest_shingles_of_near_sets_meet(spark):
+    rng = random.Random(4)
+    sets = {}
+    for i in range(60):
+        base = rng.sample(range(200), rng.randint(1, 60)) if i % 3 == 0 else list(sets[i - 1])
+        sets[i] = set(base if i % 3 == 0 else [t if rng.random() > 0.08 else rng.randrange(300) for t in base])
+    rows = [(i, sorted(own)) for i, own in sets.items()]
+    told = shingles.rarest(spark.createDataFrame(rows, "row long, own array<int>")).collect()
+    heads = {(r["row"], r["token"]) for r in told if r["heads"]}
+    every = {(r["row"], r["token"]) for r in told}
+    near = [(a, b) for a in sets for b in sets if a != b and (len(sets[a]), a) < (len(sets[b]), b)
+            and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 20
+    for small, great in near:
+        assert any((small, t) in heads and (great, t) in every for t in sets[small]), (small, great)
