@@ -206,8 +206,11 @@ WHERE version = 1 OR kind <> 'error' GROUP BY version, site_id""", "lined", "con
 def index_snapshot(spark, folder):
     """A version of all documents, one without those that went last, and a run that fails: readers have the second."""
     inputs, root = Inputs(spark, folder), work_path(spark, "index-versions")
-    content = inputs.content.join(_latest_kinds(spark, folder), "content_id", "left")
-    tables = (inputs.profile, inputs.sample("content_meta"), inputs.sample("robots"), inputs.descriptions, inputs.editorial, inputs.store)
+    # Each run reads its inputs many times: they are derived from the tables once.
+    once = lambda rows, name: written(rows, f"snapshot-{name}")
+    content = once(inputs.light.join(_latest_kinds(spark, folder), "content_id", "left"), "content")
+    tables = (once(inputs.profile, "profile"), once(inputs.sample("content_meta"), "meta"), once(inputs.sample("robots"), "robots"),
+              inputs.descriptions, once(inputs.editorial, "editorial"), once(inputs.store.select(*KEY, "markdown"), "store"))
     first = jobs.publish_snapshot(root, "first", content.drop("last_kind"), *tables)
     jobs.publish_snapshot(root, "second", content.filter("coalesce(last_kind, '') <> 'error'").drop("last_kind"), *tables, base=first.version)
     try:

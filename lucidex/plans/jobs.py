@@ -92,6 +92,7 @@ def publish_indexes(content: DataFrame, profile: DataFrame, meta: DataFrame, rob
     entries = spark.read.parquet(f"{out}/entries")
     lines = site_index.index_lines(site_index.index_rows(editorial, entries))
     write_by_site(lines, f"{out}/lines")
+    lines = spark.read.schema(lines.schema).parquet(f"{out}/lines")
     site_index.index_parts(lines, profile).write.mode("overwrite").parquet(f"{out}/parts")
     with_full = profile.filter("full_index_enabled").select("site_id")
     full = site_index.full_index(editorial, entries, stored).join(with_full, "site_id", "left_semi")

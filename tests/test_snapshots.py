@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lucidex.plans import jobs
+from lucidex.plans.catalog import QUERIES
 from lucidex.plans.inputs import Inputs
 from lucidex.sources import snapshots
 from lucidex.sources.tables import append_change, commits, compact, read_changing
@@ -126,3 +127,31 @@ def test_daily_rebuild(spark, tmp_path):
     fewer = jobs.daily_rebuild(root, "2024-02-02", inputs.content.filter("content_id > 25"), *tables, keep=1)
     assert fewer.version == 2 and 0 < fewer.table("full").count() < inputs.full_rows.count()
     assert snapshots.versions(spark, root) == [2] and list(files_in(spark, f"{root}/runs")) == ["daily-2024-02-02"]
+
+
+def test_runs_of_the_query_read_inputs_that_are_derived_once(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def publish(root, run, *tables, **more):
+        seen.extend(tables)
+        raise Stop
+
+    monkeypatch.setattr(jobs, "publish_snapshot", publish)
+    with pytest.raises(Stop):
+        QUERIES["index_snapshot"](spark, SF)
+    derived = [all("/snapshot-" in file for file in rows.inputFiles()) for rows in seen]
+    assert len(derived) == 7 and derived.count(False) == 1  # descriptions are the documents themselves
+
+
+def test_parts_are_made_from_the_lines_that_were_written(spark, tmp_path, monkeypatch):
+    inputs, out, read = Inputs(spark, SF), str(tmp_path / "index"), []
+    plain = jobs.site_index.index_parts
+    monkeypatch.setattr(jobs.site_index, "index_parts", lambda lines, profile: (read.append(lines), plain(lines, profile))[1])
+    tables = (inputs.profile, inputs.sample("content_meta"), inputs.sample("robots"), inputs.descriptions, inputs.editorial, inputs.store)
+    jobs.publish_indexes(inputs.content, *tables, out=out)
+    files = read[0].inputFiles()
+    assert files and all("/index/lines/" in file for file in files)
+    assert spark.read.parquet(f"{out}/parts").agg(F.sum("lines")).first()[0] == spark.read.parquet(f"{out}/lines").count()
