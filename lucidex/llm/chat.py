@@ -64,13 +64,14 @@ def unescape_role(role: str) -> str:
 HOT_ROWS, HOT_KEYS = 1 << 20, 10_000
 
 
-def meet(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+def meet(rows: DataFrame, table: DataFrame, key: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
     """Joins many rows to a table with one row a key, where one key (a root with millions of replies) may have most rows.
 
     Keys with over :data:`HOT_ROWS` rows, or a ten-thousandth of all where that is more, are dealt over tasks
     and their one row of the table is copied; their number is bounded, so they are broadcast.
+    *total* is the number of rows where it is known, which else are made once more to be counted.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total <= HOT_ROWS:  # no key has more
         return rows.join(table, key, how)
     most = max(HOT_ROWS, -(-total // HOT_KEYS))

@@ -42,6 +42,16 @@ def test_learns_and_keeps_the_good(spark):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in judged if r["kept"]}
 
 
+def test_statistics_are_counted_once(spark, monkeypatch):
+    """The rows that the rules keep come from the written statistics; whole texts aren't counted again."""
+    docs, labels = labelled(spark, 100)
+    asked, plain = [], rules.statistics
+    monkeypatch.setattr(rules, "statistics", lambda rows: (asked.append(1), plain(rows))[1])
+    kept = rules.keep_good(docs.withColumn("lang", F.lit(None).cast("string")), labels)
+    assert len(asked) == 1
+    assert sorted(tuple(r) for r in kept.collect()) == sorted((r["doc_id"], r["text"], None) for r in docs.collect() if r["doc_id"] % 5)
+
+
 def test_rules_are_ordered_conditions(spark):
     docs, labels = labelled(spark)
     stats = rules.statistics(docs)

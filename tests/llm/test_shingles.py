@@ -105,6 +105,21 @@ def test_copies_that_are_near_their_source_only(spark, monkeypatch):
     assert sum(made) < 30 * len(texts)
 
 
+def test_a_round_takes_its_own_links_only(spark, monkeypatch):
+    """Groups are renamed by the links of one round, the whole by those of all; no join is made to be counted."""
+    rng = random.Random(3)
+    base = " ".join(f"w{rng.randrange(4000)}" for _ in range(300))
+    texts = {i: edited(base, 0.055, rng) for i in range(150)}
+    for i in range(150, 170):
+        texts[i] = edited(texts[i - 150], 0.01, rng)
+    linked, totals, whole, meet = [], [], shingles.components, shingles.meet
+    monkeypatch.setattr(shingles, "components", lambda links: (linked.append(links.count()), whole(links))[1])
+    monkeypatch.setattr(shingles, "meet", lambda rows, table, key, **more: (totals.append((key, more.get("total"))), meet(rows, table, key, **more))[1])
+    assert partition(run(spark, texts)) == partition(groups_by_hand(texts))
+    assert len(linked) > 2 and linked[-1] == sum(linked[:-1])
+    assert all(n is not None for key, n in totals if key in (["low"], ["high"]))
+
+
 def test_empty_and_odd(spark):
     assert run(spark, {1: "only one text of some words"}).keys() == {1}
     none = spark.createDataFrame([], "doc_id long, text string")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lucidex.llm import simhash
+from lucidex.llm import graph, simhash
 from lucidex.llm.graph import components
 from tests.llm.samples import words
 
@@ -74,6 +74,15 @@ def test_components(spark, links, want):
     assert {r["node"]: r["component"] for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("links, most", [([(i, 0) for i in range(1, 50)] + [(60 + i, 55) for i in range(5)], 0), ([(i, 0) for i in range(2, 9)] + [(8, 1)], 1)])
+def test_components_stop_at_stars(spark, monkeypatch, links, most):
+    """Links that are stars take no round, and none is made to see that nothing changes."""
+    rounds, plain = [], graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda edges: (rounds.append(1), plain(edges))[1])
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len(rounds) <= most and set(found.values()) <= {0, 55} and all(found[a] == found[b] for a, b in links)
+
+
 def test_odd_tables(nobody, odd):
     assert simhash.near_groups(nobody).count() == 0
     got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash.near_groups(odd).collect())
